@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.bpe import op6_byte_bpe
+from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op6_byte_bpe": op6_byte_bpe,
         "op10_jump_sharding": op10_jump_sharding,
     }
