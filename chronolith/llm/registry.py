@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolith.llm.bpe import op6_byte_bpe
 from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
+from chronolith.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
         "op10_jump_sharding": op10_jump_sharding,
     }
