@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolith.llm.bpe import op6_byte_bpe
 from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
+from chronolith.llm.simhash import op8_simhash
 from chronolith.llm.toxicity import op2_toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_simhash": op8_simhash,
         "op10_jump_sharding": op10_jump_sharding,
     }
 
