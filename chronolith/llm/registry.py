@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.bpe import op6_byte_bpe
+from chronolith.llm.language import op4_language
 from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
 from chronolith.llm.simhash import op8_simhash
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
+        "op4_language": op4_language,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_simhash": op8_simhash,
         "op10_jump_sharding": op10_jump_sharding,
