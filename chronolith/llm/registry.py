@@ -12,6 +12,7 @@ from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
 from chronolith.llm.simhash import op8_simhash
 from chronolith.llm.toxicity import op2_toxicity
+from chronolith.llm.vafile import OP7_SQL, op7_exact_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op4_language": op4_language,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_exact_topk": op7_exact_topk,
         "op8_simhash": op8_simhash,
         "op10_jump_sharding": op10_jump_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": OP7_SQL}
