@@ -12,6 +12,7 @@ from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
 from chronolith.llm.simhash import op8_simhash
 from chronolith.llm.substrings import op5_substring_dedup
+from chronolith.llm.suffixes import op3_suffix_dedup
 from chronolith.llm.toxicity import op2_toxicity
 from chronolith.llm.vafile import OP7_SQL, op7_exact_topk
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language": op4_language,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_byte_bpe": op6_byte_bpe,
