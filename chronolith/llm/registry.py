@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.bpe import op6_byte_bpe
+from chronolith.llm.decontamination import OP9_SQL, op9_decontamination
 from chronolith.llm.language import op4_language
 from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
@@ -27,9 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_exact_topk": op7_exact_topk,
         "op8_simhash": op8_simhash,
+        "op9_decontamination": op9_decontamination,
         "op10_jump_sharding": op10_jump_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op9_decontamination": OP9_SQL}
