@@ -103,7 +103,7 @@ def glob_regex(glob: str) -> str:
             out.append("[^/]")
         elif end > 0:
             inner = glob[i + 1 : end]
-            negated = inner[:1] in "^!"
+            negated = inner.startswith("^")
             out.append(f"[{'^' if negated else ''}{re.escape(inner[1:] if negated else inner).replace(chr(92) + '-', '-')}]")
             i = end
         elif c == "\\" and i + 1 < len(glob):
@@ -116,12 +116,12 @@ def glob_regex(glob: str) -> str:
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
-    """True if a pattern fits the base name or the whole path, or names a directory above it (`dist/`, `dist/*`)."""
+    """True if a pattern fits the base name or the whole path, or names a directory above it (`dist/`, `dist/*`, `dist*`)."""
     found = F.lit(False)
     for p in patterns:
         rule = glob_regex(p)
         found = found | basename(path).rlike(rule) | path.rlike(rule)
-        stem = p.removesuffix("/*") if p.endswith("/*") else p.rstrip("/") if p.endswith("/") else None
-        if stem:
+        stem = p.removesuffix("*").removesuffix("/")
+        if stem and stem != p:
             found = found | F.startswith(path, F.lit(f"{stem}/"))
     return found

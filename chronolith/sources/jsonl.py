@@ -26,7 +26,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def check_records(records: DataFrame) -> None:
     """Raises MalformedInput with an example if any line could not be read. An action of its own over the input."""
-    bad = records.select(CORRUPT, "repo").where(F.col(CORRUPT).isNotNull() & (F.trim(CORRUPT) != "")).take(1)
+    bad = records.select(CORRUPT, "type", "repo").where(F.col(CORRUPT).isNotNull() & F.col("type").isNull() & (F.trim(CORRUPT) != "")).take(1)  # a query on CORRUPT alone is refused
     if bad:
         raise MalformedInput(f"{bad[0]['repo']}: {bad[0][CORRUPT][:200]}")
 
