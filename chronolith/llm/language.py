@@ -156,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` with lang_pred and score.
+    """The rows and columns of `docs` with lang_pred and score (which replace columns of those names).
 
     Null texts and texts without a letter are `und` with score 0; texts of any length are read whole; repeated
     rows get equal predictions; with no labelled row to learn from, every text is `und`.
@@ -166,9 +166,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            yield pd.DataFrame([shared.value.predict(t) for t in series], columns=["lang_pred", "score"])
+            found = [shared.value.predict(t) for t in series]
+            yield pd.DataFrame({"lang_pred": pd.Series([x for x, _ in found], dtype=object), "score": pd.Series([x for _, x in found], dtype="float64")})
 
-    return docs.withColumn("__p", predict(F.col(text_col))).select(*docs.columns, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+    return docs.withColumn("__p", predict(F.col(text_col))).select(*(c for c in docs.columns if c not in ("lang_pred", "score")), F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tup
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, keep: list[str]) -> DataFrame:
-    """One row per document: row, kept columns, base (spans), near. Written to the shared folder, so `row` is fixed."""
+    """One row per document: __row, kept columns, __base (spans), __near. Written to the shared folder, so `__row` is fixed."""
     kinds = "array<struct<kind:int,start:int,stop:int>>"
     near = "array<struct<value:bigint,term:string,start:int,stop:int>>"
     source = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -125,16 +125,16 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, keep: list[s
         for batch in batches:
             base = [base_spans(t) for t in batch["__text"]]
             out = batch.drop(columns="__text")
-            out["base"] = [[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in base]
-            out["near"] = [[dict(zip(("value", "term", "start", "stop"), x, strict=True)) for x in _near(t, s, window)] if s else [] for t, s in zip(batch["__text"], base, strict=True)]
+            out["__base"] = [[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in base]
+            out["__near"] = [[dict(zip(("value", "term", "start", "stop"), x, strict=True)) for x in _near(t, s, window)] if s else [] for t, s in zip(batch["__text"], base, strict=True)]
             yield out
 
-    return saved(source.mapInPandas(scan, f"{fields}, base {kinds}, near {near}").withColumn("row", F.monotonically_increasing_id()))
+    return saved(source.mapInPandas(scan, f"{fields}, __base {kinds}, __near {near}").withColumn("__row", F.monotonically_increasing_id()))
 
 
 def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
     """(value, term, share) of the terms that disclose a value."""
-    near = scanned.select(F.explode("near").alias("x")).select("x.value", "x.term")
+    near = scanned.select(F.explode("__near").alias("x")).select("x.value", "x.term")
     pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
     values = pairs.where("term = ''").select("value", F.col("n_et").alias("n_e"))
     pairs = pairs.where((F.col("term") != "") & (F.col("n_et") >= support)).join(values, "value")
@@ -151,7 +151,7 @@ def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int,
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per input row: the kept columns, __id, base and terms (arrays of spans, by kind and start).
+    """One row per input row: the kept columns, __id, __base and __terms (arrays of spans, by kind and start).
 
     A null text counts as empty and has no spans; repeated rows and repeated ids are kept apart; the longest
     texts are scanned whole; an empty table gives no rows; other columns are not read. Terms never touch a
@@ -159,10 +159,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scanned = _scan(docs, id_col, text_col, window, keep or [])
     flagged = _revealing(docs, scanned, text_col, support, disclosure)
-    near = scanned.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.value", "x.term", "x.start", "x.stop").where("term <> ''")
-    terms = near.join(flagged, ["value", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))  # a document's own
-    return scanned.join(terms, "row", "left").drop("near", "row")
+    near = scanned.where("size(__near) > 0").select("__row", F.explode("__near").alias("x")).select("__row", "x.value", "x.term", "x.start", "x.stop").where("term <> ''")
+    terms = near.join(flagged, ["value", "term"]).groupBy("__row", "start", "stop").agg(F.max("share").alias("share"))
+    terms = terms.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("__terms"))  # a document's own
+    return scanned.join(terms, "__row", "left").drop("__near", "__row")
 
 
 def _joined(spans: str, kind: str) -> str:
@@ -173,13 +173,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     kinds = "element_at(array('email', 'ip', 'card', 'phone'), x.kind + 1)"
-    base = f"array_join({_joined('base', kinds)}, ',')"
+    base = f"array_join({_joined('__base', kinds)}, ',')"
     return found.select(
         F.col("__id").alias("doc_id"),
-        *(F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)),
+        *(F.expr(f"cast(size(filter(__base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)),
         F.expr(f"sha2({base}, 256)").alias("base_sha256"),
-        F.expr(f"array_join(concat({_joined('base', kinds)}, coalesce({_joined('terms', repr(TERM_KIND))}, array())), ',')").alias("spans"),
-        F.expr("cast(coalesce(size(terms), 0) as bigint)").alias("n_term"),
+        F.expr(f"array_join(concat({_joined('__base', kinds)}, coalesce({_joined('__terms', repr(TERM_KIND))}, array())), ',')").alias("spans"),
+        F.expr("cast(coalesce(size(__terms), 0) as bigint)").alias("n_term"),
     )
 
 
@@ -193,7 +193,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def clean(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for text, base, terms in zip(batch[text_col], batch["base"], batch["terms"], strict=True):
+            for text, base, terms in zip(batch[text_col], batch["__base"], batch["__terms"], strict=True):
                 spans = [(x["start"], x["stop"], f"[{KINDS[x['kind']].upper()}]") for x in base]
                 if terms is not None:
                     for x in terms:
@@ -205,10 +205,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         parts += [text[at:a], new]
                     at = max(at, b)
                 texts.append("".join(parts) + text[at:] if spans else text)
-            out = batch.drop(columns=["base", "terms"])
+            out = batch.drop(columns=["__base", "__terms"])
             out[text_col] = texts
             yield out
 
     touched = found.drop("__id")
-    dirty = touched.where("size(base) > 0").mapInPandas(clean, docs.schema)
-    return touched.where("size(base) = 0").select(*docs.columns).unionAll(dirty)
+    dirty = touched.where("size(__base) > 0").mapInPandas(clean, docs.schema)
+    return touched.where("size(__base) = 0").select(*docs.columns).unionAll(dirty)

@@ -132,6 +132,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(map(float, w))
 
 
+def _counts(found: Counter[str]) -> pd.DataFrame:
+    return pd.DataFrame({"entry": pd.Series(list(found), dtype=object), "n": pd.Series(list(found.values()), dtype="int64")})
+
+
 def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     """(entry, n): documents of `rows` that hold an entry; each batch is summed before the shuffle."""
 
@@ -140,7 +144,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             found: Counter[str] = Counter()
             for text in batch["text"]:
                 found.update(_entries(fold(text)) if wanted is None else _entries(fold(text)) & wanted)
-            yield pd.DataFrame({"entry": list(found), "n": list(found.values())}, columns=["entry", "n"])
+            yield _counts(found)
 
     return rows.select("text").mapInPandas(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
@@ -154,7 +158,7 @@ def _pairs(rows: DataFrame, words: frozenset[str]) -> DataFrame:
             for text in batch["text"]:
                 w = fold(text).split()
                 found.update({f" {a} {b} " for a, b in zip(w, w[1:], strict=False) if a in words or b in words})
-            yield pd.DataFrame({"entry": list(found), "n": list(found.values())}, columns=["entry", "n"])
+            yield _counts(found)
 
     return rows.select("text").mapInPandas(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
