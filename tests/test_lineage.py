@@ -1,7 +1,7 @@
 """Renames: one canonical path for a file's whole history."""
 
 import pytest
-from conftest import change, commit
+from history_records import change, commit
 
 from chronolith.operators import pairs, ranking
 from chronolith.plans.lineage import canonical_paths, follow, follow_distributed

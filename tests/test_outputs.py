@@ -4,7 +4,7 @@ import json
 
 import duckdb
 import pytest
-from conftest import change, commit
+from history_records import change, commit
 
 from chronolith import catalog, oracles
 from chronolith.cli import STATS, computed, main, parser

@@ -6,7 +6,7 @@ import shutil
 import subprocess
 
 import pytest
-from conftest import change, commit
+from history_records import change, commit
 
 from chronolith.operators import ranking
 from chronolith.sources import discovery, extract, jsonl, vcs

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import change, commit, parent
+from history_records import change, commit, parent
 
 from chronolith.operators import compose, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.schema import Limits, Options
