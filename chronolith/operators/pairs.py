@@ -22,7 +22,8 @@ def pair_counts(h: History) -> DataFrame:
     Pairs are made of raw paths inside a commit, after the size filter, so a commit gives
     max * (max - 1) / 2 of them at most; then they are put under canonical paths.
     """
-    rows = h.touches.groupBy("repo", "sha", "path", "file").agg(F.sum("lines").alias("lines"))
+    rows = h.touches.select("repo", "sha", "path", "file", "lines").repartition("repo", "sha")  # the one shuffle by commit that all below share
+    rows = rows.groupBy("repo", "sha", "path", "file").agg(F.sum("lines").alias("lines"))
     sizes = rows.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("churn"))
     fit = sizes.where((F.col("n") >= 2) & (F.col("n") <= h.options.coupling_max_files) & ~((F.col("n") >= MECHANICAL_FILES) & (F.col("churn") / F.col("n") < MECHANICAL_LINES)))
     paths = rows.join(fit.select("repo", "sha"), ["repo", "sha"]).groupBy("repo", "sha").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import epoch, minus_months, round_k
 from chronolith.operators.ownership import bus_factors
+from chronolith.plans.checkpoints import checkpointed
 from chronolith.plans.history import History
 from chronolith.schema import (
     ACTIVE_BUS_FACTOR, COLD_RATIO, DECLINING_FLOOR, DECLINING_TREND, MIN_SAMPLE, OLD_AGE_DAYS, RISK_LABELS, TREND_MONTHS,
@@ -27,8 +28,9 @@ def _nth(values: DataFrame, rank: Column, name: str) -> DataFrame:
 
 def _measured(h: History) -> DataFrame:
     """One row for each file: recent, first, last, changes, age, trend, bus factor (1 at least)."""
-    month = F.date_format("ts", "yyyy-MM")
-    bounds = h.latest.select("latest", F.date_format(minus_months(F.to_date("latest"), TREND_MONTHS), "yyyy-MM").alias("cutoff"), F.date_format("earliest", "yyyy-MM").alias("oldest"))
+    month_of = lambda c: F.year(c) * 12 + F.month(c)
+    month = month_of("ts")
+    bounds = h.latest.select("latest", month_of(minus_months(F.to_date("latest"), TREND_MONTHS)).alias("cutoff"), month_of("earliest").alias("oldest"))
     rows = h.decayed_touches.drop("anchor").crossJoin(F.broadcast(bounds))  # one row
     dated = F.col("ts").isNotNull()
     files = rows.groupBy("file").agg(
@@ -53,7 +55,7 @@ def labelled(h: History) -> DataFrame:
     Thresholds are medians and percentiles by rank, taken over distinct values with their counts, so the one task
     that puts values in order sees each value once.
     """
-    files = _measured(h)
+    files = checkpointed(_measured(h))  # read six times below
     ages, trends = _values(files, "age"), _values(files, "trend")
     positive = _values(files.where("recent > 0"), "recent")
     low = _nth(positive, F.floor(F.col("total") / 2) + 1, "median")  # the upper one

@@ -110,17 +110,20 @@ class History:
     @cached_property
     def file_ext(self) -> DataFrame:
         """(file, ext, churn, micro, first, last): a file's history under each extension it had."""
-        return self.decayed_touches.groupBy("file", extension(F.col("path")).alias("ext")).agg(
-            F.sum("lines").alias("churn"), F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last")
+        paths = self.decayed_touches.groupBy("file", "path").agg(F.sum("lines").alias("churn"), F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+        return paths.groupBy("file", extension(F.col("path")).alias("ext")).agg(  # the extension is taken once for each path
+            F.sum("churn").alias("churn"), F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"), F.min("first").alias("first"), F.max("last").alias("last")
         )
 
     def cache(self) -> History:
         """Keeps the frames that most statistics read. For sessions that ask for several."""
-        for name in ("commits", "files", "parents"):
-            getattr(self, name).cache()
-        self.touches.cache()
+        for df in self._kept():
+            df.cache()
         return self
 
     def uncache(self) -> None:
-        for df in (self.commits, self.files, self.parents, self.touches):
+        for df in self._kept():
             df.unpersist()
+
+    def _kept(self) -> list[DataFrame]:
+        return [self.commits, self.parents, self.touches, self.distinct_commits, self.file_dev, self.file_facts]
