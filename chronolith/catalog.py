@@ -11,6 +11,7 @@ from chronolith import testbed
 from chronolith.operators import compose, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.plans.history import History
 from chronolith.schema import Limits, Options
+from chronolith.sources.jsonl import developers
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIRST = Options(since="1995-01-01", until="1997-12-31")
@@ -43,6 +44,7 @@ def queries() -> dict[str, Query]:
         "contributors": _on("fine", lambda h: ranking.contributors(h, 0)),
         "contributors_top10": _on("coarse", lambda h: ranking.contributors(h, 10)),
         "dev_emails": _on("fine", ranking.dev_emails),
+        "dev_registry": _on("fine", lambda h: developers(h.commits)),
         "hotspots": _on("fine", lambda h: ranking.hotspots(h, 0)),
         "hotspots_top10": _on("coarse", lambda h: ranking.hotspots(h, 10)),
         "hotspots_window": _on("fine", lambda h: ranking.hotspots(h, 0), options=FIRST),

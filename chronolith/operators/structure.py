@@ -92,8 +92,9 @@ def structure(h: History, max_depth: int = 0, max_children: int = 0) -> DataFram
         hidden = nodes.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.greatest(F.count(F.lit(1)) - max_children, F.lit(0)).alias("hidden_children"))
         gone = nodes.where((F.col("rank") > max_children) & F.col("is_dir") & F.col("parent").isNotNull()).select(F.col("path").alias("gone"))
         kept = nodes.where((F.col("rank") <= max_children) | F.col("parent").isNull())
-        below = (F.col("parent") == F.col("gone")) | F.startswith("path", F.concat("gone", F.lit("/")))
-        kept = kept.join(gone, below, "left_anti")
+        above = F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))
+        lost = kept.where("depth > 1").select("path", "is_dir", F.explode(above).alias("gone")).join(gone, "gone", "left_semi").select("path", "is_dir").distinct()
+        kept = kept.join(lost, ["path", "is_dir"], "left_anti")
         nodes = kept.join(hidden.withColumnRenamed("parent", "p"), F.col("is_dir") & (F.col("path") == F.col("p")), "left").drop("p").withColumn("hidden_children", F.coalesce("hidden_children", F.lit(0)))
     else:
         nodes = nodes.withColumn("hidden_children", F.lit(0).cast("bigint"))

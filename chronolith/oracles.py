@@ -194,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "contributors": f"{fine} {_CONTRIBUTORS}",
         "contributors_top10": f"{coarse} {_CONTRIBUTORS} LIMIT 10",
         "dev_emails": f"{fine} SELECT DISTINCT email FROM c",
+        "dev_registry": f"{fine} SELECT sha256(lower(trim(email))) AS dev_id, min(name) AS name, min(email) AS email FROM c GROUP BY 1",
         "hotspots": f"{fine} {_HOTSPOTS}",
         "hotspots_top10": f"{coarse} {_HOTSPOTS} LIMIT 10",
         "hotspots_window": f"{base(**first)} {_HOTSPOTS}",

@@ -91,6 +91,13 @@ def load_lines(spark: SparkSession, lines: list[str], options: Options = Options
     return history_of(records, options)
 
 
+def developers(commits: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(dev_id, name, email): each author email, case and outer blanks aside, under its first name; without those of `known`."""
+    key = F.lower(F.trim("email"))
+    found = commits.where(key != "").groupBy(F.sha2(key, 256).alias("dev_id")).agg(F.min_by(F.struct("name", "email"), "ord").alias("x")).select("dev_id", "x.name", "x.email")
+    return found if known is None else found.join(known.select("dev_id"), "dev_id", "left_anti")
+
+
 def store(records: DataFrame, path: str) -> None:
     """Records as Parquet, the form to query repeatedly: columns are pruned and filters pushed down there."""
     records.write.mode("overwrite").partitionBy("type").parquet(path)

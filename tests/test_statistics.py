@@ -173,3 +173,11 @@ def test_diff_and_gates(history):
     found = compose.gates(a, 1, 1.0).collect()
     assert [(r.rule, r.file) for r in found] == [("busfactor", "f"), ("churn-risk", "f")] and found[0].message == "Bus factor 1 (only a@x)"
     assert compose.gates(a).count() == 0
+
+
+def test_developers(history):
+    from chronolith.sources.jsonl import developers
+
+    h = history(commit("1", "A@x "), commit("2", "a@X"), commit("3", ""), commit("4", "b@x"))
+    found = developers(h.commits)
+    assert sorted(rows(found, "email")) == [("A@x ",), ("b@x",)] and developers(h.commits, found.where("email = 'b@x'")).count() == 1
