@@ -5,14 +5,17 @@ anchor: the leftmost of those with the smallest hash. Equal windows have equal a
 anchor's hash stands nowhere else cannot repeat, and needs no further look: a filter that loses nothing. Windows
 with one anchor are neighbours and form a run, about one for every (size - gram) / 2 units.
 
-1. mark():    every text's runs, as (anchor hash, first window);
-2. survivors(): runs whose anchor hash is shared, by text;
-3. contents(): those runs' contents, one row for each run, and the distinct contents with their first place;
-4. first places of the windows of contents that share an anchor: by suffix arrays or by counted hashes
-   (the caller's step; by_windows() is the plain form, exact for groups of any size);
-5. flagged(): back to the texts: the windows that start earlier elsewhere.
-
-Texts are told apart by id and by a hash of the text, so repeated rows do not multiply in joins.
+1. mark():       every text's runs: anchor hash, hash of the content, first window, number of windows;
+2. survivors():  runs whose anchor hash is shared;
+3. distinct():   their different contents, each with its first place. Where an anchor has one content only, that
+                 place settles all windows of all its copies;
+4. contents():   what anchors with several contents hold, cut out of the texts once for each content; the caller
+                 finds the first place of each window there, by suffix arrays or by counted hashes
+                 (by_windows() is the plain form, exact for groups of any size);
+5. flagged():    back to the texts: the windows that start earlier elsewhere.
+
+Texts are told apart by id and by a hash of the text, so repeated rows do not multiply in joins; in between, the
+number `r` of a marked text stands for both. Tables go as soon as no later step reads them.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved
+from chronolith.llm.common import discard, saved
 
 U = np.uint64
 C = U(0x9E3779B97F4A7C15)
@@ -101,82 +104,99 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
-def mark(texts: DataFrame, units: Units, size: int, gram: int) -> DataFrame:
-    """(id, th, g, l): anchor hash and first window of every run; saved."""
+Content = Callable[[bytes, np.ndarray], Callable[[int, int], object]]  # text, hashes -> what windows a to b hold
+
+
+def mark(texts: DataFrame, units: Units, size: int, gram: int, content: Content) -> DataFrame:
+    """(r, id, th, g, rid, l, n): a number for the text, and arrays over its runs; saved."""
 
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gs, ls = [], []
+            out: list[list] = [[], [], [], []]
             for text in batch["text"]:
-                first, _, anchor = runs(mix(rolled(units(text), gram)), size, gram)
-                gs.append(anchor.view(np.int64))
-                ls.append(first.astype(np.int32))
-            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "g": gs, "l": ls})
+                hashes = units(text)
+                first, last, anchor = runs(mix(rolled(hashes, gram)), size, gram)
+                of = content(text, hashes)
+                digests = np.fromiter((xxhash.xxh3_64_intdigest(of(a, b)) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+                for column, values in zip(out, (anchor.view(np.int64), digests.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)), strict=True):
+                    column.append(values)
+            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], **dict(zip(("g", "rid", "l", "n"), out, strict=True))})
+
+    return saved(texts.mapInPandas(find, "id bigint, th bigint, g array<bigint>, rid array<bigint>, l array<int>, n array<int>").where("size(g) > 0").withColumn("r", F.monotonically_increasing_id()))
 
-    return saved(texts.mapInPandas(find, "id bigint, th bigint, g array<bigint>, l array<int>").where("size(g) > 0"))
 
+def survivors(marked: DataFrame, elsewhere: Column) -> tuple[DataFrame, DataFrame]:
+    """(g, rid, id, r, l, n): runs whose anchor hash is shared in the sense of `elsewhere` (an aggregate over id); and (r, id, th). Both saved; `marked` goes."""
+    names = saved(marked.select("r", "id", "th"))
+    shared = saved(marked.select("id", F.explode("g").alias("g")).groupBy("g").agg(elsewhere.alias("shared")).where("shared").select("g"))
+    rows = marked.select("id", "r", F.explode(F.arrays_zip("g", "rid", "l", "n")).alias("x")).select("x.g", "x.rid", "id", "r", "x.l", "x.n")
+    found = saved(rows.join(shared, "g"))
+    discard(marked, shared)
+    return found, names
 
-def survivors(marked: DataFrame, elsewhere: Column) -> DataFrame:
-    """(id, th, ls): first windows of the runs whose anchor hash is shared in the sense of `elsewhere` (an aggregate)."""
-    rows = marked.select("id", "th", F.explode(F.arrays_zip("g", "l")).alias("x")).select("id", "th", "x.g", "x.l")
-    shared = saved(rows.groupBy("g").agg(elsewhere.alias("shared")).where("shared").select("g"))
-    found = rows.join(shared, "g")
-    return saved(found.groupBy(*KEYS).agg(F.array_sort(F.collect_set("l")).alias("ls")))  # a text's own runs
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """(g, rid, first, n, m): the different contents, their first place (id, l, r), and how many contents the anchor has; saved."""
+    found = saved(rows.groupBy("g", "rid").agg(F.min(F.struct("id", "l", "r")).alias("first"), F.first("n").alias("n")))
+    several = saved(found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    counted = saved(found.join(several, "g", "left").withColumn("m", F.coalesce("m", F.lit(1))))
+    discard(found, several)
+    return counted
 
-def contents(texts: DataFrame, wanted: DataFrame, units: Units, size: int, gram: int, content: Callable[[bytes, np.ndarray], Callable[[int, int], object]], kind: str) -> tuple[DataFrame, DataFrame]:
-    """(id, th, l, n, g, rid) for each surviving run of n windows, and the distinct (g, rid) with first (id, l) and content."""
+
+def contents(texts: DataFrame, names: DataFrame, wanted: DataFrame, units: Units, content: Content, kind: str) -> DataFrame:
+    """(g, rid, first, content) of the contents in `wanted`, cut out of the texts of their first places."""
+    by_text = wanted.groupBy(F.col("first.r").alias("r")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "n", "g", "rid")).alias("cuts"))  # a text's own runs
+    by_text = by_text.join(names, "r").drop("r")
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["g", "rid", "id", "l", "content"]
         for batch in batches:
             out = []
-            for i, th, text, ls in zip(batch["id"], batch["th"], batch["text"], batch["ls"], strict=True):
-                hashes = units(text)
-                first, last, anchor = runs(mix(rolled(hashes, gram)), size, gram)
-                of = content(text, hashes)
-                for at in np.nonzero(np.isin(first, ls))[0].tolist():
-                    a, b = int(first[at]), int(last[at])
-                    body = of(a, b)
-                    digest = xxhash.xxh3_64_intdigest(body if isinstance(body, bytes) else body.tobytes())
-                    out.append((i, th, a, b - a + 1, int(anchor[at].view(np.int64)), digest - (1 << 63), body))
-                    if len(out) == 20_000:
-                        yield pd.DataFrame(out, columns=["id", "th", "l", "n", "g", "rid", "content"])
-                        out = []
-            yield pd.DataFrame(out, columns=["id", "th", "l", "n", "g", "rid", "content"])
+            for i, text, cuts in zip(batch["id"], batch["text"], batch["cuts"], strict=True):
+                of = content(text, units(text))
+                for c in cuts:
+                    out.append((c["g"], c["rid"], i, c["l"], of(c["l"], c["l"] + c["n"] - 1)))
+                if len(out) > 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
-    rows = saved(texts.join(wanted, KEYS).mapInPandas(cut, f"id bigint, th bigint, l int, n int, g bigint, rid bigint, content {kind}"))
-    distinct = rows.groupBy("g", "rid").agg(F.min(F.struct("id", "l")).alias("first"), F.first("content").alias("content"))
-    return rows.drop("content"), saved(distinct)
+    return texts.join(by_text, KEYS).mapInPandas(cut, f"g bigint, rid bigint, id bigint, l int, content {kind}")
 
 
-def crowded(distinct: DataFrame) -> DataFrame:
-    """(g, n): anchors with more than one content, and how many."""
-    return distinct.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+def by_windows(held: DataFrame, windows: Column) -> DataFrame:
+    """(g, rid, fi, fl): for every window of a content, id and start of its first place, counted by equal windows."""
+    each = held.select("g", "rid", "id", "l", F.posexplode(windows).alias("i", "h")).select("g", "rid", "i", "h", F.struct("id", (F.col("l") + F.col("i")).alias("l")).alias("place"))
+    least = each.groupBy("g", "h").agg(F.min("place").alias("least"))
+    placed = each.select("g", "rid", "i", "h").join(least, ["g", "h"]).groupBy("g", "rid").agg(F.array_sort(F.collect_set(F.struct("i", "least"))).alias("x"))  # a content's own windows; a repeated row gives them twice
+    return placed.select("g", "rid", F.transform("x", lambda x: x["least"]["id"]).alias("fi"), F.transform("x", lambda x: x["least"]["l"]).alias("fl"))
 
 
-def by_windows(shared: DataFrame, windows: Column) -> DataFrame:
-    """(g, rid, firsts): for every window of a content, the first (id, l) where it starts, counted by equal windows."""
-    each = shared.select("g", "rid", "first", F.posexplode(windows).alias("i", "h")).select("g", "rid", "i", "h", F.struct(F.col("first.id").alias("id"), (F.col("first.l") + F.col("i")).alias("l")).alias("place"))
-    least = each.groupBy("g", "h").agg(F.min("place").alias("least"))
-    return each.select("g", "rid", "i", "h").join(least, ["g", "h"]).groupBy("g", "rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("firsts"))
+def _packed(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("bigint"), 32) + b
 
 
-def flagged(rows: DataFrame, distinct: DataFrame, firsts: DataFrame, earlier: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(id, th, spans): [first, last] starts of flagged windows. earlier(place, id, l) tells if a place counts as earlier."""
-    lone = distinct.select("g", "rid", "first")
-    placed = rows.join(lone.join(firsts, ["g", "rid"], "left"), ["g", "rid"])
-    whole = F.when(earlier(F.col("first"), F.col("id"), F.col("l")), F.array(F.struct(F.col("l").alias("a"), (F.col("l") + F.col("n") - 1).alias("b"))))
-    single = F.transform(F.filter(F.transform(F.col("firsts"), lambda x, i: F.struct((F.col("l") + i).alias("a"), x.alias("x"))), lambda s: earlier(s["x"], F.col("id"), s["a"])), lambda s: F.struct(s["a"].alias("a"), s["a"].alias("b")))
-    spans = placed.select(*KEYS, F.explode(F.when(F.col("firsts").isNull(), whole).otherwise(single)).alias("s"))
-    return spans.groupBy(*KEYS).agg(F.collect_set("s").alias("spans"))  # a text's own windows
+def flagged(rows: DataFrame, names: DataFrame, contents: DataFrame, firsts: DataFrame, earlier: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """(id, th, spans): first and last starts of flagged windows, packed in a BIGINT; saved. earlier(first id, first start, id, start) tells what counts as earlier."""
+    i, l = F.col("id"), F.col("l")
+    lone = rows.join(contents.where("m = 1").select("g", "rid", "first"), ["g", "rid"]).where(earlier(F.col("first.id"), F.col("first.l"), i, l))
+    lone = lone.select("r", F.array(_packed(l, l + F.col("n") - 1)).alias("s"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: earlier(F.get("fi", k), F.get("fl", k), i, l + k))
+    mixed = rows.join(firsts, ["g", "rid"]).select("r", F.transform(starts, lambda k: _packed(l + k, l + k)).alias("s")).where("size(s) > 0")
+    parts = saved(lone.unionAll(mixed))
+    discard(rows, contents, firsts)
+    spans = parts.groupBy("r").agg(F.flatten(F.collect_list("s")).alias("spans"))  # a text's own windows
+    found = saved(spans.join(names, "r").groupBy(*KEYS).agg(F.first("spans").alias("spans")))  # a row that is repeated has two numbers, and the same spans under both
+    discard(parts, names)
+    return found
 
 
-def covered(units: int, spans: Iterable, size: int) -> np.ndarray:
+def covered(units: int, spans: np.ndarray | None, size: int) -> np.ndarray:
     """Boolean per unit: inside a flagged window."""
     edge = np.zeros(units + 1, np.int64)
     if spans is not None and len(spans):
-        a = np.array([s["a"] for s in spans], np.int64)
-        b = np.array([s["b"] for s in spans], np.int64)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, np.minimum(b + size, units), -1)
+        packed = np.asarray(spans, np.int64)
+        np.add.at(edge, packed >> 32, 1)
+        np.add.at(edge, np.minimum((packed & 0xFFFFFFFF) + size, units), -1)
     return np.cumsum(edge[:-1]) > 0

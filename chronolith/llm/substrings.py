@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import table
-from chronolith.llm.repeats import KEYS, by_windows, contents, covered, crowded, flagged, keyed, mark, mix, rolled, survivors
+from chronolith.llm.common import discard, saved, table
+from chronolith.llm.repeats import KEYS, by_windows, contents, covered, distinct, flagged, keyed, mark, mix, rolled, survivors
 
 WINDOW = 50
 GRAM = 8
@@ -59,18 +59,20 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are not read.
     """
     texts = keyed(docs, id_col, text_col)
-    marked = mark(texts.where("id is not null"), word_hashes, size, gram)
-    wanted = survivors(marked, F.min("id") < F.max("id"))
-    rows, distinct = contents(texts, wanted, word_hashes, size, gram, _windows(size), "array<bigint>")
-    firsts = by_windows(distinct.join(crowded(distinct), "g"), F.col("content"))
-    spans = flagged(rows, distinct, firsts, lambda first, i, _: first["id"] < i)
+    of = _windows(size)
+    rows, names = survivors(mark(texts.where("id is not null"), word_hashes, size, gram, of), F.min("id") < F.max("id"))
+    found = distinct(rows)
+    held = saved(contents(texts, names, found.where("m > 1"), word_hashes, of, "array<bigint>"))
+    firsts = saved(by_windows(held, F.col("content")))
+    discard(held)
+    spans = flagged(rows, names, found, firsts, lambda first_id, _first, i, _start: first_id < i)
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text, found in zip(batch["id"], batch["text"], batch["spans"], strict=True):
+            for i, text, starts in zip(batch["id"], batch["text"], batch["spans"], strict=True):
                 words = text.split()
-                gone = covered(len(words), found, size)
+                gone = covered(len(words), starts, size)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 out.append((i, b" ".join(kept), len(words), len(words) - len(kept)))
             yield pd.DataFrame(out, columns=["id", "kept", "n_words", "n_removed"])

@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import table
-from chronolith.llm.repeats import KEYS, by_windows, contents, covered, crowded, flagged, keyed, mark, mix, survivors
+from chronolith.llm.common import saved, table
+from chronolith.llm.repeats import KEYS, by_windows, contents, covered, distinct, flagged, keyed, mark, mix, survivors
 
 WINDOW = 100
-GRAM = 20
+GRAM = 32
 SHARD_BYTES = 1 << 19
 MERGED = 4_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -82,32 +82,38 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(text: bytes, order: np.ndarray, limit: int) -> np.ndarray:
-    """Kasai (which needs the whole order, not one up to a depth): entry i is the common prefix, `limit` at most, of suffixes order[i-1] and order[i]."""
-    n = len(order)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+def common_prefixes(joined: bytes, begins: np.ndarray, ends: np.ndarray, steps: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+    """Kasai's walk: for each place, the common prefix (`limit` at most, inside parts) with the suffix before it in the order.
+
+    A step to the next place of a part loses one unit of its prefix at most, so only what lies beyond is compared.
+    The parts are walked side by side, eight bytes at a time; `steps` is how many places of each part count.
+    """
+    n = len(joined)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    found = [0] * n
-    h = 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            h = 0
-            continue
-        if h > 0:
-            h -= 1
-        top = min(limit, n - (i if i > j else j))
-        if h < top:
-            if text[i + h : i + top] == text[j + h : j + top]:
-                h = top
-            else:
-                while h < top and text[i + h] == text[j + h]:
-                    h += 1
-        elif h > top:
-            h = top
-        found[i] = h
-    return np.array(found, np.int64)[order]
+    raw = np.frombuffer(joined + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(raw, (n + 1, 8), (1, 1)).copy().view("<u8").ravel()
+    end_of = np.repeat(ends, ends + 1 - begins)[:n]
+    out = np.zeros(n, np.int64)
+    lanes = np.argsort(-steps, kind="stable")
+    begins, steps = begins[lanes], steps[lanes]
+    h = np.zeros(len(begins), np.int64)
+    for k in range(int(steps.max(initial=0))):
+        many = int(np.searchsorted(-steps, -k, side="left"))  # parts with more than k places
+        i = begins[:many] + k
+        j = before[i]
+        known = np.maximum(h[:many] - 1, 0)
+        top = np.where(j >= 0, np.minimum(limit, np.minimum(end_of[i] - i, end_of[j] - j)), 0)
+        known = np.minimum(known, top)
+        open_ = np.nonzero(known < top)[0]
+        while len(open_):
+            x = eight[i[open_] + known[open_]] ^ eight[j[open_] + known[open_]]
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // 8)
+            known[open_] = np.minimum(known[open_] + same, top[open_])
+            open_ = open_[(same == 8) & (known[open_] < top[open_])]
+        h[:many] = known
+        out[i] = known
+    return out
 
 
 def shard_classes(bodies: list[bytes], ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[tuple[int, int]]]:
@@ -124,7 +130,7 @@ def shard_classes(bodies: list[bytes], ids: np.ndarray, starts: np.ndarray, size
     window_of = np.full(len(text), -1, np.int64)
     window_of[at] = np.arange(len(at))
     order = suffix_array(text)
-    prefix = common_prefixes(text.astype("<u2").tobytes().decode("utf-16-le", "surrogatepass"), order, size)
+    prefix = common_prefixes(joined, begins, begins + sizes, windows, order, size)[order]
     own = window_of[order] >= 0
     # a suffix between two equal windows shares their bytes and so is a window itself
     chain = np.cumsum(prefix < size)
@@ -165,8 +171,8 @@ class Merge:
         return self.places[np.searchsorted(self.strings, new)].tolist()
 
 
-def _first_places(shared: DataFrame, size: int) -> DataFrame:
-    """(g, rid, firsts) of contents dealt by anchor, through suffix arrays."""
+def _first_places(held: DataFrame, size: int) -> DataFrame:
+    """(g, rid, fi, fl) of contents dealt by anchor, through suffix arrays."""
 
     def resolve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -175,10 +181,10 @@ def _first_places(shared: DataFrame, size: int) -> DataFrame:
 
         def answer(shard: list[tuple], built: tuple, places: list[tuple[int, int]]) -> pd.DataFrame:
             owner, inner, klass, _, _ = built
-            firsts: list[list] = [[None] * (len(r[4]) - size + 1) for r in shard]
-            for o, i, k in zip(owner.tolist(), inner.tolist(), klass.tolist(), strict=True):
-                firsts[o][i] = {"id": places[k][0], "l": places[k][1]}
-            return pd.DataFrame({"g": [r[0] for r in shard], "rid": [r[1] for r in shard], "firsts": firsts})
+            in_text = np.lexsort((inner, owner))
+            place = np.array(places, np.int64).reshape(-1, 2)[klass[in_text]]
+            cuts = np.cumsum([len(r[4]) - size + 1 for r in shard])[:-1]
+            return pd.DataFrame({"g": [r[0] for r in shard], "rid": [r[1] for r in shard], "fi": np.split(place[:, 0], cuts), "fl": np.split(place[:, 1].astype(np.int32), cuts)})
 
         def solve(shards: list[list[tuple]]) -> Iterator[pd.DataFrame]:
             """Shards of whole anchors stand alone; those that one anchor spans are merged."""
@@ -229,8 +235,8 @@ def _first_places(shared: DataFrame, size: int) -> DataFrame:
         if shard:
             yield from solve([shard])
 
-    dealt = shared.select("g", "rid", F.col("first.id").alias("id"), F.col("first.l").alias("l"), "content").repartition(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
-    return dealt.mapInPandas(resolve, "g bigint, rid bigint, firsts array<struct<id:bigint,l:int>>")
+    dealt = held.select("g", "rid", "id", "l", "content").repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+    return dealt.mapInPandas(resolve, "g bigint, rid bigint, fi array<bigint>, fl array<int>")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -242,20 +248,21 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives no rows; other columns are not read. What is kept may cut a character in two.
     """
     texts = keyed(docs, id_col, text_col)
-    marked = mark(texts.where("id is not null"), byte_hashes, size, gram)
-    wanted = survivors(marked, F.count(F.lit(1)) > 1)
-    rows, distinct = contents(texts, wanted, byte_hashes, size, gram, _cut(size), "binary")
-    shared = distinct.join(crowded(distinct), "g")
-    small = _first_places(shared.where(F.col("m") <= MERGED), size)
-    windows = F.transform(F.sequence(F.lit(1), F.octet_length("content") - size + 1), lambda i: F.substring(F.col("content"), i, F.lit(size)))
-    large = by_windows(shared.where(F.col("m") > MERGED), windows)
-    spans = flagged(rows, distinct, small.unionByName(large.select("g", "rid", F.transform("firsts", lambda x: F.struct(x["id"].alias("id"), x["l"].cast("int").alias("l"))).alias("firsts"))), lambda first, i, start: (first["id"] < i) | ((first["id"] == i) & (first["l"] < start)))
+    of = _cut(size)
+    rows, names = survivors(mark(texts.where("id is not null"), byte_hashes, size, gram, of), F.count(F.lit(1)) > 1)
+    found = distinct(rows)
+    firsts = _first_places(contents(texts, names, found.where((F.col("m") > 1) & (F.col("m") <= MERGED)), byte_hashes, of, "binary"), size)
+    large = found.where(F.col("m") > MERGED)
+    if large.take(1):
+        windows = F.transform(F.sequence(F.lit(1), F.octet_length("content") - size + 1), lambda i: F.substring(F.col("content"), i, F.lit(size)))
+        firsts = firsts.unionByName(by_windows(saved(contents(texts, names, large, byte_hashes, of, "binary")), windows))
+    spans = flagged(rows, names, found, saved(firsts), lambda first_id, first, i, start: (first_id < i) | ((first_id == i) & (first < start)))
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text, found in zip(batch["id"], batch["text"], batch["spans"], strict=True):
-                gone = covered(len(text), found, size)
+            for i, text, starts in zip(batch["id"], batch["text"], batch["spans"], strict=True):
+                gone = covered(len(text), starts, size)
                 n = int(gone.sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
                 out.append((i, kept, len(text), n, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())))
