@@ -10,7 +10,7 @@ with one anchor are neighbours and form a run, about one for every (size - gram)
 3. distinct():   their different contents, each with its first place. Where an anchor has one content only, that
                  place settles all windows of all its copies;
 4. contents():   what anchors with several contents hold, cut out of the texts once for each content; the caller
-                 finds the first place of each window there, by suffix arrays or by counted hashes
+                 finds the windows that start earlier elsewhere, by suffix arrays or by counted hashes
                  (by_windows() is the plain form, exact for groups of any size);
 5. flagged():    back to the texts: the windows that start earlier elsewhere.
 
@@ -165,30 +165,34 @@ def contents(texts: DataFrame, names: DataFrame, wanted: DataFrame, units: Units
     return texts.join(by_text, KEYS).mapInPandas(cut, f"g bigint, rid bigint, id bigint, l int, content {kind}")
 
 
-def by_windows(held: DataFrame, windows: Column) -> DataFrame:
-    """(g, rid, fi, fl): for every window of a content, id and start of its first place, counted by equal windows."""
-    each = held.select("g", "rid", "id", "l", F.posexplode(windows).alias("i", "h")).select("g", "rid", "i", "h", F.struct("id", (F.col("l") + F.col("i")).alias("l")).alias("place"))
-    least = each.groupBy("g", "h").agg(F.min("place").alias("least"))
-    placed = each.select("g", "rid", "i", "h").join(least, ["g", "h"]).groupBy("g", "rid").agg(F.array_sort(F.collect_set(F.struct("i", "least"))).alias("x"))  # a content's own windows; a repeated row gives them twice
-    return placed.select("g", "rid", F.transform("x", lambda x: x["least"]["id"]).alias("fi"), F.transform("x", lambda x: x["least"]["l"]).alias("fl"))
+Earlier = Callable[[Column, Column, Column, Column], Column]  # (id, start) of one place, (id, start) of another: does the first count as earlier?
 
 
 def _packed(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("bigint"), 32) + b
 
 
-def flagged(rows: DataFrame, names: DataFrame, contents: DataFrame, firsts: DataFrame, earlier: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
-    """(id, th, spans): first and last starts of flagged windows, packed in a BIGINT; saved. earlier(first id, first start, id, start) tells what counts as earlier."""
+def by_windows(held: DataFrame, windows: Column, earlier: Earlier) -> DataFrame:
+    """(g, rid, s): of each content at its own first place, the windows that start earlier elsewhere, counted by equal windows."""
+    each = held.select("g", "rid", "id", "l", F.posexplode(windows).alias("i", "h")).withColumn("l", F.col("l") + F.col("i"))
+    least = each.groupBy("g", "h").agg(F.min(F.struct("id", "l")).alias("least"))
+    found = each.join(least, ["g", "h"]).where(earlier(F.col("least.id"), F.col("least.l"), F.col("id"), F.col("l")))
+    return found.groupBy("g", "rid").agg(F.collect_set(_packed(F.col("i"), F.col("i"))).alias("s"))  # a content's own windows
+
+
+def flagged(rows: DataFrame, names: DataFrame, contents: DataFrame, starts: DataFrame, earlier: Earlier) -> DataFrame:
+    """(id, th, spans): first and last starts of flagged windows, packed in a BIGINT; saved. starts: (g, rid, s) of contents at their first place.
+
+    A run whose content has an earlier place is flagged whole; else its windows are those of the first place.
+    """
     i, l = F.col("id"), F.col("l")
-    lone = rows.join(contents.where("m = 1").select("g", "rid", "first"), ["g", "rid"]).where(earlier(F.col("first.id"), F.col("first.l"), i, l))
-    lone = lone.select("r", F.array(_packed(l, l + F.col("n") - 1)).alias("s"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: earlier(F.get("fi", k), F.get("fl", k), i, l + k))
-    mixed = rows.join(firsts, ["g", "rid"]).select("r", F.transform(starts, lambda k: _packed(l + k, l + k)).alias("s")).where("size(s) > 0")
-    parts = saved(lone.unionAll(mixed))
-    discard(rows, contents, firsts)
-    spans = parts.groupBy("r").agg(F.flatten(F.collect_list("s")).alias("spans"))  # a text's own windows
+    placed = rows.join(contents.select("g", "rid", "first", "m"), ["g", "rid"]).withColumn("whole", earlier(F.col("first.id"), F.col("first.l"), i, l))
+    placed = saved(placed.where("whole OR m > 1").select("g", "rid", "r", "l", "n", "whole"))
+    whole = placed.where("whole").select("r", F.array(_packed(l, l + F.col("n") - 1)).alias("s"))
+    some = placed.where("NOT whole").join(starts, ["g", "rid"]).select("r", F.transform("s", lambda x: x + _packed(l, l)).alias("s"))
+    spans = whole.unionAll(some).groupBy("r").agg(F.flatten(F.collect_list("s")).alias("spans"))  # a text's own windows
     found = saved(spans.join(names, "r").groupBy(*KEYS).agg(F.first("spans").alias("spans")))  # a row that is repeated has two numbers, and the same spans under both
-    discard(parts, names)
+    discard(rows, contents, starts, placed, names)
     return found
 
 

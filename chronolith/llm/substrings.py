@@ -63,9 +63,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, names = survivors(mark(texts.where("id is not null"), word_hashes, size, gram, of), F.min("id") < F.max("id"))
     found = distinct(rows)
     held = saved(contents(texts, names, found.where("m > 1"), word_hashes, of, "array<bigint>"))
-    firsts = saved(by_windows(held, F.col("content")))
+    earlier = lambda first_id, _first, i, _start: first_id < i
+    starts = saved(by_windows(held, F.col("content"), earlier))
     discard(held)
-    spans = flagged(rows, names, found, firsts, lambda first_id, _first, i, _start: first_id < i)
+    spans = flagged(rows, names, found, starts, earlier)
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

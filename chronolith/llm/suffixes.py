@@ -171,8 +171,8 @@ class Merge:
         return self.places[np.searchsorted(self.strings, new)].tolist()
 
 
-def _first_places(held: DataFrame, size: int) -> DataFrame:
-    """(g, rid, fi, fl) of contents dealt by anchor, through suffix arrays."""
+def _earlier_starts(held: DataFrame, size: int) -> DataFrame:
+    """(g, rid, s): by_windows() of contents dealt by anchor, through suffix arrays."""
 
     def resolve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -181,10 +181,20 @@ def _first_places(held: DataFrame, size: int) -> DataFrame:
 
         def answer(shard: list[tuple], built: tuple, places: list[tuple[int, int]]) -> pd.DataFrame:
             owner, inner, klass, _, _ = built
+            place = np.array(places, np.int64).reshape(-1, 2)[klass]
+            own_id = np.array([r[2] for r in shard], np.int64)[owner]
+            own_start = np.array([r[3] for r in shard], np.int64)[owner] + inner
+            earlier = (place[:, 0] < own_id) | ((place[:, 0] == own_id) & (place[:, 1] < own_start))
+            owner, inner = owner[earlier], inner[earlier]
             in_text = np.lexsort((inner, owner))
-            place = np.array(places, np.int64).reshape(-1, 2)[klass[in_text]]
-            cuts = np.cumsum([len(r[4]) - size + 1 for r in shard])[:-1]
-            return pd.DataFrame({"g": [r[0] for r in shard], "rid": [r[1] for r in shard], "fi": np.split(place[:, 0], cuts), "fl": np.split(place[:, 1].astype(np.int32), cuts)})
+            owner, inner = owner[in_text], inner[in_text]
+            head = np.ones(len(owner), bool)
+            head[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
+            a, last = np.nonzero(head)[0], np.append(np.nonzero(head)[0][1:] - 1, len(owner) - 1)[: head.sum()]
+            packed, of = (inner[a] << 32) + inner[last], owner[a]
+            cuts = np.nonzero(of[1:] != of[:-1])[0] + 1
+            which = of[np.concatenate([[0], cuts])] if len(of) else of
+            return pd.DataFrame({"g": [shard[w][0] for w in which], "rid": [shard[w][1] for w in which], "s": np.split(packed, cuts) if len(of) else []})
 
         def solve(shards: list[list[tuple]]) -> Iterator[pd.DataFrame]:
             """Shards of whole anchors stand alone; those that one anchor spans are merged."""
@@ -236,7 +246,7 @@ def _first_places(held: DataFrame, size: int) -> DataFrame:
             yield from solve([shard])
 
     dealt = held.select("g", "rid", "id", "l", "content").repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
-    return dealt.mapInPandas(resolve, "g bigint, rid bigint, fi array<bigint>, fl array<int>")
+    return dealt.mapInPandas(resolve, "g bigint, rid bigint, s array<bigint>")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -251,12 +261,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = _cut(size)
     rows, names = survivors(mark(texts.where("id is not null"), byte_hashes, size, gram, of), F.count(F.lit(1)) > 1)
     found = distinct(rows)
-    firsts = _first_places(contents(texts, names, found.where((F.col("m") > 1) & (F.col("m") <= MERGED)), byte_hashes, of, "binary"), size)
+    earlier = lambda first_id, first, i, start: (first_id < i) | ((first_id == i) & (first < start))
+    starts = _earlier_starts(contents(texts, names, found.where((F.col("m") > 1) & (F.col("m") <= MERGED)), byte_hashes, of, "binary"), size)
     large = found.where(F.col("m") > MERGED)
     if large.take(1):
         windows = F.transform(F.sequence(F.lit(1), F.octet_length("content") - size + 1), lambda i: F.substring(F.col("content"), i, F.lit(size)))
-        firsts = firsts.unionByName(by_windows(saved(contents(texts, names, large, byte_hashes, of, "binary")), windows))
-    spans = flagged(rows, names, found, saved(firsts), lambda first_id, first, i, start: (first_id < i) | ((first_id == i) & (first < start)))
+        starts = starts.unionByName(by_windows(saved(contents(texts, names, large, byte_hashes, of, "binary")), windows, earlier))
+    spans = flagged(rows, names, found, saved(starts), earlier)
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
