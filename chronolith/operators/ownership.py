@@ -32,7 +32,7 @@ def herfindahl(values: Column) -> Column:
     """Sum of squared shares of an array; negatives count as 0, an empty array gives 0."""
     held = F.transform(values, lambda v: F.greatest(v, F.lit(0)).cast("double"))
     total = F.aggregate(held, F.lit(0.0), lambda a, v: a + v)
-    return F.when(total > 0, F.aggregate(held, F.lit(0.0), lambda a, v: a + (v / total) * (v / total))).otherwise(0.0)
+    return F.when(total > 0, F.aggregate(held, F.lit(0.0), lambda a, v: a + v * v) / (total * total)).otherwise(0.0)  # one division: the order of the values plays no part
 
 
 def concentration_label(pct: Column, count: Column) -> Column:

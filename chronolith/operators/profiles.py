@@ -60,8 +60,9 @@ def profiles(h: History, email: str | None = None, n: int = 0) -> DataFrame:
     path = strip_repo(F.col("file")) if h.multi else F.col("file")
     dirs = mine.groupBy("email", dirname(path).alias("dir")).agg(F.count(F.lit(1)).alias("files"))
     of_all = Window.partitionBy("email")
-    dirs = dirs.withColumn("of_all", F.sum("files").over(of_all)).withColumn("pct", pct(F.col("files"), F.col("of_all"))).withColumn("share2", F.pow(F.col("files") / F.col("of_all"), F.lit(2.0)))
-    special = dirs.groupBy("email").agg(F.sum("share2").alias("specialization"))
+    dirs = dirs.withColumn("of_all", F.sum("files").over(of_all)).withColumn("pct", pct(F.col("files"), F.col("of_all")))
+    squares, whole = F.sum(F.col("files") * F.col("files")).cast("double"), F.sum("files").cast("double")
+    special = dirs.groupBy("email").agg((squares / (whole * whole)).alias("specialization"))  # whole numbers, one division
     scope = _best(dirs, TOP_DIRS, ["dir", "files", "pct"], "scope", F.desc("files"), "dir")
     exts = mine.groupBy("email", extension(F.col("file")).alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("churn"))
     exts = exts.withColumn("pct", pct(F.col("files"), F.sum("files").over(of_all)))

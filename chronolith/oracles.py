@@ -162,7 +162,7 @@ ws AS (SELECT email, isodow(ts_local) - 1 AS day, hour(ts_local) AS hour, count(
 {_ranked('ps', 'sl DESC, sf DESC, partner', "concat_ws(':', partner, sf, sl)", 5, 'collaborators')},
 ma AS (SELECT email, string_agg(p || ':' || n, ';' ORDER BY p) AS monthly_activity FROM (SELECT email, strftime(ts, '%Y-%m') AS p, count(*) AS n FROM c GROUP BY ALL) GROUP BY email),
 wg AS (SELECT email, string_agg(concat_ws(':', day, hour, n), ';' ORDER BY day, hour) AS work_grid, {_round('sum(CASE WHEN day >= 5 THEN n ELSE 0 END) / sum(n) * 100', 1)} AS weekend_pct FROM ws GROUP BY email),
-sp AS (SELECT email, sum(pow(files / of_all, 2)) AS sp FROM (SELECT email, files, sum(files) OVER (PARTITION BY email) AS of_all FROM ds) GROUP BY email),
+sp AS (SELECT email, CAST(sum(files * files) AS DOUBLE) / CAST(sum(files) * sum(files) AS DOUBLE) AS sp FROM ds GROUP BY email),
 ct AS ({_CONTRIBUTORS})
 SELECT name, email, commits, additions, deletions, additions + deletions AS lines_changed, files_touched, active_days, first_date, last_date, round(coalesce(sp, 0), 6) AS specialization,
  CASE WHEN coalesce(sp, 0) < 0.15 THEN 'broad generalist' WHEN sp < 0.35 THEN 'balanced' WHEN sp < 0.7 THEN 'focused specialist' ELSE 'narrow specialist' END AS specialist,
@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
     fine, coarse = base(), base("coarse")
     first = {"since": "1995-01-01", "until": "1997-12-31"}
     months = ", ".join(f"count(*) FILTER (WHERE month(ts) = {m}) AS m{m:02d}" for m in range(1, 13))
-    focus = "SELECT email, round(sum(pow(files / of_all, 2)), 6) AS specialization FROM (SELECT email, files, sum(files) OVER (PARTITION BY email) AS of_all FROM ds) GROUP BY email"
+    focus = "SELECT email, round(CAST(sum(files * files) AS DOUBLE) / CAST(sum(files) * sum(files) AS DOUBLE), 6) AS specialization FROM ds GROUP BY email"
     return {
         "summary": f"{fine} {_SUMMARY}",
         "summary_window": f"{base(**first)} {_SUMMARY}",
