@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.llm import similar
 from chronolith.llm.common import saved, table
 from chronolith.llm.components import components
 
@@ -119,8 +120,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id (of repeated rows of that id, one). Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    """One row of each group of near-duplicates: the one with the smallest id (of repeated rows of that id, one). Rows without an id stay.
+
+    No contract sets op8's shingles and bits here: groups are linked by five-word shingles at similarity 0.8 or more.
+    """
+    found = similar.groups(docs, id_col, text_col)
     firsts = found.select("component_id").where("component_id is not null").distinct()
     kept = docs.join(firsts, docs[id_col] == firsts["component_id"], "left_semi")
     return kept.dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
