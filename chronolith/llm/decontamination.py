@@ -1,34 +1,41 @@
 r"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts are lower-cased words of letters and digits. A mask samples five words of a span and ignores those in
-between, so a substituted word there does not hide a match. The hashed seeds of the benchmark meet those of all
-documents; a hit fixes how an item would lie on a document (the diagonal), and the words around it are compared:
-an overlap is a stretch of WINDOW aligned words (the whole item, if it is shorter) with at least 80 % equal.
-
-With at most every fifth word substituted, the first mask has a place that touches none of them.
+Texts are lower-cased words of letters and digits. A mask samples
+words of a span and ignores those in between, so a substituted word there does not hide a match. The hashed seeds
+of the benchmark meet those of all documents; a hit fixes how an item would lie on a document (the diagonal), and
+the words around it are compared: an overlap is a stretch of WINDOW aligned words with at least 80 % equal, or the
+whole item with at least 80 % equal.
+
+Every way of substituting words that these rules accept leaves a seed of SEEDS whole (a test goes through them all).
+OP9_SQL states the rules without whole items, by the seeds of MASKS.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import saved, table
 
-#: Sampled positions of each mask: five words of a span of six or seven.
+#: Of OP9_SQL: sampled positions of each mask, five words of a span of six or seven.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
 SPAN = 7
 #: Items with fewer words cannot be told from chance and take no part.
 MIN_WORDS = 8
 WINDOW = 13
 SIMILARITY = 0.8
+#: Masks of the operator: sampled positions, and the least and most words of the items that need them.
+SEEDS = (((0, 1, 2, 3, 4), MIN_WORDS, None), ((0, 1, 2, 4, 5), MIN_WORDS, None), ((0, 1, 2, 3), 10, 11))
 #: The smaller side of a join is broadcast if it has been counted and has no more rows; else both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the text's words; null: none."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(lower, r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -37,32 +44,43 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def seeds(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """(kept columns, at, mask, seed) for every place and mask; `h` holds the word hashes. Spans that leave the text have no seed."""
+def seeds(texts: DataFrame, keep: list[str], masks: list[int]) -> DataFrame:
+    """(kept columns, at, mask, seed) for every place and each of `masks`; `h` holds the word hashes. Spans that leave the text have no seed."""
     h = F.col("h")
 
     def at(i: Column) -> Column:
-        return F.named_struct(F.lit("at"), i, *(x for m, offsets in enumerate(MASKS) for x in (F.lit(f"s{m}"), F.xxhash64(*(F.get(h, i + o) for o in offsets)))))
+        return F.named_struct(F.lit("at"), i, *(x for m in masks for x in (F.lit(f"s{m}"), F.when(i + SEEDS[m][0][-1] < F.size(h), F.xxhash64(*(F.get(h, i + o) for o in SEEDS[m][0]))))))
 
-    places = F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN))
+    shortest = min(SEEDS[m][0][-1] for m in masks) + 1
+    places = F.when(F.size(h) >= shortest, F.sequence(F.lit(0), F.size(h) - shortest))
     each = texts.select(*keep, F.inline(F.transform(places, at)))
-    return each.select(*keep, "at", F.stack(F.lit(len(MASKS)), *(x for m in range(len(MASKS)) for x in (F.lit(m), F.col(f"s{m}")))).alias("mask", "seed"))
+    return each.select(*keep, "at", F.stack(F.lit(len(masks)), *(x for m in masks for x in (F.lit(m), F.col(f"s{m}")))).alias("mask", "seed")).where("seed IS NOT NULL")
+
+
+def _needs(m: int, n: Column) -> Column:
+    """True for items of `n` words that need the mask."""
+    return n.between(SEEDS[m][1], SEEDS[m][2] if SEEDS[m][2] is not None else (1 << 31) - 1)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, overlaps, similarity): documents that hold benchmark items or parts of them.
 
     `overlaps` counts the diagonals that were verified, `similarity` is the best share of an item's words that
-    lie equal on one of them. Null and empty texts have no words and no match; a repeated document or item row
+    lie equal on one of them. At other windows and similarities than the given ones seeds may miss some. Null and empty texts have no words and no match; a repeated document or item row
     counts once; rows without an id take part under a null id; empty tables give no rows; long documents are read
     whole; other columns are not read. Frequent seeds are rows of their own, never gathered.
     """
     items = saved(benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), word_hashes(F.col(item_text)).alias("ih")).where(F.size("ih") >= MIN_WORDS).distinct())
-    wanted = saved(seeds(items.withColumnRenamed("ih", "h"), ["item_id"]).select("mask", "seed", "item_id", F.col("at").alias("item_at")).distinct())
+    size = F.size("ih")
+    needed = items.agg(*(F.max(_needs(m, size)).alias(f"m{m}") for m in range(len(SEEDS)))).first()  # one row
+    masks = [m for m in range(len(SEEDS)) if needed[f"m{m}"]] or [0]
+    wanted = seeds(items.withColumnRenamed("ih", "h").withColumn("n", F.size("h")), ["item_id", "n"], masks)
+    fits = reduce(lambda x, y: x | y, [(F.col("mask") == m) & _needs(m, F.col("n")) for m in masks])
+    wanted = saved(wanted.where(fits).select("mask", "seed", "item_id", F.col("at").alias("item_at")).distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     hashed = texts.select("doc_id", "th", word_hashes(F.col("text")).alias("h"))
-    found = seeds(hashed, ["doc_id", "th"]).join(_small(wanted), ["mask", "seed"])
+    found = seeds(hashed, ["doc_id", "th"], masks).join(_small(wanted), ["mask", "seed"])
     hits = saved(found.select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     placed = texts.withColumnRenamed("doc_id", "id").join(_small(hits), F.col("id").eqNullSafe(F.col("doc_id")) & (texts["th"] == hits["th"])).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("h"))
     aligned = placed.join(_small(items), placed["item_id"].eqNullSafe(items["item_id"])).select(
@@ -73,7 +91,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     length = F.least(n, F.lit(window))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     enough = F.exists(F.sequence(F.lit(1), n - length + 1), lambda s: total(F.slice(F.col("equal"), s, length)) >= F.ceil(F.lit(similarity) * length))
-    verified = aligned.where(enough).select("doc_id", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
+    whole = total(F.col("equal")) >= F.ceil(F.lit(similarity) * n)
+    verified = aligned.where(whole | enough).select("doc_id", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
     return verified.groupBy("doc_id", "item_id").agg(F.count_distinct("diagonal").alias("overlaps"), F.max("similarity").alias("similarity"))
 
 
