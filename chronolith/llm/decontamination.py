@@ -1,13 +1,13 @@
 r"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts are lower-cased words of letters and digits. A mask samples
+Texts are lower-cased words of letters and digits; in scripts without spaces every letter is a word. A mask samples
 words of a span and ignores those in between, so a substituted word there does not hide a match. The hashed seeds
 of the benchmark meet those of all documents; a hit fixes how an item would lie on a document (the diagonal), and
 the words around it are compared: an overlap is a stretch of WINDOW aligned words with at least 80 % equal, or the
-whole item with at least 80 % equal.
+whole item with at least 80 % equal. Items of fewer than MIN_WORDS words must lie on a document word by word.
 
 Every way of substituting words that these rules accept leaves a seed of SEEDS whole (a test goes through them all).
-OP9_SQL states the rules without whole items, by the seeds of MASKS.
+OP9_SQL states the rules without whole items, short items and unspaced scripts, by the seeds of MASKS.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from chronolith.llm.common import saved, table
 #: Of OP9_SQL: sampled positions of each mask, five words of a span of six or seven.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
 SPAN = 7
-#: Items with fewer words cannot be told from chance and take no part.
+#: Items with fewer words cannot be told from chance if words are substituted; only exact copies of them count.
 MIN_WORDS = 8
 WINDOW = 13
 SIMILARITY = 0.8
 #: Masks of the operator: sampled positions, and the least and most words of the items that need them.
-SEEDS = (((0, 1, 2, 3, 4), MIN_WORDS, None), ((0, 1, 2, 4, 5), MIN_WORDS, None), ((0, 1, 2, 3), 10, 11))
+SEEDS = (((0, 1, 2, 3, 4), MIN_WORDS, None), ((0, 1, 2, 4, 5), MIN_WORDS, None), ((0, 1, 2, 3), 10, 11), *((tuple(range(n)), n, n) for n in range(1, MIN_WORDS)))
+#: Letters of scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: The smaller side of a join is broadcast if it has been counted and has no more rows; else both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,7 +37,8 @@ BROADCAST_ROWS = 1_000_000
 def word_hashes(text: Column) -> Column:
     """Hashes of the text's words; null: none."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    words = F.split(lower, r"[^\p{L}\p{N}]+")
+    spaced = F.when(F.length(lower) == F.octet_length(lower), lower).otherwise(F.regexp_replace(lower, f"({UNSPACED})", " $1 "))
+    words = F.split(spaced, r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -70,7 +73,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     counts once; rows without an id take part under a null id; empty tables give no rows; long documents are read
     whole; other columns are not read. Frequent seeds are rows of their own, never gathered.
     """
-    items = saved(benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), word_hashes(F.col(item_text)).alias("ih")).where(F.size("ih") >= MIN_WORDS).distinct())
+    items = saved(benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), word_hashes(F.col(item_text)).alias("ih")).where(F.size("ih") > 0).distinct())
     size = F.size("ih")
     needed = items.agg(*(F.max(_needs(m, size)).alias(f"m{m}") for m in range(len(SEEDS)))).first()  # one row
     masks = [m for m in range(len(SEEDS)) if needed[f"m{m}"]] or [0]
@@ -91,8 +94,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     length = F.least(n, F.lit(window))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     enough = F.exists(F.sequence(F.lit(1), n - length + 1), lambda s: total(F.slice(F.col("equal"), s, length)) >= F.ceil(F.lit(similarity) * length))
-    whole = total(F.col("equal")) >= F.ceil(F.lit(similarity) * n)
-    verified = aligned.where(whole | enough).select("doc_id", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
+    whole = total(F.col("equal")) >= F.when(n < MIN_WORDS, n).otherwise(F.ceil(F.lit(similarity) * n))
+    verified = aligned.where(whole | ((n >= MIN_WORDS) & enough)).select("doc_id", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
     return verified.groupBy("doc_id", "item_id").agg(F.count_distinct("diagonal").alias("overlaps"), F.max("similarity").alias("similarity"))
 
 
