@@ -8,12 +8,15 @@ in the whole corpus, n(e) occurrences of e and N words in all,
 
 is the share of e's information content that t discloses (1: t occurs beside e only). Terms at or above a
 threshold, with enough support, are spans too: at full disclosure the term is removed, else it is generalised.
-Every count is taken over all documents; a window is a few words on either side of a base span.
+Every count is taken over all documents. A window is CONTEXT words on either side of a base span. Support counts
+windows with different words, so copies of a text are one; within WINDOW words every occurrence counts. A term is a
+span wherever it stands, in documents without the value too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -25,7 +28,11 @@ from chronolith.llm.common import saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
+TERMS = "array<struct<start:int,stop:int,share:double>>"
 WINDOW = 4
+CONTEXT = 64
+#: Flagged terms up to so many are broadcast.
+BROADCAST_ROWS = 1_000_000
 MIN_SUPPORT = 5
 DISCLOSURE = 0.97
 REMOVAL = 0.999
@@ -78,16 +85,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, str, int, int]]:
-    """(value's hash, term, start, end) of the words near each span that no span touches; term '' marks the value itself."""
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _near(text: str, spans: list[tuple[int, int, int]], window: int, context: int) -> list[tuple[int, str, bool, int]]:
+    """(value's hash, term, whether within `window`, hash of all words within `context`) of the words around each
+    span that no span touches, each place once for a value; term '' marks the value itself."""
+    out = {}
+    taken = _taken(spans)
     for kind, a, b in spans:
-        value = int.from_bytes(blake2b(f"{kind}:{text[a:b]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        out.append((value, "", a, b))
+        value = _hash(f"{kind}:{text[a:b]}")
         left = []
         end = a
-        while len(left) < window and end > 0:  # words before, one at a time from the right
+        while len(left) < context and end > 0:  # words before, one at a time from the right
             stop = end
             while stop > 0 and text[stop - 1] in SPACES:
                 stop -= 1
@@ -101,24 +112,60 @@ def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tup
         right = []
         for m in _WORD.finditer(text, b):
             right.append(m.span())
-            if len(right) == window:
+            if len(right) == context:
                 break
-        for x, y in left[::-1] + right:
+        words = [(x, y, k < window) for side in (left, right) for k, (x, y) in enumerate(side)]
+        around = _hash(" ".join(text[x:y] for x, y, _ in words))
+        out[value, a, ""] = (value, "", True, around)
+        for x, y, close in words:
             word = text[x:y]
             body = word.strip(PUNCTUATION)
             if body:
                 x += word.index(body)
-                y = x + len(body)
-                if all(y <= p or x >= q for p, q in taken):
-                    out.append((value, body.translate(_FOLD), x, y))
+                if _free(x, x + len(body), taken) and (close or (value, x, body) not in out):
+                    out[value, x, body] = (value, body.translate(_FOLD), close, around)
+    return list(out.values())
+
+
+def _taken(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, greatest end so far) by start."""
+    out = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        out.append((a, b, max(b, out[-1][2] if out else b)))
+    return out
+
+
+def _free(a: int, b: int, taken: list[tuple[int, int, int]]) -> bool:
+    """True if no span of `taken`, which is sorted, touches a..b."""
+    k = bisect_left(taken, (b,))
+    while k > 0:  # spans of different kinds may overlap
+        k -= 1
+        if taken[k][1] > a:
+            return False
+        if taken[k][2] <= a:
+            return True
+    return True
+
+
+def _places(text: str, terms: dict[str, float]) -> list[dict]:
+    """Every place of the terms in the text that no base span touches."""
+    taken = _taken(base_spans(text))
+    out = []
+    for m in _WORD.finditer(text):
+        body = m[0].strip(PUNCTUATION)
+        share = terms.get(body.translate(_FOLD)) if body else None
+        if share is not None:
+            x = m.start() + m[0].index(body)
+            if _free(x, x + len(body), taken):
+                out.append({"start": x, "stop": x + len(body), "share": share})
     return out
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, keep: list[str]) -> DataFrame:
-    """One row per document: __row, kept columns, __base (spans), __near. Written to the shared folder, so `__row` is fixed."""
+def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, context: int, keep: list[str]) -> DataFrame:
+    """One row per document: __row, __th (hash of the text), kept columns, __base (spans), __near. Written to the shared folder, so `__row` is fixed."""
     kinds = "array<struct<kind:int,start:int,stop:int>>"
-    near = "array<struct<value:bigint,term:string,start:int,stop:int>>"
-    source = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    near = "array<struct<value:bigint,term:string,close:boolean,around:bigint>>"
+    source = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__th", F.xxhash64("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,21 +173,27 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, keep: list[s
             base = [base_spans(t) for t in batch["__text"]]
             out = batch.drop(columns="__text")
             out["__base"] = [[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in base]
-            out["__near"] = [[dict(zip(("value", "term", "start", "stop"), x, strict=True)) for x in _near(t, s, window)] if s else [] for t, s in zip(batch["__text"], base, strict=True)]
+            out["__near"] = [[dict(zip(("value", "term", "close", "around"), x, strict=True)) for x in _near(t, s, window, context)] if s else [] for t, s in zip(batch["__text"], base, strict=True)]
             yield out
 
     return saved(source.mapInPandas(scan, f"{fields}, __base {kinds}, __near {near}").withColumn("__row", F.monotonically_increasing_id()))
 
 
+def _words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(__th, term): every word of every document, with the hash of its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(F.xxhash64(text).alias("__th"), F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("word"))
+    return words.select("__th", F.translate(F.btrim("word", F.lit(PUNCTUATION)), UPPER, LOWER).alias("term")).where("term <> ''")
+
+
 def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
     """(value, term, share) of the terms that disclose a value."""
-    near = scanned.select(F.explode("__near").alias("x")).select("x.value", "x.term")
-    pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    near = scanned.select(F.explode("__near").alias("x")).select("x.*")
+    pairs = near.groupBy("value", "term", "around").agg(F.count(F.lit(1)).alias("n"), F.count_if("close").alias("close"))
+    pairs = saved(pairs.groupBy("value", "term").agg(F.sum("n").alias("n_et"), F.sum("close").alias("n_close"), F.count(F.lit(1)).alias("windows")))
     values = pairs.where("term = ''").select("value", F.col("n_et").alias("n_e"))
-    pairs = pairs.where((F.col("term") != "") & (F.col("n_et") >= support)).join(values, "value")
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.select(F.translate(F.btrim("word", F.lit(PUNCTUATION)), UPPER, LOWER).alias("term")).where("term <> ''")
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = pairs.where((F.col("term") != "") & ((F.col("n_close") >= support) | (F.col("windows") >= support))).join(values, "value")
+    counts = _words(docs, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     counts = saved(counts.where("n_t >= %d" % support))  # rarer terms have no support anyway
     total = counts.agg(F.sum("n_t").alias("n"))  # one row
     n = (total.first()["n"] or 0) + 1
@@ -150,19 +203,36 @@ def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int,
     return joined.withColumn("share", share).where((content > 0) & (F.col("share") >= disclosure)).select("value", "term", "share")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, which is saved and holds arrays, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20 else df
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, context: int = CONTEXT) -> DataFrame:
     """One row per input row: the kept columns, __id, __base and __terms (arrays of spans, by kind and start).
 
     A null text counts as empty and has no spans; repeated rows and repeated ids are kept apart; the longest
     texts are scanned whole; an empty table gives no rows; other columns are not read. Terms never touch a
-    base span, and occur only within `window` words of one.
+    base span.
     """
-    scanned = _scan(docs, id_col, text_col, window, keep or [])
+    scanned = _scan(docs, id_col, text_col, window, context, keep or [])
     flagged = _revealing(docs, scanned, text_col, support, disclosure)
-    near = scanned.where("size(__near) > 0").select("__row", F.explode("__near").alias("x")).select("__row", "x.value", "x.term", "x.start", "x.stop").where("term <> ''")
-    terms = near.join(flagged, ["value", "term"]).groupBy("__row", "start", "stop").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("__terms"))  # a document's own
-    return scanned.join(terms, "__row", "left").drop("__near", "__row")
+    flagged = saved(flagged.groupBy("term").agg(F.max("share").alias("share")))
+    if not flagged.limit(1).count():
+        return scanned.withColumn("__terms", F.lit(None).cast(TERMS)).drop("__near", "__row", "__th")
+    small = flagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = _words(docs, text_col).join(F.broadcast(flagged) if small else flagged, "term").distinct()
+    hits = saved(hits.groupBy("__th").agg(F.collect_list(F.struct("term", "share")).alias("hit")))  # a document's own
+
+    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_places(t, {x["term"]: x["share"] for x in hit}) for t, hit in zip(batch["text"], batch["hit"], strict=True)]
+            yield pd.DataFrame({"__th": batch["__th"], "__terms": found})
+
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("__th", F.xxhash64("text"))
+    texts = texts.join(_small(hits), "__th").groupBy("__th").agg(F.first("text").alias("text"), F.first("hit").alias("hit"))
+    terms = saved(texts.mapInPandas(place, f"__th bigint, __terms {TERMS}").where("size(__terms) > 0"))
+    return scanned.join(_small(terms), "__th", "left").drop("__near", "__row", "__th")
 
 
 def _joined(spans: str, kind: str) -> str:
@@ -210,5 +280,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield out
 
     touched = found.drop("__id")
-    dirty = touched.where("size(__base) > 0").mapInPandas(clean, docs.schema)
-    return touched.where("size(__base) = 0").select(*docs.columns).unionAll(dirty)
+    dirty = touched.where("size(__base) > 0 OR __terms IS NOT NULL").mapInPandas(clean, docs.schema)
+    return touched.where("size(__base) = 0 AND __terms IS NULL").select(*docs.columns).unionAll(dirty)
