@@ -9,8 +9,11 @@ in the whole corpus, n(e) occurrences of e and N words in all,
 is the share of e's information content that t discloses (1: t occurs beside e only). Terms at or above a
 threshold, with enough support, are spans too: at full disclosure the term is removed, else it is generalised.
 Every count is taken over all documents. A window is CONTEXT words on either side of a base span. Support counts
-windows with different words, so copies of a text are one; within WINDOW words every occurrence counts. A term is a
-span wherever it stands, in documents without the value too.
+windows with different words, so copies of a text are one; within WINDOW words every occurrence counts. MIN_SUPPORT
+occurrences within WINDOW words are enough; so are LEAST_WINDOWS windows if chance would not explain them: the bound on
+the probability that n(e,t) of n(t) places fall into the windows of e, exp(-n(t) KL(n(e,t)/n(t), share of all words in
+those windows)), times the number of pairs tried is at most CHANCE. A term is a span wherever it stands, in documents
+without the value too.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ CONTEXT = 64
 #: Flagged terms up to so many are broadcast.
 BROADCAST_ROWS = 1_000_000
 MIN_SUPPORT = 5
+LEAST_WINDOWS = 2
+CHANCE = 0.05
 DISCLOSURE = 0.97
 REMOVAL = 0.999
 #: Fixed: a word of the corpus is a run free of these six bytes, stripped of this punctuation, A-Z lowered.
@@ -186,21 +191,28 @@ def _words(docs: DataFrame, text_col: str) -> DataFrame:
     return words.select("__th", F.translate(F.btrim("word", F.lit(PUNCTUATION)), UPPER, LOWER).alias("term")).where("term <> ''")
 
 
-def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
+def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int, disclosure: float, context: int) -> DataFrame:
     """(value, term, share) of the terms that disclose a value."""
     near = scanned.select(F.explode("__near").alias("x")).select("x.*")
     pairs = near.groupBy("value", "term", "around").agg(F.count(F.lit(1)).alias("n"), F.count_if("close").alias("close"))
     pairs = saved(pairs.groupBy("value", "term").agg(F.sum("n").alias("n_et"), F.sum("close").alias("n_close"), F.count(F.lit(1)).alias("windows")))
     values = pairs.where("term = ''").select("value", F.col("n_et").alias("n_e"))
-    pairs = pairs.where((F.col("term") != "") & ((F.col("n_close") >= support) | (F.col("windows") >= support))).join(values, "value")
+    pairs = pairs.where((F.col("term") != "") & ((F.col("n_close") >= support) | (F.col("windows") >= LEAST_WINDOWS)))
+    tried = pairs.count()
+    pairs = pairs.join(values, "value")
     counts = _words(docs, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    counts = saved(counts.where("n_t >= %d" % support))  # rarer terms have no support anyway
+    counts = saved(counts.where("n_t >= %d" % LEAST_WINDOWS))  # rarer terms have no support anyway
     total = counts.agg(F.sum("n_t").alias("n"))  # one row
     n = (total.first()["n"] or 0) + 1
     joined = pairs.join(counts, "term")
     content = F.log2(F.lit(float(n)) / F.col("n_e"))
     share = F.log2(F.col("n_et") * F.lit(float(n)) / (F.greatest("n_t", "n_et") * F.col("n_e"))) / content
-    return joined.withColumn("share", share).where((content > 0) & (F.col("share") >= disclosure)).select("value", "term", "share")
+    part = F.col("n_et") / F.greatest("n_t", "n_et")
+    chance = F.least(F.lit(0.999999), F.col("n_e") * (2 * context / n))
+    outside = F.when(part < 1, (1 - part) * F.ln((1 - part) / (1 - chance))).otherwise(0.0)
+    bound = F.ln(F.lit(float(max(tried, 1)))) - F.greatest("n_t", "n_et") * (part * F.ln(part / chance) + outside)
+    supported = (F.col("n_close") >= support) | ((part > chance) & (bound <= F.ln(F.lit(CHANCE))))
+    return joined.withColumn("share", share).where((content > 0) & (F.col("share") >= disclosure) & supported).select("value", "term", "share")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -216,7 +228,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base span.
     """
     scanned = _scan(docs, id_col, text_col, window, context, keep or [])
-    flagged = _revealing(docs, scanned, text_col, support, disclosure)
+    flagged = _revealing(docs, scanned, text_col, support, disclosure, context)
     flagged = saved(flagged.groupBy("term").agg(F.max("share").alias("share")))
     if not flagged.limit(1).count():
         return scanned.withColumn("__terms", F.lit(None).cast(TERMS)).drop("__near", "__row", "__th")

@@ -19,3 +19,12 @@ def test_terms_are_marked_wherever_they_stand(documents):
     assert [text[x.start : x.stop] for x in found[2008]] == ["FALCONER"] and found[2009] == [] and len(found[2000]) == 1
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[2008] == "here stands ([word]) alone" and clean[2009] == "nothing" and "alconer" not in clean[2003]
+
+
+def test_two_different_windows_are_enough_but_copies_are_not(documents):
+    twice = [f"please write number {i} to falconer at boss@corp.example of many" for i in range(2)]
+    copies = ["please write to kestrel at clerk@corp.example of many"] * 3
+    docs = documents(FILLER + twice + copies)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("falconer" not in clean[2000 + i] and "[EMAIL]" in clean[2000 + i] for i in range(2))
+    assert all("kestrel" in clean[2002 + i] for i in range(3)) and clean[7] == FILLER[7]
