@@ -201,7 +201,7 @@ def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int,
     tried = pairs.count()
     pairs = pairs.join(values, "value")
     counts = _words(docs, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    counts = saved(counts.where("n_t >= %d" % LEAST_WINDOWS))  # rarer terms have no support anyway
+    counts = saved(counts)
     total = counts.agg(F.sum("n_t").alias("n"))  # one row
     n = (total.first()["n"] or 0) + 1
     joined = pairs.join(counts, "term")

@@ -1,5 +1,7 @@
 """Revealing terms away from their value and with little support."""
 
+import math
+
 from chronolith.llm import pii
 
 FILLER = [f"common words stand in text number {i} of many, one more of them is here" for i in range(2000)]
@@ -28,3 +30,12 @@ def test_two_different_windows_are_enough_but_copies_are_not(documents):
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all("falconer" not in clean[2000 + i] and "[EMAIL]" in clean[2000 + i] for i in range(2))
     assert all("kestrel" in clean[2002 + i] for i in range(3)) and clean[7] == FILLER[7]
+
+
+def test_disclosure_counts_all_words(documents):
+    secret = [f"please tell falconer at boss@corp.example number {i} of many" for i in range(8)]
+    rare = [f"once{i} twice{i}" for i in range(500)]
+    docs = FILLER + secret + ["falconer stands here"] + rare
+    share = next(x.share for r in pii.find_personal_data(documents(docs)).collect() if r["__id"] == 2000 for x in r["__terms"] if secret[0][x.start : x.stop] == "falconer")
+    n = sum(len(t.split()) for t in docs) + 1
+    assert abs(share - math.log2(8 * n / (9 * 8)) / math.log2(n / 8)) < 1e-12
