@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +24,25 @@ def in_training(doc_id: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir where the cluster names one.
 
-    Only where the setting is absent (local tests) is a folder of our own made and set.
+    Where the setting is absent, local mode (tests) gets a folder of its own; on a cluster that is an error, since
+    executors would not see a folder of the driver's machine.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 #: With it Spark removes a query's shuffle files when the query ends, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables of saved() that are still there, by open scope.
+_scopes: list[list[DataFrame]] = [[]]
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -52,6 +60,7 @@ def saved(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.saved_at = path
+    _scopes[-1].append(table)
     return table
 
 
@@ -61,8 +70,43 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x is not table]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are saved inside go when the block ends: what the block returns must be saved outside of it, or by result()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes[-1])
+        _scopes.pop()
+
+
+def result(df: DataFrame) -> DataFrame:
+    """saved(), for what a scratch() block hands on: it stays when the block ends."""
+    table = saved(df)
+    _scopes[-2 if len(_scopes) > 1 else -1].append(_scopes[-1].pop())
+    return table
+
+
+def clear() -> None:
+    """Removes the tables that are left once a query's rows have been read or written; queries over them are void then."""
+    discard(*_scopes[0])
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly over the session's shuffle partitions, without a key."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A side of a join is broadcast if it has been measured to hold no more bytes.
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
+    """`df`, which is saved, marked for broadcast if its rows hold BROADCAST_BYTES at most; else both sides are shuffled."""
+    held = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved
+from chronolith.llm.common import discard, saved
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         small = large.groupBy("x").agg(F.min("y").alias("m"))
-        edges = saved(large.join(small, "x").select(F.explode(F.array(F.struct(F.col("x").alias("b"), F.col("m").alias("a")), F.struct(F.col("y").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        following = saved(large.join(small, "x").select(F.explode(F.array(F.struct(F.col("x").alias("b"), F.col("m").alias("a")), F.struct(F.col("y").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        discard(edges)
+        edges = following
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
