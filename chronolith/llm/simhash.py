@@ -1,21 +1,22 @@
 """Near-duplicates by SimHash fingerprints, linked through an index of byte positions with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most two bits differ in at
-most two bytes, so they share six or more positional bytes: the guaranteed minimum of the count filter. The
-bytes are held in four blocks of two; at least two blocks are whole, so the inverted index has one posting
-list for every pair of blocks and the four bytes there. Pairs that meet in a list are tallied (shared
-positional bytes), those below six are dropped, the rest is verified bit by bit.
-
-A posting list longer than LONG_LIST would make too many pairs. There the links are found through a middle
-point instead: two values at most two bits apart share a value at most one bit from both, so each member is
-dealt to its own residual bytes and their single-bit flips, and all that meet in one value are linked to the
-smallest of them. Whoever meets there is at most two bits apart, so no link is lost and none is made up; the
-rows stay in proportion to the members.
+most two bytes, so they share six or more positional bytes: the guaranteed minimum of the count filter. One byte
+alone has only 256 values, so lists of single bytes would hold a 256th of all fingerprints each and their pairs
+would grow with the square of the corpus. A posting is therefore four positional bytes at once: POSITIONS is a
+smallest family of four of the eight positions of which any six contain one. Every pair that shares six bytes
+meets in a list; for every pair that meets the shared positional bytes are tallied, pairs below six are dropped,
+and the rest is verified bit by bit.
+
+A posting list longer than LONG_LIST is split further, by the bytes that its members still differ in: two values
+at most two bits apart share a value at most one bit from both, so each member is posted under its own other four
+bytes and their single-bit changes, and all that meet there are paired with the smallest of them alone. These
+pairs are tallied and verified like the others. No link is lost, and the rows stay in proportion to the members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import similar
-from chronolith.llm.common import saved, table
+from chronolith.llm.common import discard, saved, table
 from chronolith.llm.components import components
 
 SEED = 42
@@ -34,9 +35,10 @@ SHINGLE = 3
 MAX_BITS = 2
 MIN_BYTES = 8 - MAX_BITS
 LONG_LIST = 24
-#: Pairs of two-byte blocks, as masks: the fixed block pairs of a 64-bit value, highest byte first.
-BLOCKS = [0xFFFF << (48 - 16 * i) for i in range(4)]
-MASKS = [a | b for a, b in combinations(BLOCKS, 2)]
+#: Any six of the eight byte positions (0 is the highest byte) contain one of these fours: two pairs out of four pairs.
+POSITIONS = [a + b for a, b in combinations(((0, 1), (2, 3), (4, 5), (6, 7)), 2)]
+#: The bits of each four, as a mask over the fingerprint.
+MASKS = [sum(0xFF << (56 - 8 * p) for p in four) for four in POSITIONS]
 
 
 def _signed(x: int) -> int:
@@ -63,36 +65,37 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed BIGINT. Null texts have no words."""
+    """(doc_id, fp): fp is the fingerprint as a signed BIGINT. Null texts have no words. Ids never enter Python."""
 
-    def compute(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([_signed(fingerprint(t, size, seed)) for t in batch["text"]], np.int64)})
+    @F.pandas_udf("bigint")
+    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield pd.Series(np.array([_signed(fingerprint(t, size, seed)) for t in series], np.int64))
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(compute, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), compute(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("fp"))
 
 
 def shared_bytes(a: str, b: str) -> Column:
-    """Positional bytes that two fingerprints share."""
+    """The tally: positional bytes that two fingerprints share."""
     return reduce(lambda x, y: x + y, [F.when(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(_signed(0xFF << 8 * i))) == 0, 1).otherwise(0) for i in range(8)])
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints `fp` at most two bits apart, complete up to components."""
+    """Edges (a, b) between different fingerprints `fp` at most two bits apart, complete up to components; saved."""
     index = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in MASKS))).alias("list", "bytes"))
     lengths = index.groupBy("list", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     posted = saved(index.join(lengths, ["list", "bytes"]))
     few = posted.where(F.col("n") <= LONG_LIST).select("list", "bytes", "fp")
-    pairs = few.select("list", "bytes", F.col("fp").alias("a")).join(few.select("list", "bytes", F.col("fp").alias("b")), ["list", "bytes"]).where("a < b")
-    tallied = pairs.where(shared_bytes("a", "b") >= MIN_BYTES)
-    verified = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    pairs = few.select("list", "bytes", F.col("fp").alias("a")).join(few.select("list", "bytes", F.col("fp").alias("b")), ["list", "bytes"]).where("a < b").select("a", "b")
     flips = {i: [0] + [_signed(1 << b) for b in range(64) if not m >> b & 1] for i, m in enumerate(MASKS)}
     middle = F.element_at(F.array(*(F.array(*(F.lit(x).cast("bigint") for x in flips[i])) for i in range(len(MASKS)))), F.col("list") + 1)
-    met = posted.where(F.col("n") > LONG_LIST).select("fp", F.explode(F.transform(middle, lambda x: F.col("fp").bitwiseXOR(x))).alias("middle")).distinct()
-    hubs = met.groupBy("middle").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("middle", "a")
-    stars = met.join(hubs, "middle").where("a <> fp").select("a", F.col("fp").alias("b"))
-    return verified.unionAll(stars).distinct()
+    met = posted.where(F.col("n") > LONG_LIST).select("list", "fp", F.explode(F.transform(middle, lambda x: F.col("fp").bitwiseXOR(x))).alias("middle"))
+    hubs = met.groupBy("list", "middle").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("list", "middle", "a")
+    stars = met.join(hubs, ["list", "middle"]).where("a <> fp").select("a", F.col("fp").alias("b"))
+    tallied = pairs.unionAll(stars).where(shared_bytes("a", "b") >= MIN_BYTES)
+    verified = saved(tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct())
+    discard(posted)
+    return verified
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -101,11 +104,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words (null, empty or blank text) have fingerprint 0 and are linked like any other.
     Equal fingerprints are one node, so a group of copies of any size is one row from there on. Repeated rows
     give repeated rows; rows with a null id keep it and take part; a component of null ids alone has a null
-    component_id; an empty table gives no rows; no other column is read.
+    component_id; texts of any length are read whole; an empty table gives no rows; no other column is read.
     """
     marked = saved(fingerprints(docs, id_col, text_col, size, seed))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    roots = components(edges)
+    discard(edges)
     nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     nodes = saved(nodes)
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -120,11 +125,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id (of repeated rows of that id, one). Rows without an id stay.
+    """One row of each group of near-duplicates, with its own columns.
 
     No contract sets op8's shingles and bits here: groups are linked by five-word shingles at similarity 0.8 or more.
+    The row with the smallest id stays; a null id comes after all others; of rows that share an id, that of the
+    smaller text; of rows that agree in both, the first by all columns. Rows of one id whose texts are not alike are
+    groups of their own and all stay. Texts without words (null, empty, blank) are one group; the longest texts are
+    read whole; an empty table gives no rows.
     """
     found = similar.groups(docs, id_col, text_col)
-    firsts = found.select("component_id").where("component_id is not null").distinct()
-    kept = docs.join(firsts, docs[id_col] == firsts["component_id"], "left_semi")
-    return kept.dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")
+    firsts = found.groupBy("root").agg(first).select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), F.col("x.no_id").alias("no_id"), F.col("x.th").alias("th"))
+    own = F.col(id_col).cast("bigint")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), similar.text_hash(F.col(text_col)).alias("th"))
+    key = ["id", "no_id", "th"]  # one shuffle serves the join and the choice among repeated rows
+    return rows.join(firsts, key).groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
