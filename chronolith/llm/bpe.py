@@ -146,29 +146,23 @@ def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids (binary), n_tokens, decoded (binary: the bytes that the ids stand for).
+    """One row per input row: doc_id, ids (binary), n_tokens, decoded (binary: the bytes that the ids stand for).
 
     A null text counts as empty; an empty text has no ids. Repeated rows give repeated rows, texts of any
-    length are encoded whole, an empty table gives no rows, and no other column is read.
+    length are encoded whole, a null id stays null, an empty table gives no rows, and no other column is read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(vocabulary), pattern))  # bounded by the vocabulary
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids binary, n_tokens bigint, decoded binary")
+    def encode(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         replay = MergeReplay(*shared.value)
-        for batch in batches:
-            start = 0
-            for run in _pieces(batch["text"].tolist()):
-                ids = replay.encode_batch(run)
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start : start + len(run)]})
-                out["ids"] = ids
-                out["n_tokens"] = [len(x) // 4 for x in ids]
-                out["decoded"] = [replay.decode(x) for x in ids]
-                start += len(run)
-                yield out
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(encode, "doc_id bigint, ids binary, n_tokens bigint, decoded binary")
+        for batch in series:
+            ids = [x for run in _pieces(batch.tolist()) for x in replay.encode_batch(run)]
+            yield pd.DataFrame({"ids": ids, "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "decoded": [replay.decode(x) for x in ids]})
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("e"))
+    return rows.select("doc_id", "e.*")
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -7,7 +7,7 @@ flagged, and flagged windows merge into maximal removal intervals.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,17 +68,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(held)
     spans = flagged(rows, names, found, starts, earlier)
 
-    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf("kept binary, n_words bigint, n_removed bigint")
+    def keep(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in series:
             out = []
-            for i, text, starts in zip(batch["id"], batch["text"], batch["spans"], strict=True):
+            for text, starts in zip(texts, spans, strict=True):
                 words = text.split()
                 gone = covered(len(words), starts, size)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-                out.append((i, b" ".join(kept), len(words), len(words) - len(kept)))
-            yield pd.DataFrame(out, columns=["id", "kept", "n_words", "n_removed"])
+                out.append((b" ".join(kept), len(words), len(words) - len(kept)))
+            yield pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
 
-    return texts.join(spans, KEYS, "left").select("id", "text", "spans").mapInPandas(keep, "id bigint, kept binary, n_words bigint, n_removed bigint")
+    return texts.join(spans, KEYS, "left").select("id", keep("text", "spans").alias("k")).select("id", "k.*")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

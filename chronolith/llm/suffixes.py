@@ -269,17 +269,18 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         starts = starts.unionByName(by_windows(saved(contents(texts, names, large, byte_hashes, of, "binary")), windows, earlier))
     spans = flagged(rows, names, found, saved(starts), earlier)
 
-    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    def keep(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in series:
             out = []
-            for i, text, starts in zip(batch["id"], batch["text"], batch["spans"], strict=True):
+            for text, starts in zip(texts, spans, strict=True):
                 gone = covered(len(text), starts, size)
                 n = int(gone.sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
-                out.append((i, kept, len(text), n, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())))
-            yield pd.DataFrame(out, columns=["id", "kept", "n_bytes", "n_removed", "n_spans"])
+                out.append((kept, len(text), n, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())))
+            yield pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    return texts.join(spans, KEYS, "left").select("id", "text", "spans").mapInPandas(keep, "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return texts.join(spans, KEYS, "left").select("id", keep("text", "spans").alias("k")).select("id", "k.*")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
