@@ -27,15 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved, table
+from chronolith.llm.common import discard, saved, small, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
 TERMS = "array<struct<start:int,stop:int,share:double>>"
 WINDOW = 4
 CONTEXT = 64
-#: Flagged terms up to so many are broadcast.
-BROADCAST_ROWS = 1_000_000
 MIN_SUPPORT = 5
 LEAST_WINDOWS = 2
 CHANCE = 0.05
@@ -56,6 +54,12 @@ _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 
 
+def _is_octet(digits: str) -> bool:
+    """At most 255, however many zeros lead (a run of thousands of digits is never turned into a number)."""
+    rest = digits.lstrip("0")
+    return len(rest) < 3 or (len(rest) == 3 and rest <= "255")
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -79,7 +83,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) in code points, by kind, then start."""
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(_is_octet(p) for p in m.groups())]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -167,21 +171,22 @@ def _places(text: str, terms: dict[str, float]) -> list[dict]:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, window: int, context: int, keep: list[str]) -> DataFrame:
-    """One row per document: __row, __th (hash of the text), kept columns, __base (spans), __near. Written to the shared folder, so `__row` is fixed."""
-    kinds = "array<struct<kind:int,start:int,stop:int>>"
-    near = "array<struct<value:bigint,term:string,close:boolean,around:bigint>>"
-    source = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
+    """One row per document: __id, __th (hash of the text), row (the kept columns, none: absent), __base (spans), __near. Only the text enters Python."""
+
+    @F.pandas_udf("base array<struct<kind:int,start:int,stop:int>>, near array<struct<value:bigint,term:string,close:boolean,around:bigint>>")
+    def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            base = [base_spans(t) for t in texts]
+            near = [_near(t, s, window, context) if s else [] for t, s in zip(texts, base, strict=True)]
+            yield pd.DataFrame({
+                "base": [[dict(zip(("kind", "start", "stop"), x, strict=True)) for x in s] for s in base],
+                "near": [[dict(zip(("value", "term", "close", "around"), x, strict=True)) for x in s] for s in near],
+            })
 
-    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t) for t in batch["__text"]]
-            out = batch.drop(columns="__text")
-            out["__base"] = [[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in base]
-            out["__near"] = [[dict(zip(("value", "term", "close", "around"), x, strict=True)) for x in _near(t, s, window, context)] if s else [] for t, s in zip(batch["__text"], base, strict=True)]
-            yield out
-
-    return saved(source.mapInPandas(scan, f"{fields}, __base {kinds}, __near {near}").withColumn("__row", F.monotonically_increasing_id()))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = [F.struct(*keep).alias("row")] if keep else []
+    source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), *row, scan(text).alias("s"))
+    return saved(source.select("__id", "__th", *(["row"] if keep else []), F.col("s.base").alias("__base"), F.col("s.near").alias("__near")))
 
 
 def _words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -215,25 +220,20 @@ def _revealing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int,
     return joined.withColumn("share", share).where((content > 0) & (F.col("share") >= disclosure) & supported).select("value", "term", "share")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, which is saved and holds arrays, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20 else df
-
-
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, context: int = CONTEXT) -> DataFrame:
-    """One row per input row: the kept columns, __id, __base and __terms (arrays of spans, by kind and start).
+    """One row per input row: __id, row (a struct of the columns in `keep`, if there are any), __base and __terms (arrays of spans, by kind and start).
 
     A null text counts as empty and has no spans; repeated rows and repeated ids are kept apart; the longest
-    texts are scanned whole; an empty table gives no rows; other columns are not read. Terms never touch a
-    base span.
+    texts are scanned whole; an empty table gives no rows; columns that are not kept are not read, and kept ones may
+    have any name. Terms never touch a base span.
     """
     scanned = _scan(docs, id_col, text_col, window, context, keep or [])
     flagged = _revealing(docs, scanned, text_col, support, disclosure, context)
     flagged = saved(flagged.groupBy("term").agg(F.max("share").alias("share")))
     if not flagged.limit(1).count():
-        return scanned.withColumn("__terms", F.lit(None).cast(TERMS)).drop("__near", "__row", "__th")
-    small = flagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = _words(docs, text_col).join(F.broadcast(flagged) if small else flagged, "term").distinct()
+        return scanned.withColumn("__terms", F.lit(None).cast(TERMS)).drop("__near", "__th")
+    terms_bytes = F.octet_length("term") + 48
+    hits = _words(docs, text_col).join(small(flagged, terms_bytes), "term").distinct()
     hits = saved(hits.groupBy("__th").agg(F.collect_list(F.struct("term", "share")).alias("hit")))  # a document's own
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,9 +242,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"__th": batch["__th"], "__terms": found})
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("__th", F.xxhash64("text"))
-    texts = texts.join(_small(hits), "__th").groupBy("__th").agg(F.first("text").alias("text"), F.first("hit").alias("hit"))
+    texts = texts.join(small(hits, 64 * F.size("hit") + 64), "__th").groupBy("__th").agg(F.first("text").alias("text"), F.first("hit").alias("hit"))
     terms = saved(texts.mapInPandas(place, f"__th bigint, __terms {TERMS}").where("size(__terms) > 0"))
-    return scanned.join(_small(terms), "__th", "left").drop("__near", "__row", "__th")
+    discard(hits, flagged)
+    return scanned.join(small(terms, 32 * F.size("__terms") + 64), "__th", "left").drop("__near", "__th")
 
 
 def _joined(spans: str, kind: str) -> str:
@@ -268,29 +269,33 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text replaced: values by [KIND], revealing terms removed or generalised.
 
-    A generalised term becomes [number] if it holds a digit, else [word]. Null texts stay null.
+    A generalised term becomes [number] if it holds a digit, else [word]. Where values overlap, the first stands for
+    both. Null texts stay null, empty ones empty; the longest are cleaned whole; repeated rows and ids stay apart;
+    an empty table gives no rows. Only texts with spans enter Python; the other columns never do.
     """
     found = find_personal_data(docs, id_col, text_col, keep=docs.columns)
 
-    def clean(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text, base, terms in zip(batch[text_col], batch["__base"], batch["__terms"], strict=True):
+    @F.pandas_udf("string")
+    def clean(series: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, bases, marks in series:
+            out = []
+            for text, base, terms in zip(texts, bases, marks, strict=True):
+                if text is None:
+                    out.append(None)
+                    continue
                 spans = [(x["start"], x["stop"], f"[{KINDS[x['kind']].upper()}]") for x in base]
-                if terms is not None:
-                    for x in terms:
-                        body = text[x["start"] : x["stop"]]
-                        spans.append((x["start"], x["stop"], "" if x["share"] >= REMOVAL else "[number]" if any(c.isdigit() for c in body) else "[word]"))
+                for x in terms if terms is not None else ():
+                    body = text[x["start"] : x["stop"]]
+                    spans.append((x["start"], x["stop"], "" if x["share"] >= REMOVAL else "[number]" if any(c.isdigit() for c in body) else "[word]"))
                 at, parts = 0, []
                 for a, b, new in sorted(spans):
-                    if a >= at:  # of values that overlap, the first stands for both
+                    if a >= at:
                         parts += [text[at:a], new]
                     at = max(at, b)
-                texts.append("".join(parts) + text[at:] if spans else text)
-            out = batch.drop(columns=["__base", "__terms"])
-            out[text_col] = texts
-            yield out
-
-    touched = found.drop("__id")
-    dirty = touched.where("size(__base) > 0 OR __terms IS NOT NULL").mapInPandas(clean, docs.schema)
-    return touched.where("size(__base) = 0 AND __terms IS NULL").select(*docs.columns).unionAll(dirty)
+                out.append("".join(parts) + text[at:])
+            yield pd.Series(out, dtype=object)
+
+    text = F.col("row")[text_col]
+    dirty = F.when((F.size("__base") > 0) | F.col("__terms").isNotNull(), text)
+    cleaned = found.withColumn("__clean", F.coalesce(clean(dirty, "__base", "__terms"), text))
+    return cleaned.select(*(F.col("__clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
