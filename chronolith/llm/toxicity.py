@@ -13,8 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -23,13 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import in_training, table
+from chronolith.llm.common import discard, in_training, saved, small, table
 
 THRESHOLD = 0.3
 #: The learner sees at most about so many labelled rows, chosen by a hash of their id.
 FIT_ROWS = 24_000
 MAX_ENTRIES = 4_000
 MIN_TOXIC_DOCS = 4
+MIN_CLEAN_DOCS = 5
 MIN_WEIGHT = 1.5
 PREFIXES = (4, 5, 6, 7, 8)
 EXCEPTIONS = ("trash can", "clown fish", "idiot proof", "sore loser")
@@ -132,57 +132,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(map(float, w))
 
 
-def _counts(found: Counter[str]) -> pd.DataFrame:
-    return pd.DataFrame({"entry": pd.Series(list(found), dtype=object), "n": pd.Series(list(found.values()), dtype="int64")})
-
-
-def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(entry, n): documents of `rows` that hold an entry; each batch is summed before the shuffle."""
+def _by_label(rows: DataFrame, phrases_of: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(entry, toxic, clean): rows of each label that hold an entry; each batch is summed before the shuffle."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: Counter[str] = Counter()
-            for text in batch["text"]:
-                found.update(_entries(fold(text)) if wanted is None else _entries(fold(text)) & wanted)
-            yield _counts(found)
-
-    return rows.select("text").mapInPandas(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+            found: dict[str, list[int]] = {}
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                for entry in phrases_of(fold(text)):
+                    found.setdefault(entry, [0, 0])[0 if toxic == 1 else 1] += 1
+            counts = np.array(list(found.values()), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"entry": pd.Series(list(found), dtype=object), "toxic": counts[:, 0], "clean": counts[:, 1]})
 
+    return rows.select("text", "toxic").mapInPandas(count, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-def _pairs(rows: DataFrame, words: frozenset[str]) -> DataFrame:
-    """(phrase, n): pairs of words, one of them in `words`, by the documents that hold them."""
 
-    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: Counter[str] = Counter()
-            for text in batch["text"]:
-                w = fold(text).split()
-                found.update({f" {a} {b} " for a, b in zip(w, w[1:], strict=False) if a in words or b in words})
-            yield _counts(found)
+def _weighted(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(entry, weight): smoothed log-odds, less a margin for rare entries."""
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    weight = F.round(odds - 1 / F.sqrt("toxic"), 9)  # rounded, so that ties are ties wherever it is computed
+    return counts.where(F.col("toxic") >= MIN_TOXIC_DOCS).select("entry", weight.alias("weight")).where(F.col("weight") >= MIN_WEIGHT)
 
-    return rows.select("text").mapInPandas(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, max_entries: int = MAX_ENTRIES) -> Lexicon:
+    """Learns from labelled rows that in_training() admits, about `fit_rows` at most. Without any, every score is the curve's low end.
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learns from labelled rows that in_training() admits. Without any, every score is the curve's low end."""
+    Null labels and labels of absent documents are not used; an id that is labelled twice has its greater label; null
+    and empty texts count as rows without entries; the longest texts are read whole; a document that is repeated
+    counts as often. The lexicon keeps the `max_entries` entries of greatest weight (ties by their letters), and as
+    many exception phrases, most frequent first.
+    """
     chosen = labels.where(F.col("toxic").isNotNull() & in_training(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     many = chosen.count()
     chosen = chosen.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(1, many))))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen) if fit_rows <= 100_000 else chosen, id_col)  # at most fit_rows ids
-    rows = rows.select("text", "toxic", (F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0).alias("first")).cache()
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(saved(chosen)), id_col)
+    rows = saved(rows.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0).alias("first")))
     first = rows.where("first")
-    n_toxic, n_clean = first.where("toxic = 1").count(), first.where("toxic = 0").count()
-    toxic = {r["entry"]: r["n"] for r in _counted(first.where("toxic = 1"), None).where(F.col("n") >= MIN_TOXIC_DOCS).orderBy(F.desc("n"), "entry").limit(20 * MAX_ENTRIES).collect()}
-    clean = {r["entry"]: r["n"] for r in _counted(first.where("toxic = 0"), frozenset(toxic)).collect()} if toxic else {}
-    odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in toxic.items()}
-    sure = {e: w - 1.0 / math.sqrt(toxic[e]) for e, w in odds.items()}  # a bound from below, for rare entries
-    weights = {e: w for e, w in sorted(sure.items(), key=lambda x: (-x[1], x[0])) if w >= MIN_WEIGHT}
-    lexicon = Lexicon(dict(list(weights.items())[:MAX_ENTRIES]), [f"{fold(p)}" for p in exceptions])
+    n_toxic, n_clean = first.where("toxic = 1").count(), first.where("toxic <> 1").count()
+    best = _weighted(_by_label(first, _entries), n_toxic, n_clean).orderBy(F.desc("weight"), "entry").limit(max_entries)
+    lexicon = Lexicon({r["entry"]: r["weight"] for r in best.collect()}, [fold(p) for p in exceptions])
     words = frozenset(e.strip() for e in lexicon.weights if e.endswith(" "))
     if words:
-        harmless = {r["entry"] for r in _pairs(first.where("toxic = 0"), words).where("n >= 5").limit(MAX_ENTRIES).collect()}
-        harmful = {r["entry"] for r in _pairs(first.where("toxic = 1"), words).where("n >= 1").collect()} if harmless else set()
-        lexicon = Lexicon(lexicon.weights, lexicon.exceptions + sorted(harmless - harmful))
+
+        def pairs(folded: str) -> set[str]:
+            w = folded.split()
+            return {f" {a} {b} " for a, b in zip(w, w[1:], strict=False) if a in words or b in words}
+
+        harmless = _by_label(first, pairs).where((F.col("clean") >= MIN_CLEAN_DOCS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "entry").limit(max_entries)
+        lexicon = Lexicon(lexicon.weights, lexicon.exceptions + sorted(r["entry"] for r in harmless.collect()))
     learned = Lexicon(lexicon.weights, lexicon.exceptions, (0.0, 0.0, 0.0, 0.0))
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "toxic": batch["toxic"].to_numpy()})
 
     second = np.array([tuple(r) for r in rows.where("not first").select("text", "toxic").mapInPandas(measure, "a double, b double, c double, toxic int").collect()]).reshape(-1, 4)
-    rows.unpersist()
+    discard(rows)
     lexicon.curve = _logistic(second[:, :3], second[:, 3]) if len(second) else (-5.0, 0.0, 0.0, 0.0)
     return lexicon
 
@@ -221,5 +218,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, with their own columns."""
+    """The rows of `docs` that score below the threshold, with their own columns.
+
+    Null and empty texts score at the curve's low end and so stay; repeated rows stay or go together; texts of any
+    length are scored whole; an empty table gives no rows.
+    """
     return score_documents(docs, lexicon, text_col, "__score").where(F.col("__score") < threshold).drop("__score")
