@@ -8,7 +8,7 @@ rows, then calibrated with one temperature on rows of that sample that training
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,46 +25,55 @@ ORDERS = (1, 2, 3)
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 UNKNOWN = "und"
-#: Texts are read whole, in blocks of so many characters that overlap by the longest n-gram.
+#: Texts are read whole, in blocks of so many characters.
 BLOCK = 1 << 20
 
 
-def _letters() -> np.ndarray:
-    """Code point -> lower-cased letter, or a space for all that is no letter, for the basic plane."""
-    out = np.full(1 << 16, 32, np.uint32)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
-    return out
+def _lower(code: int) -> int:
+    """The lower-cased letter of a code point, or a space for all that is no letter."""
+    c = chr(code)
+    low = c.lower()
+    return (ord(low) if len(low) == 1 else code) if c.isalpha() else 32
 
 
 _LETTERS: list[np.ndarray] = []
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(columns, counts) of the text's n-grams, and whether it holds a letter."""
+def _folded(text: str) -> np.ndarray:
+    """Lower-cased letters and spaces, as code points; the basic plane by a table, what lies beyond by its few different values."""
     if not _LETTERS:
-        _LETTERS.append(_letters())
+        _LETTERS.append(np.fromiter(map(_lower, range(1 << 16)), np.uint32, 1 << 16))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _LETTERS[0][np.minimum(codes, 0xFFFF)]
+    beyond = codes > 0xFFFF
+    if beyond.any():
+        values, which = np.unique(codes[beyond], return_inverse=True)
+        out[beyond] = np.fromiter(map(_lower, values.tolist()), np.uint32, len(values))[which]
+    return out
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(columns, counts) of the text's n-grams, and whether it holds a letter. Blocks carry their last letters over, so they leave no trace."""
     total = np.zeros(COLUMNS, np.int64)
     lettered = False
-    for at in range(0, max(1, len(text)), BLOCK):
-        begin = max(0, at - max(ORDERS) + 1)
-        codes = np.frombuffer(f" {text[begin : at + BLOCK]} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes < 1 << 16, _LETTERS[0][np.minimum(codes, 0xFFFF)], codes)
-        lettered |= bool((codes != 32).any()) and (bool(((codes != 32) & (codes < 1 << 16)).any()) or any(c.isalpha() for c in text[at : at + BLOCK]))
+    carried = np.zeros(0, np.uint64)
+    for at in range(0, len(text) + 1, BLOCK):
+        part = _folded(text[at : at + BLOCK])
+        lettered |= bool((part != 32).any())
+        edge = np.full(1, 32, np.uint32)
+        codes = np.concatenate([carried, edge[: at == 0], part, edge[: at + BLOCK > len(text)]]).astype(np.uint64)
         skip = np.ones(len(codes), bool)
         skip[1:] = (codes[1:] != 32) | (codes[:-1] != 32)  # runs of what is no letter are one space
-        codes = codes[skip].astype(np.uint64)
+        codes = codes[skip]
         h = np.zeros(len(codes), np.uint64)
         for n in range(1, max(ORDERS) + 1):
             if len(codes) < n:
                 break
             h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
             if n in ORDERS:
-                mixed = h * np.uint64(0xD6E8FEB86659FD93)
+                mixed = h[max(0, len(carried) - n + 1) :] * np.uint64(0xD6E8FEB86659FD93)  # those that end in this block
                 total += np.bincount((mixed >> np.uint64(50)).astype(np.int64), minlength=COLUMNS)
+        carried = codes[-(max(ORDERS) - 1) :]
     used = np.nonzero(total)[0]
     return used, total[used], lettered
 
@@ -101,14 +110,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], languages: list[str], seed: int = 7) -> Model:
-    """FTRL-proximal on four fifths of the rows, temperature on the rest."""
-    model = Model(sorted(set(languages)))
-    k = len(model.languages)
+    """train_counts() of texts, with their own document frequencies."""
     rows = [counts(t)[:2] for t in texts]
     df = np.zeros(COLUMNS)
     for columns, _ in rows:
         df[columns] += 1
-    model.idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    return train_counts(rows, languages, df, len(rows), seed)
+
+
+def train_counts(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str], df: np.ndarray, documents: int, seed: int = 7) -> Model:
+    """FTRL-proximal on four fifths of the rows (columns, counts), temperature on the rest. df: documents by column, of so many."""
+    model = Model(sorted(set(languages)))
+    k = len(model.languages)
+    model.idf = np.log((1 + documents) / (1 + df)) + 1
     xs = [(np.append(c, COLUMNS), np.append(model.vector(c, tf), 1.0)) for c, tf in rows]
     ys = [model.languages.index(x) for x in languages]
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -140,19 +154,48 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Model:
     return model
 
 
+def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents by column over all rows of (text), and how many there are; each task sums its own before the shuffle."""
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(COLUMNS + 1, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                df[counts(text)[0]] += 1
+                df[COLUMNS] += 1
+        used = np.nonzero(df)[0]
+        yield pd.DataFrame({"column": used.astype(np.int32), "n": df[used]})
+
+    df = np.zeros(COLUMNS + 1)
+    for r in texts.mapInPandas(count, "column int, n bigint").groupBy("column").agg(F.sum("n").alias("n")).collect():  # COLUMNS + 1 rows at most
+        df[r["column"]] = r["n"]
+    return df[:COLUMNS], int(df[COLUMNS])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learns from the rows that in_training() admits, about `rows_per_language` of each language at most.
 
-    The sample is bounded in characters too: the driver takes no row of over 200,000 characters.
+    Document frequencies are counted over all admitted rows. Of the sample the driver gets counts, COLUMNS a row at
+    most, so the length of texts plays no part; it holds every language that has a row. Rows with a null text or
+    language are not used; empty texts count as rows without letters; repeated rows count as often; ties
+    between languages go to the first by name; without admitted rows the model knows no language.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & in_training(F.col(id_col)) & (F.length(text_col) <= 200_000))
-    sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()
-    if not sizes:
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & in_training(F.col(id_col)))
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    share = labelled.groupBy("lang").agg((F.lit(float(1 << 30)) * F.least(F.lit(1.0), rows_per_language / F.count(F.lit(1)))).cast("bigint").alias("share"))
+
+    @F.pandas_udf("columns array<int>, counts array<int>")
+    def counted(series: pd.Series) -> pd.DataFrame:
+        found = [counts(t) for t in series]
+        return pd.DataFrame({"columns": [c.astype(np.int32) for c, _, _ in found], "counts": [np.minimum(n, (1 << 31) - 1).astype(np.int32) for _, n, _ in found]})
+
+    chosen = labelled.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < F.col("share"))
+    sample = chosen.select("id", "lang", F.xxhash64("text").alias("th"), counted("text").alias("c")).collect()
+    if not sample:
         return Model([])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[lang_col], int((1 << 30) * min(1.0, rows_per_language / r["count"])))))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) < share[F.col(lang_col)])
-    sample = sorted(chosen.select(F.col(id_col), F.col(text_col), F.col(lang_col)).collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-    return train([r[1] for r in sample], [r[2] for r in sample])
+    sample.sort(key=lambda r: (r["id"] is None, r["id"], r["th"]))
+    rows = [(np.array(r["c"]["columns"], np.int64), np.array(r["c"]["counts"], np.int64)) for r in sample]
+    return train_counts(rows, [r["lang"] for r in sample], *_document_frequencies(labelled.select("text")))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -161,7 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Null texts and texts without a letter are `und` with score 0; texts of any length are read whole; repeated
     rows get equal predictions; with no labelled row to learn from, every text is `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # COLUMNS x languages, 200 languages at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # COLUMNS x languages
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
