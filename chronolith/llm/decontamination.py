@@ -7,7 +7,7 @@ the words around it are compared: an overlap is a stretch of WINDOW aligned word
 whole item with at least 80 % equal. Items of fewer than MIN_WORDS words must lie on a document word by word.
 
 Every way of substituting words that these rules accept leaves a seed of SEEDS whole (a test goes through them all).
-OP9_SQL states the rules without whole items, short items and unspaced scripts, by the seeds of MASKS.
+OP9_SQL states the same rules without seeds: it lays every item on every document wherever one word agrees.
 """
 
 from __future__ import annotations
@@ -17,11 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved, table
+from chronolith.llm.common import saved, small, table
 
-#: Of OP9_SQL: sampled positions of each mask, five words of a span of six or seven.
-MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
-SPAN = 7
 #: Items with fewer words cannot be told from chance if words are substituted; only exact copies of them count.
 MIN_WORDS = 8
 WINDOW = 13
@@ -30,8 +27,6 @@ SIMILARITY = 0.8
 SEEDS = (((0, 1, 2, 3, 4), MIN_WORDS, None), ((0, 1, 2, 4, 5), MIN_WORDS, None), ((0, 1, 2, 3), 10, 11), *((tuple(range(n)), n, n) for n in range(1, MIN_WORDS)))
 #: Letters of scripts that put no spaces between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
-#: The smaller side of a join is broadcast if it has been counted and has no more rows; else both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -42,11 +37,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, which is saved, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def seeds(texts: DataFrame, keep: list[str], masks: list[int]) -> DataFrame:
     """(kept columns, at, mask, seed) for every place and each of `masks`; `h` holds the word hashes. Spans that leave the text have no seed."""
     h = F.col("h")
@@ -83,10 +73,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     hashed = texts.select("doc_id", "th", word_hashes(F.col("text")).alias("h"))
-    found = seeds(hashed, ["doc_id", "th"], masks).join(_small(wanted), ["mask", "seed"])
+    found = seeds(hashed, ["doc_id", "th"], masks).join(small(wanted), ["mask", "seed"])
     hits = saved(found.select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
-    placed = texts.withColumnRenamed("doc_id", "id").join(_small(hits), F.col("id").eqNullSafe(F.col("doc_id")) & (texts["th"] == hits["th"])).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("h"))
-    aligned = placed.join(_small(items), placed["item_id"].eqNullSafe(items["item_id"])).select(
+    placed = texts.withColumnRenamed("doc_id", "id").join(small(hits), F.col("id").eqNullSafe(F.col("doc_id")) & (texts["th"] == hits["th"])).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("h"))
+    aligned = placed.join(small(items, 8 * F.size("ih") + 64), placed["item_id"].eqNullSafe(items["item_id"])).select(
         "doc_id", placed["item_id"], "diagonal",
         F.transform("ih", lambda x, k: F.when(F.get(F.col("h"), F.col("diagonal") + k) == x, 1).otherwise(0)).alias("equal"),
     )
@@ -110,31 +100,32 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return docs.join(leaked, docs[id_col].eqNullSafe(leaked["__leaked"]), "left_anti")
 
 
-def _sql_seeds(name: str, key: str) -> str:
-    each = " UNION ALL ".join(
-        f"SELECT {key}, i - 1 AS at, {m} AS mask, concat_ws(' ', {', '.join(f'w[i + {o}]' for o in offsets)}) AS seed FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {SPAN - 1})) AS i FROM {name})"
-        for m, offsets in enumerate(MASKS)
-    )
-    return f"({each})"
+def _sql_words(text: str) -> str:
+    lower = f"lower(coalesce({text}, ''))"
+    scripts = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+    spaced = f"regexp_replace({lower}, '({scripts})', ' \\1 ', 'g')"
+    return f"list_filter(string_split_regex({spaced}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 OP9_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-c AS (SELECT * FROM b WHERE len(w) >= {MIN_WORDS}),
+WITH d AS (SELECT DISTINCT doc_id, {_sql_words('text')} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_sql_words('text')} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM b),
 h AS (
-  SELECT DISTINCT x.doc_id, y.item_id, x.at - y.at AS diagonal
-  FROM {_sql_seeds('d', 'doc_id')} x JOIN {_sql_seeds('c', 'item_id')} y ON x.mask = y.mask AND x.seed = y.seed
+  SELECT doc_id, item_id, dw.at - bw.at AS diagonal FROM dw JOIN bw USING (word)
+  GROUP BY doc_id, item_id, diagonal, n HAVING count(*) >= ceil({SIMILARITY} * least(n, {WINDOW}))
 ),
 e AS (
-  SELECT h.doc_id, h.item_id, h.diagonal,
-         list_transform(generate_series(1, len(c.w)), lambda k: CASE WHEN h.diagonal + k >= 1 AND d.w[h.diagonal + k] = c.w[k] THEN 1 ELSE 0 END) AS equal
-  FROM h JOIN d ON h.doc_id = d.doc_id JOIN c ON h.item_id = c.item_id
+  SELECT h.doc_id, h.item_id, h.diagonal, len(b.w) AS n,
+         list_transform(generate_series(1, len(b.w)), lambda k: CASE WHEN h.diagonal + k >= 1 AND d.w[h.diagonal + k] = b.w[k] THEN 1 ELSE 0 END) AS equal
+  FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id
 ),
 v AS (
-  SELECT doc_id, item_id, diagonal, CAST(list_sum(equal) AS DOUBLE) / len(equal) AS similarity FROM e
-  WHERE len(list_filter(generate_series(1, len(equal) - least(len(equal), {WINDOW}) + 1),
-        lambda s: list_sum(equal[s : s + least(len(equal), {WINDOW}) - 1]) >= ceil({SIMILARITY} * least(len(equal), {WINDOW})))) > 0
+  SELECT doc_id, item_id, diagonal, CAST(list_sum(equal) AS DOUBLE) / n AS similarity FROM e
+  WHERE list_sum(equal) >= CASE WHEN n < {MIN_WORDS} THEN n ELSE ceil({SIMILARITY} * n) END
+     OR n >= {MIN_WORDS} AND len(list_filter(generate_series(1, n - least(n, {WINDOW}) + 1),
+        lambda s: list_sum(equal[s : s + least(n, {WINDOW}) - 1]) >= ceil({SIMILARITY} * least(n, {WINDOW})))) > 0
 )
 SELECT doc_id, item_id, count(DISTINCT diagonal) AS overlaps, max(similarity) AS similarity FROM v GROUP BY doc_id, item_id
 """

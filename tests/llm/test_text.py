@@ -201,5 +201,5 @@ def test_leak_edges(spark, documents):
 
 
 @pytest.mark.parametrize("residue", range(5))
-def test_the_first_mask_survives_every_fifth_word_changed(residue):
-    assert any(all((s + o) % 5 != residue for o in decontamination.MASKS[0]) for s in range(5))
+def test_a_mask_survives_every_fifth_word_changed(residue):
+    assert any(all((s + o) % 5 != residue for o in mask) for s in range(5) for mask, _, high in decontamination.SEEDS if high is None)
