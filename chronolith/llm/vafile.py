@@ -1,12 +1,17 @@
-"""Exact top-k by inner product with vector-approximation files.
+"""Exact top-k by inner product with a vector-approximation file.
 
-Vectors are stored in blocks of rows. Beside its exact integers a block keeps an approximation: every component
-is quantised to one of 2^BITS cells between the least and the greatest value of its column in the block. For a
-query, the cells bound every inner product from above; the bounds of all queries of a query block against a
-whole block are two matrix products. Exact vectors are then read in the order of their bounds, a step at a
-time, until the k-th best exact score of a query is above the bound of all that is unread.
+The approximation file is built once: blocks of rows in which every component is a cell, one of 2^BITS intervals
+between the least and the greatest value of its column in the block. The exact vectors are a table of their own.
+A search has two phases.
 
-Query blocks meet vector blocks in blocks: a join on the query block's number. Only each block's k best leave it.
+1. Scan. Query blocks meet the blocks of cells; two matrix products bound all inner products from below and from
+   above. The first scan gives each query its floor: the k-th greatest of all lower bounds. The second names the
+   vectors whose upper bound reaches the floor, which is why no other vector can be among the k best.
+2. Read. Exact vectors are read in the order of their upper bounds, first READ of a query, then those whose bound
+   still reaches the k-th exact score of these: until the k-th result is certain.
+
+Scans meet in a grid of tiles, R rows of cell blocks by C columns of query blocks, chosen so that the copies that
+are shuffled (cells C times, queries R times) are fewest. No vector is copied, and only those named are read.
 """
 
 from __future__ import annotations
@@ -18,84 +23,142 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved, spread, table
+from chronolith.llm.common import discard, saved, table
 
 K = 20
 SCALE = 64
-BITS = 4
+BITS = 8
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
-#: Components up to this size keep every product below 2^53, where float64 sums are exact; beyond it int64 is used.
+#: So many times k exact vectors of a query are read before its k-th exact score is taken.
+READ = 2
+#: Components up to this size keep every product below 2^53, where float64 sums are exact; beyond it bounds are widened.
 EXACT_LIMIT = 1 << 20
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v: array of bigint) in blocks: block number parts, ids and values as binary. No shuffle."""
+def _stacked(vectors: list) -> np.ndarray:
+    """Rows of one width, zeros beyond a vector's end."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def approximate(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, step, cells): value lies in low + cell * step .. low + (cell + 1) * step - 1, and not above high."""
+    low, high = values.min(axis=0), values.max(axis=0)
+    step = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
+    return low, high, step, ((values - low) // step).astype(np.uint8)
+
+
+def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper): bounds of every inner product, a row for each query."""
+    width = max(q.shape[1], cells.shape[1])
+    q, cells = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, cells))
+    low, high, step = (np.pad(x, (0, width - len(x)), constant_values=c) for x, c in ((low, 0), (high, 0), (step, 1)))
+    floor = low + cells.astype(np.int64) * step
+    ceiling = np.minimum(floor + step - 1, high).astype(np.float64)
+    floor = floor.astype(np.float64)
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    lower, upper = up @ floor.T + down @ ceiling.T, up @ ceiling.T + down @ floor.T
+    most = np.maximum(np.abs(low), np.abs(high)).astype(np.float64)
+    if max(np.abs(q).max(initial=0), most.max(initial=0)) >= EXACT_LIMIT:
+        slack = (np.abs(q).astype(np.float64) @ most * 1e-12 + 1)[:, None]
+        lower, upper = lower - slack, upper + slack
+    return lower, upper
+
+
+def _cell_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, key, v) as blocks of cells. No shuffle."""
 
     def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = [], []
+        for ids, keys, vectors in _runs(batches, size):
+            low, high, step, cells = approximate(_stacked(vectors))
+            parts = [x.astype("<i8").tobytes() for x in (np.array(ids), np.array(keys), low, high, step)]
+            yield pd.DataFrame([(*parts, cells.tobytes())], columns=["ids", "keys", "low", "high", "step", "cells"])
+
+    return rows.mapInPandas(pack, "ids binary, keys binary, low binary, high binary, step binary, cells binary")
 
-        def block() -> pd.DataFrame:
-            width = max(len(v) for v in vectors)
-            values = np.zeros((len(vectors), width), np.int64)
-            for i, v in enumerate(vectors):
-                values[i, : len(v)] = v
-            small = bool(np.abs(values).max(initial=0) < 1 << 15)
-            return pd.DataFrame([(len(ids), width, small, np.array(ids, "<i8").tobytes(), values.astype("<i2" if small else "<i8").tobytes())], columns=["n", "width", "small", "ids", "vecs"])
 
+def _query_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, key, v, floor) as blocks; without a floor yet, minus infinity."""
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, keys, vectors, floors in _runs(batches, size):
+            values = _stacked(vectors)
+            yield pd.DataFrame(
+                [(np.array(ids, "<i8").tobytes(), np.array(keys, "<i8").tobytes(), values.shape[1], values.astype("<i8").tobytes(), np.array(floors, "<f8").tobytes())],
+                columns=["q_ids", "q_keys", "q_width", "q_vecs", "floors"],
+            )
+
+    return rows.mapInPandas(pack, "q_ids binary, q_keys binary, q_width int, q_vecs binary, floors binary")
+
+
+def _runs(batches: Iterable[pd.DataFrame], size: int) -> Iterator[list[list]]:
+    """The columns of `size` rows at a time, whatever the batches are."""
+    held: list[list] = []
+    for batch in batches:
+        columns = [batch[c].tolist() for c in batch.columns]
+        held = [a + b for a, b in zip(held, columns, strict=True)] if held else columns
+        while held and len(held[0]) >= size:
+            yield [c[:size] for c in held]
+            held = [c[size:] for c in held]
+    if held and held[0]:
+        yield held
+
+
+def _tiles(cells: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of cells beside every query block, each pair in one tile."""
+    n_cells, n_queries = cells.count(), queries.count()  # one for every VECTOR_BLOCK vectors, QUERY_BLOCK queries
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(1, min(n_cells, round((tasks * n_cells / max(1, n_queries)) ** 0.5)))
+    columns = max(1, min(n_queries, -(-tasks // rows)))
+    number = F.monotonically_increasing_id()
+    c = cells.withColumn("tile_row", F.pmod(F.xxhash64(number, "keys"), F.lit(rows))).withColumn("tile_column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))))
+    q = queries.withColumn("tile_column", F.pmod(F.xxhash64(number, "q_keys"), F.lit(columns))).withColumn("tile_row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
+    return c.join(q, ["tile_row", "tile_column"])
+
+
+def _unpacked(r: tuple) -> tuple[np.ndarray, ...]:
+    """(query ids, keys, vectors, floors, ids, keys, lower, upper) of a pair of blocks; bounds of a query's own id are minus infinity."""
+    q_ids, q_keys, floors = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_keys, "<i8"), np.frombuffer(r.floors, "<f8")
+    ids, keys = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.keys, "<i8")
+    q = np.frombuffer(r.q_vecs, "<i8").reshape(len(q_ids), r.q_width)
+    low, high, step = (np.frombuffer(x, "<i8") for x in (r.low, r.high, r.step))
+    lower, upper = bounds(q, low, high, step, np.frombuffer(r.cells, np.uint8).reshape(len(ids), len(low)))
+    own = np.nonzero(q_ids[:, None] == ids[None, :]) if len(np.intersect1d(q_ids, ids)) else ()
+    if own:
+        lower[own], upper[own] = -np.inf, -np.inf
+    return q_keys, floors, keys, lower, upper
+
+
+def _floors(met: DataFrame, k: int) -> DataFrame:
+    """(key, floor): the k-th greatest lower bound of a query, if it has so many. Only each pair's k greatest leave a tile."""
+
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, v in zip(batch["id"].tolist(), batch["v"], strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield block()
-                    ids, vectors = [], []
-        if ids:
-            yield block()
+            for r in batch.itertuples(index=False):
+                q_keys, _, _, lower, _ = _unpacked(r)
+                best = -np.partition(-lower, min(k, lower.shape[1]) - 1, axis=1)[:, :k]
+                found = pd.DataFrame({"key": np.repeat(q_keys, best.shape[1]), "lower": best.ravel()})
+                yield found[found["lower"] > -np.inf]
 
-    return rows.mapInPandas(pack, "n bigint, width int, small boolean, ids binary, vecs binary")
+    found = met.mapInPandas(search, "key bigint, lower double")
+    order = Window.partitionBy("key").orderBy(F.desc("lower"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("key", F.col("lower").alias("floor"))
 
 
-def _unpacked(width: int, small: bool, ids: bytes, vecs: bytes, to: int) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(vecs, "<i2" if small else "<i8").reshape(-1, width).astype(np.int64) if width else np.zeros((len(ids) // 8, 0), np.int64)
-    return np.frombuffer(ids, "<i8"), np.pad(values, ((0, 0), (0, to - width)))
+def _named(met: DataFrame) -> DataFrame:
+    """(q_key, c_key, upper): the vectors whose upper bound reaches the query's floor."""
 
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                q_keys, floors, keys, _, upper = _unpacked(r)
+                i, j = np.nonzero((upper >= floors[:, None]) & (upper > -np.inf))
+                yield pd.DataFrame({"q_key": q_keys[i], "c_key": keys[j], "upper": upper[i, j]})
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row in q, vector id, score) of each query's k best in one block, ties to the smaller vector id; its own id left out."""
-    exact = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < EXACT_LIMIT
-    low, high = (c.min(axis=0), c.max(axis=0)) if len(c) else (np.zeros(q.shape[1]), np.zeros(q.shape[1]))
-    step = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-    cells = ((c - low) // step).astype(np.uint8)  # the approximation
-    floor = low + cells * step
-    ceiling = np.minimum(floor + step - 1, high)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    if exact:
-        bounds = up.astype(np.float64) @ ceiling.T.astype(np.float64) + down.astype(np.float64) @ floor.T.astype(np.float64)
-    else:
-        bounds = (up @ ceiling.T + down @ floor.T).astype(np.float64)
-        bounds += np.abs(bounds) * 1e-12 + 1
-    out_q, out_c, out_s = [], [], []
-    for i in range(len(q)):
-        bound = bounds[i]
-        order = np.argsort(-bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, take = 0, 4 * k
-        while at < len(order):
-            if len(ids) == k and scores[-1] > bound[order[at]]:
-                break  # nothing unread can reach the k-th score, not even as a tie
-            read = order[at : at + take]
-            at, take = at + take, 2 * take
-            read = read[c_ids[read] != q_ids[i]]
-            value = (c[read].astype(np.float64) @ q[i].astype(np.float64)).astype(np.int64) if exact else c[read] @ q[i]
-            ids, scores = np.concatenate([ids, c_ids[read]]), np.concatenate([scores, value])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        out_q.append(np.full(len(ids), i, np.int64))
-        out_c.append(ids)
-        out_s.append(scores)
-    empty = [np.zeros(0, np.int64)]
-    return tuple(np.concatenate(x or empty) for x in (out_q, out_c, out_s))
+    return met.mapInPandas(search, "q_key bigint, c_key bigint, upper double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -104,32 +167,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     Components x become floor(scale * x). Vectors that are null, or hold a null or non-finite component, take no
     part, nor do rows without an id. Shorter vectors count as zero beyond their end; an empty vector scores 0.
     A query leaves out every row with its own id. Repeated ids are rows of their own and rank one after the
-    other; ties go to the smaller vec_id. With fewer than k rows all are returned; empty tables give no rows.
+    other; ties go to the smaller vec_id. With fewer than k rows all are returned; empty tables give no rows; other
+    columns are not read.
     """
     x = F.col(vec_col)
     sound = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
 
     def whole(df: DataFrame) -> DataFrame:
-        return df.where(sound).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("bigint")).alias("v"))
-
-    q_blocks = saved(_packed(whole(queries), QUERY_BLOCK).withColumn("q_block", F.monotonically_increasing_id()))
-    numbers = [r[0] for r in q_blocks.select("q_block").collect()]  # one number for every QUERY_BLOCK queries
-    numbered = F.array(*(F.lit(n) for n in numbers)) if numbers else F.array().cast("array<bigint>")
-    c_blocks = _packed(whole(vectors), VECTOR_BLOCK).select(F.col("width").alias("c_width"), F.col("small").alias("c_small"), F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.explode(numbered).alias("q_block"))
-    met = spread(c_blocks).join(q_blocks, "q_block")
-
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                to = max(r.width, r.c_width)
-                q_ids, q = _unpacked(r.width, r.small, r.ids, r.vecs, to)
-                c_ids, c = _unpacked(r.c_width, r.c_small, r.c_ids, r.c_vecs, to)
-                a, b, s = block_top(q_ids, q, c_ids, c, k)
-                yield pd.DataFrame({"q_block": r.q_block, "q_row": a, "query_id": q_ids[a], "vec_id": b, "score": s})
-
-    found = met.mapInPandas(search, "q_block bigint, q_row bigint, query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rows = df.where(sound).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("bigint")).alias("v"))
+        return saved(rows.select("id", F.monotonically_increasing_id().alias("key"), "v"))
+
+    exact, asked = whole(vectors), whole(queries)
+    cells = saved(_cell_blocks(exact, VECTOR_BLOCK))
+    blocks = saved(_query_blocks(asked.withColumn("floor", F.lit(float("-inf"))), QUERY_BLOCK))
+    floors = saved(_floors(_tiles(cells, blocks), k))
+    discard(blocks)
+    floored = asked.join(floors, "key", "left").select("id", "key", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    blocks = saved(_query_blocks(floored, QUERY_BLOCK))
+    by_bound = Window.partitionBy("q_key").orderBy(F.desc("upper"), "c_key")
+    named = saved(_named(_tiles(cells, blocks)).withColumn("place", F.row_number().over(by_bound)))
+    discard(cells, blocks, floors)
+    q, c = asked.select(F.col("key").alias("q_key"), F.col("id").alias("query_id"), F.col("v").alias("qv")), exact.select(F.col("key").alias("c_key"), F.col("id").alias("vec_id"), F.col("v").alias("cv"))
+    product = F.aggregate(F.zip_with("qv", "cv", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    def read(which: DataFrame) -> DataFrame:
+        return which.join(c, "c_key").join(q, "q_key").select("q_key", "query_id", "vec_id", product.alias("score"))
+
+    first = saved(read(named.where(F.col("place") <= READ * k)))
+    kth = first.withColumn("rank", F.row_number().over(Window.partitionBy("q_key").orderBy(F.desc("score")))).where(F.col("rank") == k).select("q_key", F.col("score").alias("kth"))
+    rest = named.where(F.col("place") > READ * k).join(kth, "q_key").where(F.col("upper") >= F.col("kth"))
+    order = Window.partitionBy("q_key").orderBy(F.desc("score"), "vec_id")
+    ranked = first.unionByName(read(rest)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
