@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import table
+from chronolith.llm.common import spread, table
 
 #: Fixed values of the published algorithm.
 MULTIPLIER = Decimal(2862933555777941757)
@@ -23,6 +23,8 @@ TWO_33 = Decimal(8589934592)
 TWO_64 = Decimal(18446744073709551616)
 
 SHARDS = 24
+#: A run of equal rows is dealt out in pieces of so many.
+PIECE = 65_536
 #: Each shard's documents are numbered in this many independent ranges, so no task numbers a whole shard.
 SLOT_RANGES = 2048
 
@@ -57,7 +59,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     under one more shard: the same, or the new one.
 
     Rows that agree in id, size and checksum are interchangeable: they are counted before the shuffle and
-    share one run of slots, so a key that holds a third of all rows is one row from there on. Null ids count
+    share one run of slots, so a key that holds a third of all rows is one row from there on; longer runs are cut
+    into pieces of PIECE slots, which are dealt over all tasks before their rows are written out. Null ids count
     as key 0 and keep their null id; an empty table gives no rows; other columns are not read, so clashing
     names do no harm. Empty texts have size 8.
     """
@@ -73,7 +76,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     order = Window.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     first = (F.col("before") + F.sum("n").over(order) - F.col("n")).alias("first")
     placed = distinct.join(before, ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", "n", first)
-    return placed.select(
+    many = F.col("n") > PIECE
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(PIECE).cast("bigint"))
+    at = placed.where(many).withColumn("from", F.explode(pieces)).select(
+        "doc_id", "size", "text_crc32", "shard", F.least(F.lit(PIECE), F.col("n") - F.col("from")).alias("n"), (F.col("first") + F.col("from")).alias("first")
+    )
+    return placed.where(~many).unionByName(spread(at)).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
