@@ -63,6 +63,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     counts once; rows without an id take part under a null id; empty tables give no rows; long documents are read
     whole; other columns are not read. Frequent seeds are rows of their own, never gathered.
     """
+    found = _verified(docs, benchmark, id_col, text_col, item_col, item_text, window, similarity)
+    return found.groupBy("doc_id", "item_id").agg(F.count_distinct("diagonal").alias("overlaps"), F.max("similarity").alias("similarity"))
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, th, item_id, diagonal, similarity) of the diagonals on which an item lies on a text; th: hash of the text."""
     items = saved(benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), word_hashes(F.col(item_text)).alias("ih")).where(F.size("ih") > 0).distinct())
     size = F.size("ih")
     needed = items.agg(*(F.max(_needs(m, size)).alias(f"m{m}") for m in range(len(SEEDS)))).first()  # one row
@@ -75,9 +81,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     hashed = texts.select("doc_id", "th", word_hashes(F.col("text")).alias("h"))
     found = seeds(hashed, ["doc_id", "th"], masks).join(small(wanted), ["mask", "seed"])
     hits = saved(found.select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
-    placed = texts.withColumnRenamed("doc_id", "id").join(small(hits), F.col("id").eqNullSafe(F.col("doc_id")) & (texts["th"] == hits["th"])).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("h"))
+    placed = texts.withColumnRenamed("doc_id", "id").join(small(hits), F.col("id").eqNullSafe(F.col("doc_id")) & (texts["th"] == hits["th"])).select("doc_id", hits["th"], "item_id", "diagonal", word_hashes(F.col("text")).alias("h"))
     aligned = placed.join(small(items, 8 * F.size("ih") + 64), placed["item_id"].eqNullSafe(items["item_id"])).select(
-        "doc_id", placed["item_id"], "diagonal",
+        "doc_id", "th", placed["item_id"], "diagonal",
         F.transform("ih", lambda x, k: F.when(F.get(F.col("h"), F.col("diagonal") + k) == x, 1).otherwise(0)).alias("equal"),
     )
     n = F.size("equal")
@@ -85,8 +91,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     enough = F.exists(F.sequence(F.lit(1), n - length + 1), lambda s: total(F.slice(F.col("equal"), s, length)) >= F.ceil(F.lit(similarity) * length))
     whole = total(F.col("equal")) >= F.when(n < MIN_WORDS, n).otherwise(F.ceil(F.lit(similarity) * n))
-    verified = aligned.where(whole | ((n >= MIN_WORDS) & enough)).select("doc_id", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
-    return verified.groupBy("doc_id", "item_id").agg(F.count_distinct("diagonal").alias("overlaps"), F.max("similarity").alias("similarity"))
+    return aligned.where(whole | ((n >= MIN_WORDS) & enough)).select("doc_id", "th", "item_id", "diagonal", (total(F.col("equal")) / n).alias("similarity"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +100,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without an overlap, with their own columns."""
-    leaked = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["__leaked"]), "left_anti")
+    """The rows of `docs` without an overlap, with their own columns.
+
+    Null and empty texts stay; of rows that share an id, or have none, only those whose own text overlaps go; repeated
+    rows stay or go together; texts of any length are read whole; an empty table gives no rows, an empty benchmark
+    keeps all; an item whose word sequence is empty matches nothing.
+    """
+    leaked = _verified(docs, benchmark, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th")).distinct()
+    own = docs[id_col].cast("bigint")
+    same = (F.coalesce(own, F.lit(0)) == leaked["__id"]) & (own.isNull() == leaked["__none"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == leaked["__th"])
+    return docs.join(leaked, same, "left_anti")
 
 
 def _sql_words(text: str) -> str:
