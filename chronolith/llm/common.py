@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +111,10 @@ def small(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
     """`df`, which is saved, marked for broadcast if its rows hold BROADCAST_BYTES at most; else both sides are shuffled."""
     held = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
     return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
+def pieces(batches: Iterator[pd.Series], rows: int = 512) -> Iterator[pd.Series]:
+    """Slices of the batches, so that a Python worker holds the results of few rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
