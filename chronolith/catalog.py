@@ -73,6 +73,17 @@ def queries() -> dict[str, Query]:
         "diff": lambda spark, d: compose.diff(testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)),
         "ci": _on("fine", lambda h: compose.gates(h, max_bus_factor=1, max_risk=20.0)),
     }
+    through: dict[str, tuple[str, Callable[[History], DataFrame], dict]] = {
+        "summary": ("fine", ranking.summary, {}), "summary_window": ("fine", ranking.summary, {"options": FIRST}), "hotspots_window": ("fine", lambda h: ranking.hotspots(h, 0), {"options": FIRST}),
+        "working_patterns": ("fine", ranking.working_patterns, {}), "extensions": ("fine", lambda h: ranking.extensions(h, 0), {}), "churn_risk": ("fine", lambda h: risk.churn_risk(h, 0), {}), "coupling": ("coarse", lambda h: pairs.coupling(h, 0), {}),
+        "dev_registry": ("fine", lambda h: developers(h.commits), {}),
+    }
+    for name, (kind, stat, how) in through.items():  # the same results, through JSON lines and the loader
+        found[f"lines_{name}"] = lambda spark, d, kind=kind, stat=stat, how=how: stat(testbed.read_lines(spark, testbed.history(spark, d, kind), **how))
+    found["lines_hotspots_renamed"] = lambda spark, d: ranking.hotspots(testbed.read_lines(spark, testbed.history(spark, d, renames=True)), 0)
+    found["lines_two_inputs"] = lambda spark, d: ranking.repo_breakdown(testbed.read_lines(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)))
+    found["odd_coupling"] = lambda spark, d: pairs.coupling(testbed.odd_history(spark, d), 0)
+    found["odd_suspects"] = lambda spark, d: structure.suspects(testbed.odd_history(spark, d)).select("glob", "reason", "churn", F.size("paths").cast("bigint").alias("files"), F.array_join("suggestions", ";").alias("suggestions"), "worth_warning")
     for g in ("day", "week", "month", "year"):
         found[f"activity_{g}"] = _on("fine", lambda h, g=g: ranking.activity(h, g))
     return found

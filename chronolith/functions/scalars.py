@@ -80,6 +80,11 @@ def minus_months(day: Column, months: int) -> Column:
     return F.date_add(F.add_months(F.trunc(day, "MM"), -months), F.dayofmonth(day) - 1)
 
 
+def months(day: Column | str) -> Column:
+    """Months since year 0."""
+    return F.year(day) * 12 + F.month(day)
+
+
 def cut_message(message: Column, limit: int, keep: int) -> Column:
     """More than `limit` bytes: the first `keep` bytes and three dots."""
     head = F.make_valid_utf8(F.substring(F.encode(message, "UTF-8"), 1, keep).cast("string"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import round_k
+from chronolith.plans.checkpoints import checkpointed
 from chronolith.plans.history import History
+from chronolith.plans.ordered import running
 from chronolith.schema import EXTREME_PCT, MODERATE_PCT, OWNERSHIP
 
 
@@ -39,26 +41,32 @@ def concentration_label(pct: Column, count: Column) -> Column:
     return F.when(count == 0, "no data").when(pct <= EXTREME_PCT, "extremely concentrated").when(pct <= MODERATE_PCT, "moderately concentrated").otherwise("well distributed")
 
 
-def prefix_for_most(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    """One row (top, total, pct): how many rows, by `key` downwards and then by `name`, it takes to hold 80 % of `value`.
+def prefixes_for_most(lenses: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """(lens, top, total, pct): how many rows, by `key` downwards and then by `name`, it takes to hold 80 % of `value`. lenses: rows, value, key, name.
 
-    Rows are summed by key first, and running sums go over the distinct keys alone; only the rows of the one key
-    in which the 80 % fall are put in order.
+    Rows are summed by key first, and running sums go over the distinct keys of all lenses, in ranges. In the one key
+    in which the 80 % fall, rows of equal value are counted off; where values differ, running sums go over its names.
     """
-    groups = df.groupBy(key).agg(F.sum(value).alias("held"), F.count(F.lit(1)).alias("rows"))
-    above = Window.orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, -1)
-    run = groups.select(
-        F.col(key).alias("edge"), "held", F.coalesce(F.sum("held").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows_before"),
-        F.sum("held").over(Window.partitionBy()).alias("whole"),
-    )
-    goal = OWNERSHIP * F.col("whole")
-    edge = run.where((F.col("before") < goal) & (F.col("before") + F.col("held") >= goal))  # one row, or none
-    inside = df.join(F.broadcast(edge), F.col(key) == F.col("edge"))
-    order = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.sum(value).over(order))
-    top = inside.agg((F.coalesce(F.max("rows_before"), F.lit(0)) + F.count_if(F.col("before") + F.col("upto") - F.col(value) < goal)).alias("top"))
-    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
-    return top.crossJoin(total).select("top", "total", F.when(F.col("total") > 0, round_k(F.col("top") / F.col("total") * 100, 1)).otherwise(0.0).alias("pct"))
+    groups = None
+    for lens, (rows, value, key, _) in lenses.items():
+        held = rows.groupBy(F.lit(lens).alias("lens"), F.col(key).cast("bigint").alias("key")).agg(F.sum(value).alias("held"), F.count(F.lit(1)).alias("rows"))
+        groups = held if groups is None else groups.unionByName(held)
+    groups = checkpointed(groups)
+    run = running(groups, "key", ["held", "rows"], ["lens"], descending=True)
+    goal = OWNERSHIP * F.col("held_all")
+    edges = run.where((F.col("held_before") < goal) & (F.col("held_before") + F.col("held") >= goal))  # one row for a lens, or none
+    edges = checkpointed(edges.select("lens", F.col("key").alias("edge"), F.col("held_before").alias("before"), goal.alias("goal"), "rows", "rows_before"))
+    counted = edges.where(F.col("lens").isin([lens for lens, (_, value, key, _) in lenses.items() if value == key]))
+    tops = counted.select("lens", (F.col("rows_before") + F.least(F.col("rows"), F.ceil((F.col("goal") - F.col("before")) / F.col("edge")))).alias("top"))
+    for lens, (rows, value, key, name) in lenses.items():
+        if value != key:
+            inside = rows.join(F.broadcast(edges.where(F.col("lens") == lens)), F.col(key) == F.col("edge")).select(name, value, "before", "goal", "rows_before")
+            within = F.count_if(F.col("before") + F.col(f"{value}_before") < F.col("goal"))
+            tops = tops.unionByName(running(inside, name, [value]).agg(F.max("rows_before").alias("offset"), within.alias("n")).select(F.lit(lens).alias("lens"), (F.coalesce("offset", F.lit(0)) + F.col("n")).alias("top")))
+    names = lenses[next(iter(lenses))][0].sparkSession.createDataFrame([(i, lens) for i, lens in enumerate(lenses)], "at int, lens string")
+    totals = groups.groupBy("lens").agg(F.sum("rows").alias("total"))
+    found = names.join(totals, "lens", "left").join(tops, "lens", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("top", "total")})
+    return found.orderBy("at").select("lens", "top", "total", F.when(F.col("total") > 0, round_k(F.col("top") / F.col("total") * 100, 1)).otherwise(0.0).alias("pct"))
 
 
 def pareto(h: History) -> DataFrame:
@@ -66,20 +74,15 @@ def pareto(h: History) -> DataFrame:
 
     Directories are taken in the order of their touches, as the ranking of directories is.
     """
-    from chronolith.operators.ranking import contributors, directories, hotspots
-
-    people = contributors(h, 0).withColumn("churn", F.col("additions") + F.col("deletions"))
-    lenses = [
-        ("files_churn", prefix_for_most(hotspots(h, 0), "churn", "churn", "path")),
-        ("devs_commits", prefix_for_most(people, "commits", "commits", "email")),
-        ("devs_churn", prefix_for_most(people, "churn", "churn", "email")),
-        ("dirs_churn", prefix_for_most(directories(h, 0), "churn", "file_touches", "dir")),
-    ]
-    rows = None
-    for name, one in lenses:
-        label = concentration_label(F.col("pct"), F.col("top"))
-        if name == "devs_commits":
-            label = F.concat(label, F.when((F.col("top") > 0) & (F.col("pct") <= EXTREME_PCT), ", key-person dependence").otherwise(""))
-        row = one.select(F.lit(name).alias("lens"), "top", "total", "pct", label.alias("label"))
-        rows = row if rows is None else rows.unionAll(row)
-    return rows
+    from chronolith.operators.ranking import contributors, directories
+
+    files = h.file_facts.select(F.col("file").alias("path"), "churn")
+    people = checkpointed(contributors(h, 0).select("email", "commits", (F.col("additions") + F.col("deletions")).alias("churn")))
+    folders = checkpointed(directories(h, 0).select("dir", "file_touches", "churn"))
+    found = prefixes_for_most({
+        "files_churn": (files, "churn", "churn", "path"), "devs_commits": (people, "commits", "commits", "email"),
+        "devs_churn": (people, "churn", "churn", "email"), "dirs_churn": (folders, "churn", "file_touches", "dir"),
+    })
+    key_person = (F.col("lens") == "devs_commits") & (F.col("top") > 0) & (F.col("pct") <= EXTREME_PCT)
+    label = F.concat(concentration_label(F.col("pct"), F.col("top")), F.when(key_person, ", key-person dependence").otherwise(""))
+    return found.select("lens", "top", "total", "pct", label.alias("label"))

@@ -10,10 +10,15 @@ from chronolith.plans.history import History
 from chronolith.schema import MECHANICAL_FILES, MECHANICAL_LINES, Limits
 
 
+def _commit_paths(h: History) -> DataFrame:
+    """(repo, sha, path, file, lines): every path once for each commit, by the one shuffle by commit that pairs and counts share."""
+    rows = h.touches.select("repo", "sha", "path", "file", "lines").repartition("repo", "sha")
+    return rows.groupBy("repo", "sha", "path", "file").agg(F.sum("lines").alias("lines"))
+
+
 def file_changes(h: History) -> DataFrame:
     """(file, changes): commits that touch a path, by its raw path, then summed under the canonical one."""
-    raw = h.touches.groupBy("path").agg(F.count_distinct("repo", "sha").alias("changes"), F.first("file").alias("file"))
-    return raw.groupBy("file").agg(F.sum("changes").alias("changes"))
+    return _commit_paths(h).groupBy("file").agg(F.count(F.lit(1)).alias("changes"))
 
 
 def pair_counts(h: History) -> DataFrame:
@@ -22,8 +27,7 @@ def pair_counts(h: History) -> DataFrame:
     Pairs are made of raw paths inside a commit, after the size filter, so a commit gives
     max * (max - 1) / 2 of them at most; then they are put under canonical paths.
     """
-    rows = h.touches.select("repo", "sha", "path", "file", "lines").repartition("repo", "sha")  # the one shuffle by commit that all below share
-    rows = rows.groupBy("repo", "sha", "path", "file").agg(F.sum("lines").alias("lines"))
+    rows = _commit_paths(h)
     sizes = rows.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("churn"))
     fit = sizes.where((F.col("n") >= 2) & (F.col("n") <= h.options.coupling_max_files) & ~((F.col("n") >= MECHANICAL_FILES) & (F.col("churn") / F.col("n") < MECHANICAL_LINES)))
     paths = rows.join(fit.select("repo", "sha"), ["repo", "sha"]).groupBy("repo", "sha").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most
@@ -47,12 +51,16 @@ def coupling(h: History, n: int = 10, limits: Limits = Limits()) -> DataFrame:
 def dev_network(h: History, n: int = 10, limits: Limits = Limits()) -> DataFrame:
     """Pairs of developers by lines they share: over common files, the smaller of both sums.
 
-    A file's pairs come from a join on the file, which the adaptive planner splits where one file is hot.
+    Developers with fewer files than a pair must share are left out before the join, which loses no pair. A file's
+    pairs come from a join on the file, which the adaptive planner splits where one file is hot, and are summed by
+    pair before they are shuffled.
     """
     held = h.authored.select("file", "email", "lines")
+    files = held.groupBy("email").agg(F.count(F.lit(1)).alias("n"))
+    if limits.network_min_files > 1:
+        held = held.join(files.where(F.col("n") >= limits.network_min_files).select("email"), "email", "left_semi")
     a, b = held.select("file", F.col("email").alias("dev_a"), F.col("lines").alias("la")), held.select("file", F.col("email").alias("dev_b"), F.col("lines").alias("lb"))
     pairs = a.join(b, "file").where("dev_a < dev_b").groupBy("dev_a", "dev_b").agg(F.count(F.lit(1)).alias("shared_files"), F.sum(F.least("la", "lb")).alias("shared_lines"))
-    files = held.groupBy("email").agg(F.count(F.lit(1)).alias("n"))
     rows = pairs.where(F.col("shared_files") >= limits.network_min_files)
     rows = rows.join(files.select(F.col("email").alias("dev_a"), F.col("n").alias("na")), "dev_a").join(files.select(F.col("email").alias("dev_b"), F.col("n").alias("nb")), "dev_b")
     rows = rows.select("dev_a", "dev_b", "shared_files", "shared_lines", round_k(F.col("shared_files") / F.greatest("na", "nb") * 100, 1).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +73,8 @@ def profiles(h: History, email: str | None = None, n: int = 0) -> DataFrame:
     partners = mine.join(theirs, "file").where("partner <> email").groupBy("email", "partner").agg(F.count(F.lit(1)).alias("shared_files"), F.sum(F.least("lines", "their_lines")).alias("shared_lines"))
     partners = _best(partners, TOP_PARTNERS, ["partner", "shared_files", "shared_lines"], "collaborators", F.desc("shared_lines"), F.desc("shared_files"), "partner")
 
-    rows = people
-    for part in (files, big, monthly, grid, special, scope, exts, partners):
-        rows = rows.join(part, "email", "left")
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (people, files, big, monthly, grid, special, scope, exts, partners))
+    rows = parts.groupBy("email").agg(*(F.first(c, ignorenulls=True).alias(c) for c in parts.columns if c != "email"))  # one shuffle; each part has one row for a developer
     ratio = F.when(F.col("additions") > 0, round_k(F.col("deletions") / F.col("additions"), 2)).otherwise(0.0)
     hidden = [f"{x}_hidden" for x in ("top_files", "top_commits", "scope", "extensions", "collaborators")]
     return rows.select(

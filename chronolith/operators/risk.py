@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.scalars import epoch, minus_months, round_k
+from chronolith.functions.scalars import epoch, round_k
 from chronolith.operators.ownership import bus_factors
 from chronolith.plans.checkpoints import checkpointed
 from chronolith.plans.history import History
-from chronolith.schema import (
-    ACTIVE_BUS_FACTOR, COLD_RATIO, DECLINING_FLOOR, DECLINING_TREND, MIN_SAMPLE, OLD_AGE_DAYS, RISK_LABELS, TREND_MONTHS,
-)
+from chronolith.plans.ordered import running
+from chronolith.schema import ACTIVE_BUS_FACTOR, COLD_RATIO, DECLINING_FLOOR, DECLINING_TREND, MIN_SAMPLE, OLD_AGE_DAYS, RISK_LABELS
 
 
-def _values(rows: DataFrame, column: str) -> DataFrame:
-    """(v, n, below, total) of the distinct values: how many rows are smaller, and how many there are."""
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("v", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy()).alias("total"))
+def _ranks(files: DataFrame) -> DataFrame:
+    """(measure, v, n, below, total) of the distinct ages, trends and positive recent changes: how many files have a smaller value, and how many have one."""
+    positive = F.when(F.col("recent") > 0, F.col("recent"))
+    stacked = F.stack(F.lit(3), F.lit("age"), F.col("age").cast("double"), F.lit("trend"), F.col("trend"), F.lit("recent"), positive).alias("measure", "v")
+    counts = files.select(stacked).where("v IS NOT NULL").groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
+    return running(counts, "v", ["n"], ["measure"]).select("measure", "v", "n", F.col("n_before").alias("below"), F.col("n_all").alias("total"))
 
 
-def _nth(values: DataFrame, rank: Column, name: str) -> DataFrame:
-    """One row: the value of the row with this rank (from 1) among all; null without rows."""
-    return values.where((F.col("below") < rank) & (F.col("below") + F.col("n") >= rank)).agg(F.max("v").alias(name))
+def _nth(measure: str, rank: Column) -> Column:
+    """An aggregate over _ranks(): the value of the file with this rank (from 1) among all; null without files."""
+    return F.max(F.when((F.col("measure") == measure) & (F.col("below") < rank) & (F.col("below") + F.col("n") >= rank), F.col("v")))
 
 
 def _measured(h: History) -> DataFrame:
     """One row for each file: recent, first, last, changes, age, trend, bus factor (1 at least)."""
-    month_of = lambda c: F.year(c) * 12 + F.month(c)
-    month = month_of("ts")
-    bounds = h.latest.select("latest", month_of(minus_months(F.to_date("latest"), TREND_MONTHS)).alias("cutoff"), month_of("earliest").alias("oldest"))
-    rows = h.decayed_touches.drop("anchor").crossJoin(F.broadcast(bounds))  # one row
-    dated = F.col("ts").isNotNull()
-    files = rows.groupBy("file").agg(
-        F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"), F.count(F.lit(1)).alias("total_changes"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-        F.coalesce(F.sum(F.when(dated & (month < F.col("cutoff")), F.col("lines"))), F.lit(0)).alias("earlier"),
-        F.coalesce(F.sum(F.when(dated & (month >= F.col("cutoff")), F.col("lines"))), F.lit(0)).alias("later"),
-        F.first("latest").alias("latest"), F.first("cutoff").alias("cutoff"), F.first("oldest").alias("oldest"),
-    )
+    files = h.file_facts.crossJoin(F.broadcast(h.bounds.drop("earliest")))  # one row
     trend = (
         F.when((F.col("oldest") >= F.col("cutoff")) | F.col("first").isNull(), 1.0)
         .when(F.col("earlier") == 0, F.when(F.col("later") == 0, 1.0).otherwise(2.0))
@@ -46,29 +36,38 @@ def _measured(h: History) -> DataFrame:
     )
     age = F.coalesce(F.floor((epoch(F.col("latest")) - epoch(F.col("first"))) / 86400), F.lit(0)).cast("bigint")
     owners = bus_factors(h.authored, "file").select("file", "bus_factor")
-    return files.join(owners, "file", "left").select("file", (F.col("micro") / 1e6).alias("recent"), "total_changes", "first", "last", age.alias("age"), trend.alias("trend"), F.greatest(F.coalesce("bus_factor", F.lit(1)), F.lit(1)).alias("bus_factor"))
+    return files.join(owners, "file", "left").select(
+        "file", (F.col("micro") / 1e6).alias("recent"), F.col("commits").alias("total_changes"), "first", "last", age.alias("age"), trend.alias("trend"),
+        F.greatest(F.coalesce("bus_factor", F.lit(1)), F.lit(1)).alias("bus_factor"),
+    )
 
 
 def labelled(h: History) -> DataFrame:
     """Every file with its measures, label and percentile ranks (null with fewer than MIN_SAMPLE files).
 
-    Thresholds are medians and percentiles by rank, taken over distinct values with their counts, so the one task
-    that puts values in order sees each value once.
+    Thresholds are medians and percentiles by rank. They are taken over distinct values with their counts, in ranges
+    (see running()), so no task puts all values in order. Kept with the history: lists, counts and gates share it.
     """
-    files = checkpointed(_measured(h))  # read six times below
-    ages, trends = _values(files, "age"), _values(files, "trend")
-    positive = _values(files.where("recent > 0"), "recent")
-    low = _nth(positive, F.floor(F.col("total") / 2) + 1, "median")  # the upper one
+    if "labelled" not in h.kept:
+        h.kept["labelled"] = checkpointed(_labelled(checkpointed(_measured(h))))  # the measures are read some ten times
+    return h.kept["labelled"]
+
+
+def _labelled(files: DataFrame) -> DataFrame:
+    ranks = checkpointed(_ranks(files))
     rank = lambda p: F.greatest(F.lit(1), F.floor((F.col("total") * p + 99) / 100))
-    old, declining = _nth(ages, rank(75), "p75"), _nth(trends, rank(25), "p25")
-    count = files.agg(F.count(F.lit(1)).alias("sample"))
-    bands = low.crossJoin(old).crossJoin(declining).crossJoin(count).select(  # one row each
+    thresholds = ranks.agg(
+        _nth("recent", F.floor(F.col("total") / 2) + 1).alias("median"),  # the upper one
+        _nth("age", rank(75)).alias("p75"), _nth("trend", rank(25)).alias("p25"), F.coalesce(F.max(F.when(F.col("measure") == "age", F.col("total"))), F.lit(0)).alias("sample"),
+    )
+    bands = thresholds.select(
         (F.coalesce("median", F.lit(0.0)) * COLD_RATIO).alias("low"),
         F.when(F.col("sample") < MIN_SAMPLE, OLD_AGE_DAYS).otherwise(F.col("p75")).alias("old"),
         F.when(F.col("sample") < MIN_SAMPLE, DECLINING_TREND).otherwise(F.greatest("p25", F.lit(DECLINING_FLOOR))).alias("declining"),
         "sample",
     )
-    ranked = files.join(ages.select(F.col("v").alias("age"), F.col("below").alias("age_below")), "age").join(trends.select(F.col("v").alias("trend"), F.col("below").alias("trend_below")), "trend").crossJoin(F.broadcast(bands))
+    of = lambda m: ranks.where(F.col("measure") == m).select(F.col("v").alias(f"{m}_value"), F.col("below").alias(f"{m}_below"))
+    ranked = files.join(of("age"), F.col("age").cast("double") == F.col("age_value")).join(of("trend"), F.col("trend") == F.col("trend_value")).crossJoin(F.broadcast(bands))  # one row
     label = (
         F.when(F.col("recent") <= F.col("low"), "cold").when(F.col("bus_factor") >= ACTIVE_BUS_FACTOR, "active").when(F.col("age") < F.col("old"), "active-core")
         .when(F.col("trend") < F.col("declining"), "fading-silo").otherwise("silo")

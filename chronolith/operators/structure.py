@@ -46,26 +46,42 @@ def _suggestion(path: Column, glob: str, kind: str, text: str) -> Column:
     return F.when(F.startswith(path, F.lit(f"{text}/")) | (at == 0), glob).otherwise(F.concat(F.substring(path, F.lit(1), at - 1), F.lit(f"/{glob}")))
 
 
-def suspects(h: History) -> DataFrame:
-    """By pattern: churn, sorted paths, sorted ignore globs, and whether all suspects hold 10 % of the churn."""
+def _marked(h: History) -> DataFrame:
+    """(path, churn, glob, reason, suggestion): every file, with the first pattern that it fits, if any."""
     files = h.file_facts.select(F.col("file").alias("path"), "churn", strip_repo(F.col("file")).alias("bare"))
     which, how, why = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for glob, reason, kind, text in reversed(SUSPECTS):
         found = _matches(F.col("bare"), kind, text)
         which, why = F.when(found, glob).otherwise(which), F.when(found, reason).otherwise(why)
         how = F.when(found, _suggestion(F.col("bare"), glob, kind, text)).otherwise(how)
-    marked = files.select("path", "churn", which.alias("glob"), why.alias("reason"), how.alias("suggestion"))
-    totals = marked.agg(F.sum("churn").alias("whole"), F.sum(F.when(F.col("glob").isNotNull(), F.col("churn"))).alias("suspect"))
-    buckets = marked.where("glob IS NOT NULL").groupBy("glob", "reason").agg(F.sum("churn").alias("churn"), F.sort_array(F.collect_list("path")).alias("paths"), F.sort_array(F.collect_set("suggestion")).alias("suggestions"))
-    rows = buckets.crossJoin(F.broadcast(totals)).where("whole > 0")  # one row
-    return rows.select("glob", "reason", "churn", "paths", "suggestions", (F.col("suspect") / F.col("whole") >= SUSPECT_FLOOR).alias("worth_warning")).orderBy(F.desc("churn"), "glob")
+    return files.select("path", "churn", which.alias("glob"), why.alias("reason"), how.alias("suggestion"))
+
+
+def suspect_files(h: History) -> DataFrame:
+    """(path, churn, glob, reason, suggestion): a row for each suspect file; for any number of them."""
+    return _marked(h).where("glob IS NOT NULL")
+
+
+def suspect_counts(h: History) -> DataFrame:
+    """(glob, reason, churn, files, worth_warning): a row for each pattern, largest churn first, and whether all suspects hold 10 % of the churn."""
+    by_pattern = _marked(h).groupBy("glob", "reason").agg(F.sum("churn").alias("churn"), F.count(F.lit(1)).alias("files"))  # one row for each pattern and one for the rest
+    all_of, suspect = F.sum("churn").over(Window.partitionBy()), F.sum(F.when(F.col("glob").isNotNull(), F.col("churn"))).over(Window.partitionBy())
+    rows = by_pattern.withColumns({"whole": all_of, "suspect": suspect}).where("glob IS NOT NULL AND whole > 0")
+    return rows.select("glob", "reason", "churn", "files", (F.col("suspect") / F.col("whole") >= SUSPECT_FLOOR).alias("worth_warning")).orderBy(F.desc("churn"), "glob")
+
+
+def suspects(h: History) -> DataFrame:
+    """suspect_counts() without the count, with sorted paths and ignore globs in arrays: for reports. suspect_files() has them as rows."""
+    lists = suspect_files(h).groupBy("glob").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.sort_array(F.collect_set("suggestion")).alias("suggestions"))
+    return suspect_counts(h).join(lists, "glob").select("glob", "reason", "churn", "paths", "suggestions", "worth_warning").orderBy(F.desc("churn"), "glob")
 
 
 def all_suggestions(h: History) -> DataFrame:
     """Ignore globs of all buckets, each once, in the buckets' order."""
-    rows = suspects(h).select("churn", "glob", F.posexplode("suggestions").alias("at", "s")).select("churn", "glob", "at", strip_repo(F.col("s")).alias("suggestion"))
-    order = Window.partitionBy("suggestion").orderBy(F.desc("churn"), "glob", "at")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").orderBy(F.desc("churn"), "glob", "at").select("suggestion")
+    found = suspect_files(h).groupBy("glob", F.col("suggestion").alias("s")).agg(F.lit(1)).select("glob", "s")
+    rows = found.join(suspect_counts(h).select("glob", "churn"), "glob").select("churn", "glob", "s", strip_repo(F.col("s")).alias("suggestion"))
+    order = Window.partitionBy("suggestion").orderBy(F.desc("churn"), "glob", "s")
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").orderBy(F.desc("churn"), "glob", "s").select("suggestion")
 
 
 def structure(h: History, max_depth: int = 0, max_children: int = 0) -> DataFrame:

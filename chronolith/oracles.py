@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from chronolith.operators.structure import SUSPECTS
 from chronolith.schema import (
     ACTIVE_BUS_FACTOR, COLD_RATIO, DECLINING_FLOOR, DECLINING_TREND, MECHANICAL_FILES, MECHANICAL_LINES, MIN_SAMPLE, OLD_AGE_DAYS, OWNERSHIP, RISK_LABELS, SUSPECT_FLOOR,
 )
 
+from chronolith.testbed import ODD_NAMES
+
 _AUTHOR = {
     "coarse": "o_custkey % 50",
     "fine": "(CASE WHEN o_custkey % 10 < 6 THEN 0 WHEN o_custkey % 10 < 8 THEN 1 ELSE 2 + o_custkey % 48 END)",
@@ -188,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
     first = {"since": "1995-01-01", "until": "1997-12-31"}
     months = ", ".join(f"count(*) FILTER (WHERE month(ts) = {m}) AS m{m:02d}" for m in range(1, 13))
     focus = "SELECT email, round(CAST(sum(files * files) AS DOUBLE) / CAST(sum(files) * sum(files) AS DOUBLE), 6) AS specialization FROM ds GROUP BY email"
-    return {
+    found = {
         "summary": f"{fine} {_SUMMARY}",
         "summary_window": f"{base(**first)} {_SUMMARY}",
         "contributors": f"{fine} {_CONTRIBUTORS}",
@@ -230,3 +233,48 @@ def oracle_sql() -> dict[str, str]:
         "activity_month": _activity("strftime(ts, '%Y-%m')"),
         "activity_year": _activity("strftime(ts, '%Y')"),
     }
+    for name in ("summary", "summary_window", "hotspots_window", "working_patterns", "extensions", "churn_risk", "coupling", "dev_registry", "hotspots_renamed"):
+        found[f"lines_{name}"] = found[name]
+    found["lines_two_inputs"] = _two_inputs()
+    found["odd_coupling"] = f"{_odd()}{_COUPLING}"
+    found["odd_suspects"] = f"""{_odd()}, p AS (SELECT file, sum(a) AS churn FROM f GROUP BY file),
+t AS (SELECT p.file, p.churn, s.pattern, s.reason, CASE WHEN prefix AND strpos(file, '/') > 0 THEN regexp_extract(file, '^(.*?)/?' || replace(pattern, '/*', '') || '/', 1) || '/' || pattern ELSE pattern END AS suggestion
+ FROM p JOIN ({_odd_patterns()}) s ON regexp_full_match(p.file, s.rule))
+ SELECT pattern AS glob, reason, CAST(sum(churn) AS BIGINT) AS churn, count(*) AS files, string_agg(DISTINCT suggestion, ';' ORDER BY suggestion) AS suggestions,
+  (SELECT sum(churn) FROM t) / (SELECT sum(churn) FROM p) >= {SUSPECT_FLOOR} AS worth_warning FROM t GROUP BY pattern, reason"""
+    return found
+
+
+def _two_inputs() -> str:
+    """repo_breakdown of two inputs, each a period of the test bed."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{repo}' AS repo, a, d, email, ts FROM ({base(since=since, until=until)} SELECT * FROM c)"
+        for repo, since, until in (("history0", "1995-01-01", "1997-12-31"), ("history1", "1998-01-01", "2001-12-31"))
+    )
+    files = " UNION ALL ".join(
+        f"SELECT '{repo}' AS repo, file FROM ({base(since=since, until=until)} SELECT * FROM f)" for repo, since, until in (("history0", "1995-01-01", "1997-12-31"), ("history1", "1998-01-01", "2001-12-31"))
+    )
+    return f"""SELECT repo, commits, additions, deletions, churn, coalesce(files, 0) AS files, active_days, unique_devs, first_date, last_date,
+ {_round('commits * 100.0 / sum(commits) OVER ()', 1)} AS commits_pct, {_round('churn * 100.0 / sum(churn) OVER ()', 1)} AS churn_pct FROM
+ (SELECT repo, count(*) AS commits, CAST(sum(a) AS BIGINT) AS additions, CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(a + d) AS BIGINT) AS churn, count(DISTINCT CAST(ts AS DATE)) AS active_days,
+   count(DISTINCT email) AS unique_devs, {_DAY.format('min(ts)')} AS first_date, {_DAY.format('max(ts)')} AS last_date FROM ({rows}) GROUP BY repo)
+ LEFT JOIN (SELECT repo, count(DISTINCT file) AS files FROM ({files}) GROUP BY repo) USING (repo)"""
+
+
+def _odd() -> str:
+    """The test bed's wide commits under odd names."""
+    names = ", ".join(f"'{n}'" for n in ODD_NAMES)
+    return f"""WITH l0 AS (SELECT l_orderkey - l_orderkey % 32 AS k, l_partkey, l_suppkey, CAST(trunc(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_orderkey % 32 <= (l_orderkey // 32) % 24),
+f AS (SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS sha, (l_partkey % 5) || '/' || ([{names}])[l_suppkey % {len(ODD_NAMES)} + 1] AS file, CASE WHEN (k // 32) % 3 = 0 THEN q % 4 ELSE q END AS a, 0 AS d FROM l0)"""
+
+
+def _odd_patterns() -> str:
+    """(pattern, reason, rule, prefix): the patterns as regular expressions, each path by the first that fits (none of the odd names fits two but yarn.lock and the like)."""
+    rules = {"segment": "(.*/)?{}/.*", "suffix": ".*{}", "name": "(.*/)?{}", "inside": "(.*/)?[^/]*{}[^/]*"}
+    rows = []
+    for glob, reason, kind, text in SUSPECTS:
+        rule = rules[kind].format(text.replace(".", "[.]"))
+        if kind == "name" and text.endswith(".lock"):
+            continue  # the pattern *.lock comes first
+        rows.append(f"SELECT '{glob}' AS pattern, '{reason}' AS reason, '{rule}' AS rule, {'true' if kind == 'segment' else 'false'} AS prefix")
+    return " UNION ALL ".join(rows)

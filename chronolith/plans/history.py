@@ -9,9 +9,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.scalars import epoch, extension
+from chronolith.functions.scalars import epoch, extension, minus_months, months
 from chronolith.plans.lineage import canonical_paths
-from chronolith.schema import Options
+from chronolith.schema import TREND_MONTHS, Options
 
 
 @dataclass
@@ -29,6 +29,7 @@ class History:
     options: Options = field(default_factory=Options)
     multi: bool = False
     renames: bool = True  # False: known to hold no rename, which spares the search for them
+    kept: dict[str, DataFrame] = field(default_factory=dict)  # results that several statistics share
 
     @cached_property
     def distinct_commits(self) -> DataFrame:
@@ -59,7 +60,8 @@ class History:
     @cached_property
     def canonical(self) -> DataFrame | None:
         """(path, canonical) of the paths that a rename leads elsewhere; None if there is none."""
-        return canonical_paths(self._authored) if self.renames else None
+        renamed = self.renames and self.files.where("status LIKE 'R%'").limit(1).count()  # reads one column, before any join
+        return canonical_paths(self._authored) if renamed else None
 
     @cached_property
     def touches(self) -> DataFrame:
@@ -78,9 +80,7 @@ class History:
         Whole numbers add up the same in any order, so results do not depend on partitioning.
         """
         if self.options.anchor == "stream":
-            upto = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            line = self.commits.select("repo", "sha", "ord", F.max("ts").over(upto).alias("seen"))  # one total order: for small inputs
-            seen = line.groupBy("repo", "sha").agg(F.max_by("seen", "ord").alias("anchor"))
+            seen = self._seen().groupBy("repo", "sha").agg(F.max_by("seen", "ord").alias("anchor"))
             rows = self.touches.join(seen, ["repo", "sha"], "left")
         else:
             rows = self.touches.crossJoin(F.broadcast(self.latest.select(F.col("latest").alias("anchor"))))  # one row
@@ -89,6 +89,17 @@ class History:
         micro = F.round(F.col("lines") * F.exp(-rate * days) * 1e6).cast("bigint")
         return rows.withColumn("micro", F.when(F.col("ts").isNotNull(), micro))
 
+    def _seen(self) -> DataFrame:
+        """(repo, sha, ord, seen): the newest date so far in the order of the input. Splits of the input are put in order by
+        their newest dates, then each split's lines in a task of its own."""
+        known = dict(self.commits.dtypes)["ord"].startswith("struct")  # else a plain number, from one source
+        split = [F.col("ord.file").alias("file"), F.struct(*(f"ord.{c}" for c in self.commits.schema["ord"].dataType.names if c in ("part", "block"))).alias("block")] if known else [F.lit(0).alias("file"), F.lit(0).alias("block")]
+        lines = self.commits.select("repo", "sha", "ord", "ts", *split)
+        before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = lines.groupBy("file", "block").agg(F.max("ts").alias("newest")).select("file", "block", F.max("newest").over(before).alias("earlier"))  # one row for each split
+        inside = Window.partitionBy("file", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return lines.withColumn("inside", F.max("ts").over(inside)).join(splits, ["file", "block"]).select("repo", "sha", "ord", F.greatest("inside", "earlier").alias("seen"))
+
     @cached_property
     def file_dev(self) -> DataFrame:
         """(file, email, lines, touches): who changed a canonical file; lines may be 0."""
@@ -99,19 +110,35 @@ class History:
         """file_dev without the rows that changed no line."""
         return self.file_dev.where("lines > 0")
 
+    @cached_property
+    def bounds(self) -> DataFrame:
+        """One row: latest and earliest date, and as numbers of months the first month of the trend and the oldest one."""
+        return self.latest.select("latest", "earliest", months(minus_months(F.to_date("latest"), TREND_MONTHS)).alias("cutoff"), months("earliest").alias("oldest"))
+
+    @cached_property
+    def path_facts(self) -> DataFrame:
+        """One row for each canonical file and path that it had: one pass over all touches, for every statistic of files."""
+        rows = self.decayed_touches.drop("anchor").crossJoin(F.broadcast(self.bounds.select("cutoff")))  # one row
+        month, dated = months("ts"), F.col("ts").isNotNull()
+        return rows.groupBy("file", "path").agg(
+            F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("lines").alias("churn"),
+            F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+            F.sum(F.when(dated & (month < F.col("cutoff")), F.col("lines"))).alias("earlier"), F.sum(F.when(dated & (month >= F.col("cutoff")), F.col("lines"))).alias("later"),
+        )
+
     @cached_property
     def file_facts(self) -> DataFrame:
-        """One row for each canonical file."""
-        return self.touches.groupBy("file").agg(
-            F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
-            F.sum("lines").alias("churn"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+        """One row for each canonical file; earlier and later are its lines before and in the months of the trend."""
+        sums = ("commits", "additions", "deletions", "churn")
+        some = ("micro", "earlier", "later")
+        return self.path_facts.groupBy("file").agg(
+            *(F.sum(c).alias(c) for c in sums), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in some), F.min("first").alias("first"), F.max("last").alias("last")
         )
 
     @cached_property
     def file_ext(self) -> DataFrame:
         """(file, ext, churn, micro, first, last): a file's history under each extension it had."""
-        paths = self.decayed_touches.groupBy("file", "path").agg(F.sum("lines").alias("churn"), F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-        return paths.groupBy("file", extension(F.col("path")).alias("ext")).agg(  # the extension is taken once for each path
+        return self.path_facts.groupBy("file", extension(F.col("path")).alias("ext")).agg(  # the extension is taken once for each path
             F.sum("churn").alias("churn"), F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"), F.min("first").alias("first"), F.max("last").alias("last")
         )
 
@@ -126,4 +153,4 @@ class History:
             df.unpersist()
 
     def _kept(self) -> list[DataFrame]:
-        return [self.commits, self.parents, self.touches, self.distinct_commits, self.file_dev, self.file_facts]
+        return [self.commits, self.parents, self.touches, self.distinct_commits, self.file_dev, self.path_facts]

@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.functions.scalars import local_time, utc_time
+from chronolith.plans.checkpoints import new_folder
 from chronolith.plans.history import History
 from chronolith.schema import CORRUPT, RECORD, Options
 
 
 class MalformedInput(ValueError):
-    """A line of the input is no JSON object."""
+    """A line of the input is no JSON object, or a field is of another type."""
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All records of the files, with repo (file name without its last extension) and ord (place in the input)."""
+    """All records of the files, or folders of files, with repo (see repo_names()) and ord (place in the input).
+
+    Each input is read by itself, so inputs may share a base name; the same path given twice is read twice.
+    """
     schema = T.StructType(RECORD.fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(paths)
-    name = F.col("_metadata.file_name")
-    order = F.create_map(*(F.lit(x) for i, p in enumerate(paths) for x in (p.rstrip("/").rsplit("/", 1)[-1], i)))
-    return raw.select("*", F.regexp_replace(name, r"\.[^.]*$", "").alias("repo"), F.struct(order[name].alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
+    records = None
+    for i, (path, repo) in enumerate(zip(paths, repo_names(paths), strict=True)):
+        raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        place = F.struct(F.lit(i).alias("file"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        one = raw.select("*", F.lit(repo).alias("repo"), place.alias("ord"))
+        records = one if records is None else records.unionAll(one)
+    return records
+
+
+def repo_names(paths: list[str]) -> list[str]:
+    """The base name of each input without its last extension."""
+    return [re.sub(r"(?s)\.[^.]*$", "", p.rstrip("/").rsplit("/", 1)[-1]) for p in paths]
+
 
+def check_records(records: DataFrame, parsed: bool = False) -> None:
+    """Raises MalformedInput with an example and its place if any line is no JSON object, or has a field of another type. An action of its own over the input.
 
-def check_records(records: DataFrame) -> None:
-    """Raises MalformedInput with an example if any line could not be read. An action of its own over the input."""
-    bad = records.select(CORRUPT, "type", "repo").where(F.col(CORRUPT).isNotNull() & F.col("type").isNull() & (F.trim(CORRUPT) != "")).take(1)  # a query on CORRUPT alone is refused
+    A scan parses only the fields that are asked for, so unless the records are `parsed` already, all are.
+    """
+    wrong = F.col(CORRUPT).isNotNull() & (F.trim(CORRUPT) != "")
+    if not parsed:
+        wrong = wrong & (F.octet_length(F.to_json(F.struct(*RECORD.names))) >= 0)
+    bad = records.where(wrong).select(CORRUPT, "repo", "ord").orderBy("ord").take(1)
     if bad:
-        raise MalformedInput(f"{bad[0]['repo']}: {bad[0][CORRUPT][:200]}")
+        raise MalformedInput(f"{bad[0]['repo']}, {_place(records, bad[0]['ord'])}: {bad[0][CORRUPT][:200]}")
+
+
+def _place(records: DataFrame, place: Row) -> str:
+    """The number of a line in its split of the input, for a message about it."""
+    o, same = F.col("ord"), F.lit(True)
+    for c in ("file", "part", "block"):
+        if c in place.asDict():
+            same = same & (o[c] == F.lit(place[c]))
+    before = records.select("ord", "type").where(same & (o["line"] <= F.lit(place["line"]))).count()  # blank lines are no records
+    return f"record {before}" + (f" from byte {place['block']}" if place["block"] else "")
 
 
 def _text(name: str) -> Column:
@@ -72,12 +102,20 @@ def history_of(records: DataFrame, options: Options = Options(), multi: bool = F
     return History(commits, files, parents, options, multi)
 
 
-def load(spark: SparkSession, paths: list[str] | str, options: Options = Options(), strict: bool = True) -> History:
-    """A history from one or more JSONL files, in the order given. strict: malformed lines are an error."""
+def load(spark: SparkSession, paths: list[str] | str, options: Options = Options(), strict: bool = True, staged: bool = False) -> History:
+    """A history from one or more JSONL files, in the order given. strict: malformed lines are an error.
+
+    staged: the lines are parsed once, into Parquet in the shared folder, where every later step reads its own kind of
+    record and its own columns; for runs of several statistics.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     records = read_records(spark, paths)
+    if staged:
+        folder = new_folder(spark)
+        records.write.partitionBy("type").parquet(folder)
+        records = spark.read.schema(records.schema).parquet(folder)
     if strict:
-        check_records(records)
+        check_records(records, staged)
     return history_of(records, options, len(paths) > 1)
 
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions.scalars import epoch
+from chronolith.plans.checkpoints import new_folder
 from chronolith.plans.history import History
 from chronolith.schema import Options
+from chronolith.sources import jsonl
 
 AUTHOR = {
     "coarse": "o_custkey % 50",
@@ -62,3 +65,51 @@ def _renames(files: DataFrame, commits: DataFrame) -> DataFrame:
     new = F.concat(F.substring_index("path", "/", 1), F.lit("/y"), (year + 1).cast("string"), F.lit("/"), F.substring_index("path", "/", -1))
     moved = old.crossJoin(F.broadcast(newest))  # one row
     return moved.select(F.lit("(repo)").alias("repo"), "sha", new.alias("path"), F.lit("R100").alias("status"), F.col("path").alias("old_path"), new.alias("new_path"), F.lit(0).cast("bigint").alias("additions"), F.lit(0).cast("bigint").alias("deletions"), "ord")
+
+
+#: Names that stand for every kind of suspect path, and one that is none.
+ODD_NAMES = (
+    "vendor/a/b.c", "x/node_modules/m.js", "dist/o.js", "y/build/o.o", "third_party/t.c", "a.min.js", "b.min.css", "z.lock", "package-lock.json", "q/yarn.lock", "pnpm-lock.yaml", "go.sum", "r/Cargo.lock", "poetry.lock", "m.pb.go", "n_pb2.py", "k.generated.ts",
+    "plain.c",
+)
+
+
+def odd_history(spark: SparkSession, sf_dir: str) -> History:
+    """Few commits of up to about a hundred files (some with few lines a file, some above the size that counts for pairs), under odd names."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    lines = read("lineitem").withColumn("k", F.expr("l_orderkey - l_orderkey % 32")).where("l_orderkey % 32 <= (l_orderkey div 32) % 24")
+    name = F.element_at(F.array(*(F.lit(x) for x in ODD_NAMES)), F.expr(f"cast(l_suppkey % {len(ODD_NAMES)} AS int) + 1"))
+    lines = lines.select("k", F.concat(F.expr("cast(l_partkey % 5 AS string)"), F.lit("/"), name).alias("path"), F.expr("CASE WHEN (k div 32) % 3 = 0 THEN cast(l_quantity AS bigint) % 4 ELSE cast(l_quantity AS bigint) END").alias("a"))
+    sha = F.lpad(F.col("k").cast("string"), 8, "0")
+    ts = F.expr("timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(0, cast(k % 1000 AS int), 0, 0)")
+    commits = lines.groupBy("k").agg(F.sum("a").alias("a"), F.count(F.lit(1)).alias("n")).select(
+        F.lit("(repo)").alias("repo"), sha.alias("sha"), F.lit("Dev").alias("name"), F.expr("concat('dev', (k div 32) % 7, '@example.com')").alias("email"), ts.alias("ts"), ts.alias("ts_local"),
+        F.col("a").alias("additions"), F.lit(0).cast("bigint").alias("deletions"), F.col("n").alias("files_changed"), F.lit("").alias("message"), F.col("k").alias("ord"),
+    )
+    files = lines.select(F.lit("(repo)").alias("repo"), sha.alias("sha"), "path", F.lit("M").alias("status"), F.lit("").alias("old_path"), F.col("path").alias("new_path"), F.col("a").alias("additions"), F.lit(0).cast("bigint").alias("deletions"), F.col("k").alias("ord"))
+    return History(commits, files, commits.select("repo", "sha"), Options(), False, False)
+
+
+def read_lines(spark: SparkSession, *histories: History, options: Options = Options()) -> History:
+    """The histories written as JSON lines, each a folder of one base name, and read by the loader."""
+    folders = [f"{new_folder(spark)}/history{i}.jsonl" for i in range(len(histories))]
+    for h, folder in zip(histories, folders, strict=True):
+        write_lines(spark, h, folder)
+    return jsonl.load(spark, folders, options)
+
+
+def write_lines(spark: SparkSession, h: History, folder: str) -> None:
+    """A history as JSON lines, one folder of files: what jsonl.load() reads. Dates are written in the author's zone."""
+    zone = F.round((epoch(F.col("ts_local")) - epoch(F.col("ts"))) / 3600).cast("int")
+    date = F.concat(F.date_format("ts_local", "yyyy-MM-dd'T'HH:mm:ss"), F.when(zone < 0, "-").otherwise("+"), F.lpad(F.abs(zone).cast("string"), 2, "0"), F.lit(":00"))
+    commits = h.commits.select(
+        F.lit("commit").alias("type"), "sha", F.col("name").alias("author_name"), F.col("email").alias("author_email"), date.alias("author_date"), "additions", "deletions", "files_changed", "message"
+    )
+    current = F.when(F.col("status") != "D", F.col("new_path"))
+    files = h.files.select(F.lit("commit_file").alias("type"), F.col("sha").alias("commit"), current.alias("path_current"), F.coalesce(F.nullif(F.col("old_path"), F.lit("")), F.col("new_path")).alias("path_previous"), "status", "additions", "deletions")
+    parents = h.parents.select(F.lit("commit_parent").alias("type"), "sha", F.lit("p").alias("parent_sha"))
+    lines = None
+    for records in (commits, files, parents):
+        text = records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+        lines = text if lines is None else lines.unionAll(text)
+    lines.write.text(folder)
