@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.operators import compose, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.plans.history import History
+from chronolith.plans.together import together
 from chronolith.schema import Limits, Options
 from chronolith.sinks import html, render
 from chronolith.sources import discovery, extract, jsonl
@@ -78,7 +79,8 @@ def computed(h: History, stat: str, args: argparse.Namespace) -> DataFrame:
 def show(h: History, args: argparse.Namespace) -> None:
     wanted = [args.stat] if args.stat else [s for s in STATS if s not in ON_REQUEST]
     if args.format == "json":
-        print(json.dumps({s.replace("-", "_").replace("profile", "profiles"): json.loads(render.statistic(s, computed(h, s, args), "json")) if s != "pareto" else render.to_json(s, ownership.pareto(h).collect()) for s in wanted}, indent=2, ensure_ascii=False))
+        made = together(h.commits.sparkSession, {s: lambda s=s: json.loads(render.statistic(s, computed(h, s, args), "json")) if s != "pareto" else render.to_json(s, ownership.pareto(h).collect()) for s in wanted})
+        print(json.dumps({s.replace("-", "_").replace("profile", "profiles"): x for s, x in made.items()}, indent=2, ensure_ascii=False))
         return
     for stat in wanted:
         if not (stat == "structure" and args.format == "csv"):
@@ -87,18 +89,18 @@ def show(h: History, args: argparse.Namespace) -> None:
 
 
 def warn_of_suspects(h: History) -> None:
-    buckets = structure.suspects(h).collect()  # one row for each pattern
+    buckets = structure.suspect_counts(h).collect()  # one row for each pattern
     if buckets and buckets[0]["worth_warning"]:
         print("Paths that look vendored or generated hold much of the churn:", file=sys.stderr)
         for b in buckets[:SHOWN_SUSPECTS]:
-            print(f"  {b['glob']:<22} {len(b['paths']):>4} files, {b['churn']:>8} churn   ({b['reason']})", file=sys.stderr)
+            print(f"  {b['glob']:<22} {b['files']:>4} files, {b['churn']:>8} churn   ({b['reason']})", file=sys.stderr)
         flags = " ".join(f"--ignore {render.shell_quoted(r['suggestion'])}" for r in structure.all_suggestions(h).collect())
         print(f"  extract again with: {flags}", file=sys.stderr)
 
 
 def run_stats(args: argparse.Namespace) -> int:
     start, end = window(args)
-    h = jsonl.load(session(), args.input, Options(start, end, args.churn_half_life, args.coupling_max_files)).cache()
+    h = jsonl.load(session(), args.input, Options(start, end, args.churn_half_life, args.coupling_max_files), staged=True).cache()
     if args.format == "table":
         warn_of_suspects(h)
     show(h, args)
@@ -138,7 +140,7 @@ def run_ci(args: argparse.Namespace) -> int:
 
 
 def run_report(args: argparse.Namespace) -> int:
-    h = jsonl.load(session(), args.input, Options(*window(args), args.churn_half_life, args.coupling_max_files)).cache()
+    h = jsonl.load(session(), args.input, Options(*window(args), args.churn_half_life, args.coupling_max_files), staged=True).cache()
     text = html.profile_report(h, args.email, args.email) if args.email else html.team_report(h, args.title, args.top, Limits(args.coupling_min_changes, args.network_min_files))
     with open(args.output, "w", encoding="utf-8") as file:
         file.write(text)
@@ -155,24 +157,33 @@ def run_extract(args: argparse.Namespace) -> int:
 
 def run_scan(args: argparse.Namespace) -> int:
     matcher = discovery.Matcher.load(args.ignore_file) if args.ignore_file else discovery.Matcher()
-    manifest = discovery.scan(args.root, args.output, matcher, args.max_depth, args.parallel, ignore=args.ignore)
+    options = Options(*window(args), args.churn_half_life, args.coupling_max_files)
+    limits = Limits(args.coupling_min_changes, args.network_min_files)
+    manifest = discovery.scan(
+        args.root, args.output, matcher, args.max_depth, args.parallel, timeout=args.timeout,
+        ignore=args.ignore, batch=args.batch_size, mailmap=args.mailmap, first_parent=args.first_parent, messages=args.messages,
+    )
     good = [e for e in manifest.repositories if e.status == "ok"]
-    spark = session() if good and (args.report_dir or args.email) else None
-    if args.email and spark:
-        h = jsonl.load(spark, [e.output for e in good])
-        with open(os.path.join(args.output, "profile.html"), "w", encoding="utf-8") as file:
-            file.write(html.profile_report(h, args.email, args.email))
+    spark = session() if good and (args.report_dir or args.report or args.email) else None
+    if (args.email or args.report) and spark:
+        h = jsonl.load(spark, [e.output for e in good], options, staged=True).cache()
+        pages = [(args.report, lambda: html.team_report(h, "All repositories", args.top, limits))] if args.report else []
+        pages += [(os.path.join(args.output, "profile.html"), lambda: html.profile_report(h, args.email, args.email))] if args.email else []
+        for path, page in pages:
+            with open(path, "w", encoding="utf-8") as file:
+                file.write(page())
+        h.uncache()
     if args.report_dir:
         os.makedirs(args.report_dir, exist_ok=True)
         entries = []
         for e in manifest.repositories:
             entry = {"slug": e.slug, "status": e.status, "error": e.error}
             if e.status == "ok":
-                h = jsonl.load(spark, e.output).cache()
+                h = jsonl.load(spark, e.output, options, staged=True).cache()
                 total = ranking.summary(h).first()
                 entry |= {"commits": total["total_commits"], "devs": total["total_devs"], "files": total["total_files"], "churn": total["total_additions"] + total["total_deletions"], "last_commit": total["last_commit"]}
                 with open(os.path.join(args.report_dir, f"{e.slug}.html"), "w", encoding="utf-8") as file:
-                    file.write(html.team_report(h, e.slug, args.top))
+                    file.write(html.team_report(h, e.slug, args.top, limits))
                 h.uncache()
             entries.append(entry)
         with open(os.path.join(args.report_dir, "index.html"), "w", encoding="utf-8") as file:
@@ -241,7 +252,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ignore", action="append", default=[])
     p.add_argument("--max-depth", type=int, default=0)
     p.add_argument("--parallel", type=int, default=0)
-    p.add_argument("--email", default="")
+    p.add_argument("--timeout", type=float, default=0.0)
+    p.add_argument("--report", default="")
+    p.add_argument("--batch-size", type=int, default=1000)
+    p.add_argument("--mailmap", action="store_true")
+    p.add_argument("--first-parent", action="store_true")
+    p.add_argument("--include-commit-messages", dest="messages", action="store_true")
+    windows(p)
     return top
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import os
 import re
+import threading
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable
@@ -14,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from chronolith.functions.scalars import glob_regex
 from chronolith.sources.extract import extract
+from chronolith.sources.vcs import default_branch
 
 RESERVED = {"index"}
 
@@ -141,17 +144,20 @@ def assign_slugs(repos: list[Repository]) -> None:
 class Entry:
     slug: str
     path: str
-    status: str = "pending"  # ok, failed, skipped
+    status: str = "pending"  # ok, failed, skipped (not begun when the scan was stopped)
     output: str = ""
     error: str = ""
     commits: int = 0
     seconds: float = 0.0
+    branch: str = ""
+    state_file: str = ""
 
 
 @dataclass
 class Manifest:
     roots: list[str]
     repositories: list[Entry] = field(default_factory=list)
+    generated_at: str = ""
 
     def write(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as file:
@@ -162,23 +168,42 @@ def workers() -> int:
     return min(16, max(2, os.cpu_count() or 2))
 
 
-def scan(roots: list[str], output: str, matcher: Matcher | None = None, max_depth: int = 0, parallel: int = 0, run: Callable[..., int] = extract, **options: object) -> Manifest:
-    """Extracts every repository below the roots into `output`; one that fails does not stop the others."""
+def scan(roots: list[str], output: str, matcher: Matcher | None = None, max_depth: int = 0, parallel: int = 0, run: Callable[..., int] = extract, stop: threading.Event | None = None, timeout: float = 0.0, **options: object) -> Manifest:
+    """Extracts every repository below the roots into `output`; one that fails does not stop the others.
+
+    When `stop` is set, or `timeout` seconds have gone by, running extractions end at their next commit and are failed,
+    their state kept for a later run; repositories that have not begun are skipped.
+    """
     os.makedirs(output, exist_ok=True)
-    manifest = Manifest(list(roots), [Entry(r.slug, r.path, output=os.path.join(output, f"{r.slug}.jsonl")) for r in discover(roots, matcher, max_depth)])
+    found = discover(roots, matcher, max_depth)
+    manifest = Manifest(list(roots), [Entry(r.slug, r.path, output=os.path.join(output, f"{r.slug}.jsonl"), state_file=os.path.join(output, f"{r.slug}.state")) for r in found])
+    stop, limit = stop or threading.Event(), time.monotonic() + timeout if timeout > 0 else None
+    stopped = lambda: stop.is_set() or (limit is not None and time.monotonic() > limit)
 
     def one(entry: Entry) -> None:
+        if stopped():
+            entry.status = "skipped"
+            return
         began = time.monotonic()
         try:
-            entry.commits = run(entry.path, entry.output, **options)
+            own = options if run is not extract else {**options, "stopped": stopped, "ref": (branch := default_branch(entry.path))}
+            entry.branch = branch if run is extract else ""
+            entry.commits = run(entry.path, entry.output, entry.state_file, **own)
             entry.status = "ok"
         except Exception as error:  # noqa: BLE001  whatever one repository raises is its own failure
             entry.status, entry.error = "failed", str(error)
         entry.seconds = round(time.monotonic() - began, 3)
 
-    with ThreadPoolExecutor(parallel or workers()) as pool:
-        list(pool.map(one, manifest.repositories))
-    manifest.write(os.path.join(output, "manifest.json"))
+    try:
+        with ThreadPoolExecutor(parallel or workers()) as pool:
+            try:
+                list(pool.map(one, manifest.repositories))
+            except KeyboardInterrupt:
+                stop.set()
+                raise
+    finally:
+        manifest.generated_at = dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
+        manifest.write(os.path.join(output, "manifest.json"))
     if manifest.repositories and all(e.status == "failed" for e in manifest.repositories):
         raise RuntimeError("every repository failed: " + "; ".join(e.error for e in manifest.repositories[:3]))
     return manifest

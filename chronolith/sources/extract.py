@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from chronolith.functions.scalars import glob_regex
@@ -85,10 +86,15 @@ def known_devs(path: str) -> set[str]:
     return found
 
 
-def extract(repo: str, output: str, state_file: str | None = None, *, ref: str = "HEAD", ignore: list[str] | None = None, first_parent: bool = False, messages: bool = False, mailmap: bool = False, sizes: bool = False, batch: int = 1000, offset: int = -1, sha: str = "") -> int:
+class Stopped(RuntimeError):
+    """The extraction was asked to end."""
+
+
+def extract(repo: str, output: str, state_file: str | None = None, *, ref: str = "HEAD", ignore: list[str] | None = None, first_parent: bool = False, messages: bool = False, mailmap: bool = False, sizes: bool = False, batch: int = 1000, offset: int = -1, sha: str = "", stopped: Callable[[], bool] | None = None) -> int:
     """Writes the records of a repository, newest commit first; returns the number of commits written.
 
-    Resuming appends what lies behind the last commit of the state. The state is written every `batch` commits.
+    Resuming appends what lies behind the last commit of the state. The state is written every `batch` commits. Once
+    stopped() is true, the state is written and Stopped raised.
     """
     state_file = state_file or f"{output}.state"
     state = load_state(state_file, offset, sha)
@@ -106,6 +112,11 @@ def extract(repo: str, output: str, state_file: str | None = None, *, ref: str =
         for at, commit in enumerate(commits(log_command(repo, start, first_parent, messages, mailmap))):
             if at < skip:
                 continue
+            if stopped and stopped():
+                if done:
+                    out.flush()
+                    save_state(state_file, State(last, state.commit_offset + done))
+                raise Stopped(f"stopped after {done} commits")
             for row in records(commit, keep, blobs.size if blobs else None):
                 out.write(json.dumps(row, ensure_ascii=False) + "\n")
             for who in ("author", "committer"):

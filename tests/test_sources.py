@@ -4,12 +4,14 @@ import json
 import os
 import shutil
 import subprocess
+import threading
 
 import pytest
 from history_records import change, commit
 
 from chronolith.operators import ranking
 from chronolith.sources import discovery, extract, jsonl, vcs
+from chronolith.sources.jsonl import MalformedInput, load
 
 needs_git = pytest.mark.skipif(not shutil.which("git"), reason="no git here")
 
@@ -145,3 +147,50 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.commits, r.additions) for r in spark.table("buckets").collect()] == [(2, 4)]
+
+
+def test_inputs_that_share_a_name_and_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.jsonl").write_text(json.dumps({"type": "commit", "sha": folder, "author_email": f"{folder}@x", "author_date": "2024-01-01T00:00:00Z"}) + "\n")
+    h = load(spark, [str(tmp_path / "a" / "same.jsonl"), str(tmp_path / "b" / "same.jsonl")])
+    assert [(r.repo, r.sha) for r in h.commits.orderBy("ord").collect()] == [("same", "a"), ("same", "b")]
+    assert load(spark, str(tmp_path / "a"), staged=True).commits.count() == 1
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_fields_of_another_type_are_an_error_with_their_place(spark, tmp_path, staged):
+    path = tmp_path / "h.jsonl"
+    path.write_text('{"type":"commit","sha":"a"}\n{"type":"commit","sha":"b","additions":"abc"}\n')
+    with pytest.raises(MalformedInput, match="record 2.*abc"):
+        load(spark, str(path), staged=staged)
+
+
+def test_a_scan_that_is_stopped_skips_what_has_not_begun(tmp_path):
+    stop, begun = threading.Event(), []
+    for name in ("one", "two", "three"):
+        (tmp_path / "src" / name / ".git").mkdir(parents=True)
+        for part in ("HEAD", "objects", "refs"):
+            (tmp_path / "src" / name / ".git" / part).mkdir() if part != "HEAD" else (tmp_path / "src" / name / ".git" / part).write_text("ref: refs/heads/main")
+
+    def run(path, output, state, **_):
+        begun.append(path)
+        stop.set()
+        return 1
+
+    manifest = discovery.scan([str(tmp_path / "src")], str(tmp_path / "out"), parallel=1, run=run, stop=stop)
+    assert [e.status for e in manifest.repositories] == ["ok", "skipped", "skipped"] and len(begun) == 1
+    written = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert written["generated_at"] and written["repositories"][0]["state_file"].endswith(".state")
+
+
+def test_an_extraction_that_is_stopped_keeps_its_state(tmp_path, monkeypatch):
+    from chronolith.sources import extract as module
+
+    fake = [type("C", (), {"meta": {"sha": f"{i:040x}", "author_email": "", "committer_email": ""}})() for i in range(5)]
+    monkeypatch.setattr(module, "commits", lambda _: iter(fake))
+    monkeypatch.setattr(module, "records", lambda *_: [])
+    asked = iter([False, False, True])
+    with pytest.raises(module.Stopped):
+        module.extract(str(tmp_path), str(tmp_path / "o.jsonl"), stopped=lambda: next(asked))
+    assert module.load_state(str(tmp_path / "o.jsonl.state")).commit_offset == 2
