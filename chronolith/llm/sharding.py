@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import spread, table
+from chronolith.llm.common import saved, spread, table
 
 #: Fixed values of the published algorithm.
 MULTIPLIER = Decimal(2862933555777941757)
@@ -71,6 +71,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         .withColumn("shard", jump_hash(F.col("doc_id"), shards))
         .withColumn("range", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slot_ranges)).cast("int"))
     )
+    distinct = saved(distinct)  # the input is read once; what follows reads four short columns
     held = distinct.groupBy("shard", "range").agg(F.sum("n").alias("held"))  # shards x ranges rows at most
     before = held.select("shard", "range", (F.sum("held").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("before"))
     order = Window.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
