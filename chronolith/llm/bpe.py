@@ -158,8 +158,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def encode(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         replay = MergeReplay(*shared.value)
         for batch in series:
-            ids = [x for run in _pieces(batch.tolist()) for x in replay.encode_batch(run)]
-            yield pd.DataFrame({"ids": ids, "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "decoded": [replay.decode(x) for x in ids]})
+            for run in _pieces(batch.tolist()):
+                ids = replay.encode_batch(run)
+                yield pd.DataFrame({"ids": ids, "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "decoded": [replay.decode(x) for x in ids]})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("e"))
     return rows.select("doc_id", "e.*")
