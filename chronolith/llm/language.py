@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import in_training, table
+from chronolith.llm.common import in_training, saved, small, table
 
 #: The learner sees about so many rows of each language at most, chosen by a hash of their id.
 ROWS_PER_LANGUAGE = 700
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         found = [counts(t) for t in series]
         return pd.DataFrame({"columns": [c.astype(np.int32) for c, _, _ in found], "counts": [np.minimum(n, (1 << 31) - 1).astype(np.int32) for _, n, _ in found]})
 
-    chosen = labelled.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < F.col("share"))
+    chosen = labelled.join(small(saved(share)), "lang").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < F.col("share"))
     sample = chosen.select("id", "lang", F.xxhash64("text").alias("th"), counted("text").alias("c")).collect()
     if not sample:
         return Model([])
