@@ -179,34 +179,36 @@ def _earlier_starts(held: DataFrame, size: int) -> DataFrame:
             for batch in batches:
                 yield from zip(batch["g"].tolist(), batch["rid"].tolist(), batch["id"].tolist(), batch["l"].tolist(), batch["content"], strict=True)
 
-        def answer(shard: list[tuple], built: tuple, places: list[tuple[int, int]]) -> pd.DataFrame:
+        def answer(shard: list[tuple], built: tuple, places: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
             owner, inner, klass, _, _ = built
             place = np.array(places, np.int64).reshape(-1, 2)[klass]
             own_id = np.array([r[2] for r in shard], np.int64)[owner]
             own_start = np.array([r[3] for r in shard], np.int64)[owner] + inner
             earlier = (place[:, 0] < own_id) | ((place[:, 0] == own_id) & (place[:, 1] < own_start))
             owner, inner = owner[earlier], inner[earlier]
+            if not len(owner):  # every window of the shard is the first
+                return
             in_text = np.lexsort((inner, owner))
             owner, inner = owner[in_text], inner[in_text]
             head = np.ones(len(owner), bool)
             head[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
-            a, last = np.nonzero(head)[0], np.append(np.nonzero(head)[0][1:] - 1, len(owner) - 1)[: head.sum()]
+            a, last = np.nonzero(head)[0], np.append(np.nonzero(head)[0][1:] - 1, len(owner) - 1)
             packed, of = (inner[a] << 32) + inner[last], owner[a]
             cuts = np.nonzero(of[1:] != of[:-1])[0] + 1
-            which = of[np.concatenate([[0], cuts])] if len(of) else of
-            return pd.DataFrame({"g": [shard[w][0] for w in which], "rid": [shard[w][1] for w in which], "s": np.split(packed, cuts) if len(of) else []})
+            which = of[np.concatenate([[0], cuts])]
+            yield pd.DataFrame({"g": [shard[w][0] for w in which], "rid": [shard[w][1] for w in which], "s": np.split(packed, cuts)})
 
         def solve(shards: list[list[tuple]]) -> Iterator[pd.DataFrame]:
             """Shards of whole anchors stand alone; those that one anchor spans are merged."""
             built = [shard_classes([r[4] for r in s], np.array([r[2] for r in s], np.int64), np.array([r[3] for r in s], np.int64), size) for s in shards]
             if len(shards) == 1:
-                yield answer(shards[0], built[0], built[0][4])
+                yield from answer(shards[0], built[0], built[0][4])
                 return
             merged = Merge()
             for b in built:
                 merged.add(b[3], b[4])
             for s, b in zip(shards, built, strict=True):
-                yield answer(s, b, merged.find(b[3]))
+                yield from answer(s, b, merged.find(b[3]))
 
         shard: list[tuple] = []
         group: list[tuple] = []
