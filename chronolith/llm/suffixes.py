@@ -7,8 +7,10 @@ built by Larsson-Sadakane refinement (prefix doubling that sorts only groups not
 gives the common prefixes, and neighbours with a common prefix of the window's size form a class with one first
 place. Shards of one anchor are merged by binary search of their classes' strings in the sorted list so far.
 
-An anchor with more contents than MERGED goes another exact way: its windows are counted as byte strings in
-Spark, so no task ever holds an unbounded group.
+An anchor with more contents than MERGED is more than one task should hold. Its contents are dealt over parts of
+about MERGED each, by their hashes. Every part builds its shards and hands on its classes, sorted, with their first
+places; the lists of all parts are dealt by string and merged by binary search, a bucket of strings in each task;
+first places that lie in another part go back to the parts that hold the string.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import saved, table
-from chronolith.llm.repeats import KEYS, by_windows, contents, covered, distinct, flagged, keyed, mark, mix, survivors
+from chronolith.llm.common import discard, saved, small, table
+from chronolith.llm.repeats import KEYS, contents, covered, distinct, flagged, keyed, mark, mix, survivors
 
 WINDOW = 100
 GRAM = 32
@@ -171,65 +173,79 @@ class Merge:
         return self.places[np.searchsorted(self.strings, new)].tolist()
 
 
+Row = tuple[int, int, int, int, bytes]  # g, rid, id, l, content
+ROW = ["g", "rid", "id", "l", "content"]
+STARTS = "g bigint, rid bigint, s array<bigint>"
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[Row]:
+    return zip(*(batch[c].tolist() for c in ROW), strict=True)
+
+
+def _shards(rows: Iterable[Row]) -> list[list[Row]]:
+    out, held = [[]], 0
+    for r in rows:
+        if held > SHARD_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += len(r[4])
+    return out
+
+
+def _classes(shard: list[Row], size: int) -> tuple:
+    return shard_classes([r[4] for r in shard], np.array([r[2] for r in shard], np.int64), np.array([r[3] for r in shard], np.int64), size)
+
+
+def _merged(built: Iterable[tuple]) -> Merge:
+    merged = Merge()
+    for b in built:
+        merged.add(b[3], b[4])
+    return merged
+
+
+def _earlier(shard: list[Row], built: tuple, places: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    """STARTS of a shard's windows whose class has an earlier first place."""
+    owner, inner, klass, _, _ = built
+    place = np.array(places, np.int64).reshape(-1, 2)[klass]
+    own_id = np.array([r[2] for r in shard], np.int64)[owner]
+    own_start = np.array([r[3] for r in shard], np.int64)[owner] + inner
+    earlier = (place[:, 0] < own_id) | ((place[:, 0] == own_id) & (place[:, 1] < own_start))
+    owner, inner = owner[earlier], inner[earlier]
+    if not len(owner):  # every window of the shard is the first
+        return
+    in_text = np.lexsort((inner, owner))
+    owner, inner = owner[in_text], inner[in_text]
+    head = np.ones(len(owner), bool)
+    head[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
+    a, last = np.nonzero(head)[0], np.append(np.nonzero(head)[0][1:] - 1, len(owner) - 1)
+    packed, of = (inner[a] << 32) + inner[last], owner[a]
+    cuts = np.nonzero(of[1:] != of[:-1])[0] + 1
+    which = of[np.concatenate([[0], cuts])]
+    yield pd.DataFrame({"g": [shard[w][0] for w in which], "rid": [shard[w][1] for w in which], "s": np.split(packed, cuts)})
+
+
 def _earlier_starts(held: DataFrame, size: int) -> DataFrame:
-    """(g, rid, s): by_windows() of contents dealt by anchor, through suffix arrays."""
+    """(g, rid, s): of contents dealt by anchor, at their own first places, the windows that start earlier elsewhere."""
+
+    def solve(shards: list[list[Row]]) -> Iterator[pd.DataFrame]:
+        """Shards of whole anchors stand alone; those that one anchor spans are merged."""
+        built = [_classes(s, size) for s in shards]
+        merged = _merged(built) if len(built) > 1 else None
+        for s, b in zip(shards, built, strict=True):
+            yield from _earlier(s, b, merged.find(b[3]) if merged else b[4])
 
     def resolve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(batch["g"].tolist(), batch["rid"].tolist(), batch["id"].tolist(), batch["l"].tolist(), batch["content"], strict=True)
-
-        def answer(shard: list[tuple], built: tuple, places: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
-            owner, inner, klass, _, _ = built
-            place = np.array(places, np.int64).reshape(-1, 2)[klass]
-            own_id = np.array([r[2] for r in shard], np.int64)[owner]
-            own_start = np.array([r[3] for r in shard], np.int64)[owner] + inner
-            earlier = (place[:, 0] < own_id) | ((place[:, 0] == own_id) & (place[:, 1] < own_start))
-            owner, inner = owner[earlier], inner[earlier]
-            if not len(owner):  # every window of the shard is the first
-                return
-            in_text = np.lexsort((inner, owner))
-            owner, inner = owner[in_text], inner[in_text]
-            head = np.ones(len(owner), bool)
-            head[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
-            a, last = np.nonzero(head)[0], np.append(np.nonzero(head)[0][1:] - 1, len(owner) - 1)
-            packed, of = (inner[a] << 32) + inner[last], owner[a]
-            cuts = np.nonzero(of[1:] != of[:-1])[0] + 1
-            which = of[np.concatenate([[0], cuts])]
-            yield pd.DataFrame({"g": [shard[w][0] for w in which], "rid": [shard[w][1] for w in which], "s": np.split(packed, cuts)})
-
-        def solve(shards: list[list[tuple]]) -> Iterator[pd.DataFrame]:
-            """Shards of whole anchors stand alone; those that one anchor spans are merged."""
-            built = [shard_classes([r[4] for r in s], np.array([r[2] for r in s], np.int64), np.array([r[3] for r in s], np.int64), size) for s in shards]
-            if len(shards) == 1:
-                yield from answer(shards[0], built[0], built[0][4])
-                return
-            merged = Merge()
-            for b in built:
-                merged.add(b[3], b[4])
-            for s, b in zip(shards, built, strict=True):
-                yield from answer(s, b, merged.find(b[3]))
-
-        shard: list[tuple] = []
-        group: list[tuple] = []
+        shard: list[Row] = []
+        group: list[Row] = []
         held = 0
 
-        def packed(group: list[tuple]) -> list[list[tuple]]:
-            out, size_now = [[]], 0
-            for r in group:
-                if size_now > SHARD_BYTES:
-                    out.append([])
-                    size_now = 0
-                out[-1].append(r)
-                size_now += len(r[4])
-            return out
-
         def close() -> Iterator[pd.DataFrame]:
             """The group of one anchor ends: it joins the open shard, or is solved alone if it is larger than one."""
             nonlocal shard, held
             amount = sum(len(r[4]) for r in group)
             if amount > SHARD_BYTES:
-                yield from solve(packed(group))
+                yield from solve(_shards(group))
                 return
             if held + amount > SHARD_BYTES and shard:
                 yield from solve([shard])
@@ -237,7 +253,7 @@ def _earlier_starts(held: DataFrame, size: int) -> DataFrame:
             shard = shard + group if not shard else (shard.extend(group) or shard)
             held += amount
 
-        for row in rows():
+        for row in (r for batch in batches for r in _rows(batch)):
             if group and group[0][0] != row[0]:
                 yield from close()
                 group = []
@@ -247,8 +263,48 @@ def _earlier_starts(held: DataFrame, size: int) -> DataFrame:
         if shard:
             yield from solve([shard])
 
-    dealt = held.select("g", "rid", "id", "l", "content").repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
-    return dealt.mapInPandas(resolve, "g bigint, rid bigint, s array<bigint>")
+    dealt = held.select(*ROW).repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+    return dealt.mapInPandas(resolve, STARTS)
+
+
+def _earlier_starts_in_parts(held: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
+    """_earlier_starts() of anchors (g, parts) with more contents than one task should hold; saved."""
+    CLASSES = "g bigint, part bigint, parts bigint, string binary, id bigint, start bigint"
+    COLUMNS = ["g", "part", "parts", "string", "id", "start"]
+    dealt = saved(held.select(*ROW).join(small(anchors, 16), "g").withColumn("part", F.pmod("rid", "parts")))
+
+    def classes(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        merged = _merged(_classes(s, size) for s in _shards(_rows(part)))
+        ids, starts = zip(*merged.places, strict=True)
+        return pd.DataFrame(dict(zip(COLUMNS, (key[0], key[1], part["parts"].iloc[0], merged.strings, ids, starts), strict=True)))
+
+    def elsewhere(bucket: pd.DataFrame) -> pd.DataFrame:
+        """Strings of a part whose first place lies in another part, with that place."""
+        lists = [one.sort_values("string") for _, one in bucket.groupby("part")]
+        merged = Merge()
+        for one in lists:
+            merged.add(one["string"].tolist(), list(zip(one["id"].tolist(), one["start"].tolist(), strict=True)))
+        out = []
+        for one in lists:
+            found = pd.DataFrame(merged.find(one["string"].tolist()), columns=["id", "start"], index=one.index)
+            differs = (found["id"] != one["id"]) | (found["start"] != one["start"])
+            out.append(one.assign(id=found["id"], start=found["start"])[differs])
+        return pd.concat(out)[COLUMNS]
+
+    def settle(part: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        shards = _shards(_rows(part))
+        built = [_classes(s, size) for s in shards]
+        merged = _merged(built)
+        others = others.sort_values("string")
+        merged.add(others["string"].tolist(), list(zip(others["id"].tolist(), others["start"].tolist(), strict=True)))
+        found = [x for s, b in zip(shards, built, strict=True) for x in _earlier(s, b, merged.find(b[3]))]
+        return pd.concat(found) if found else pd.DataFrame({"g": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "s": pd.Series(dtype=object)})
+
+    lists = dealt.groupBy("g", "part").applyInPandas(classes, CLASSES)
+    moved = lists.groupBy("g", F.pmod(F.xxhash64("string"), "parts").alias("bucket")).applyInPandas(elsewhere, CLASSES)
+    starts = saved(dealt.groupBy("g", "part").cogroup(moved.groupBy("g", "part")).applyInPandas(settle, STARTS))
+    discard(dealt)
+    return starts
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -266,9 +322,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier = lambda first_id, first, i, start: (first_id < i) | ((first_id == i) & (first < start))
     starts = _earlier_starts(contents(texts, names, found.where((F.col("m") > 1) & (F.col("m") <= MERGED)), byte_hashes, of, "binary"), size)
     large = found.where(F.col("m") > MERGED)
-    if large.take(1):
-        windows = F.transform(F.sequence(F.lit(1), F.octet_length("content") - size + 1), lambda i: F.substring(F.col("content"), i, F.lit(size)))
-        starts = starts.unionByName(by_windows(saved(contents(texts, names, large, byte_hashes, of, "binary")), windows, earlier))
+    anchors = saved(large.select("g", F.ceil(F.col("m") / MERGED).alias("parts")).distinct())
+    if anchors.take(1):
+        starts = starts.unionByName(_earlier_starts_in_parts(contents(texts, names, large, byte_hashes, of, "binary"), anchors, size))
+    discard(anchors)
     spans = flagged(rows, names, found, saved(starts), earlier)
 
     @F.pandas_udf("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")

@@ -62,9 +62,9 @@ def test_substrings(documents):
     assert found == brute_words(docs) and sum(r[1] for r in found.values()) > 500
 
 
-@pytest.mark.parametrize("merged", [4000, 1])
+@pytest.mark.parametrize("merged", [4000, 3, 1])
 def test_suffixes(documents, monkeypatch, merged):
-    monkeypatch.setattr(suffixes, "MERGED", merged)  # 1: every shared anchor goes by counted windows
+    monkeypatch.setattr(suffixes, "MERGED", merged)  # 3, 1: shared anchors are dealt over parts
     docs = list(enumerate(texts(2)))
     found = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.repeated_bytes(documents(docs)).collect()}
     assert found == brute_bytes(docs)
