@@ -9,6 +9,7 @@ import os
 import re
 import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,19 @@ class UsageError(ValueError):
     """Flags that do not go together."""
 
 
+def file_link(path: str) -> str:
+    """A local path as a link that terminals open."""
+    return Path(path).absolute().as_uri()
+
+
+def scan_label(roots: list[str]) -> str:
+    """What a page over several scanned folders is about: their names, or how many there are beyond three."""
+    names = [Path(r).absolute().name for r in roots]
+    if len(names) > 3:
+        return f"{len(names)} roots"
+    return " + ".join(names) or "scan"
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("chronolith").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -144,6 +158,7 @@ def run_report(args: argparse.Namespace) -> int:
     text = html.profile_report(h, args.email, args.email) if args.email else html.team_report(h, args.title, args.top, Limits(args.coupling_min_changes, args.network_min_files))
     with open(args.output, "w", encoding="utf-8") as file:
         file.write(text)
+    print(f"{f'Profile of {args.email}' if args.email else 'Report'} written to {file_link(args.output)}", file=sys.stderr)
     return 0
 
 
@@ -168,10 +183,11 @@ def run_scan(args: argparse.Namespace) -> int:
     if (args.email or args.report) and spark:
         h = jsonl.load(spark, [e.output for e in good], options, staged=True).cache()
         pages = [(args.report, lambda: html.team_report(h, "All repositories", args.top, limits))] if args.report else []
-        pages += [(os.path.join(args.output, "profile.html"), lambda: html.profile_report(h, args.email, args.email))] if args.email else []
+        pages += [(os.path.join(args.output, "profile.html"), lambda: html.profile_report(h, args.email, f"{args.email}: {scan_label(args.root)}"))] if args.email else []
         for path, page in pages:
             with open(path, "w", encoding="utf-8") as file:
                 file.write(page())
+            print(f"Page written to {file_link(path)}", file=sys.stderr)
         h.uncache()
     if args.report_dir:
         os.makedirs(args.report_dir, exist_ok=True)
@@ -188,6 +204,7 @@ def run_scan(args: argparse.Namespace) -> int:
             entries.append(entry)
         with open(os.path.join(args.report_dir, "index.html"), "w", encoding="utf-8") as file:
             file.write(html.scan_index(entries, dt.datetime.now(dt.UTC).date()))
+        print(f"{len(entries)} repositories, index written to {file_link(os.path.join(args.report_dir, 'index.html'))}", file=sys.stderr)
     return 0
 
 

@@ -117,7 +117,7 @@ def extract(repo: str, output: str, state_file: str | None = None, *, ref: str =
                     out.flush()
                     save_state(state_file, State(last, state.commit_offset + done))
                 raise Stopped(f"stopped after {done} commits")
-            for row in records(commit, keep, blobs.size if blobs else None):
+            for row in records(commit, keep, blobs.sizes if blobs else None):
                 out.write(json.dumps(row, ensure_ascii=False) + "\n")
             for who in ("author", "committer"):
                 email = commit.meta[f"{who}_email"]

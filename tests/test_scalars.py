@@ -78,3 +78,11 @@ def test_herfindahl(spark):
 
     frame = spark.createDataFrame([([1, 1],), ([4, -4],), ([],)], "x array<bigint>")
     assert [r.y for r in frame.select(herfindahl(F.col("x")).alias("y")).collect()] == [0.5, 1.0, 0.0]
+
+
+def test_labels_and_links(tmp_path, monkeypatch):
+    from chronolith.cli import file_link, scan_label
+
+    assert [scan_label(r) for r in ([], ["/home/me/work/"], ["/a/one", "/b/two"], ["/a/one", "/b/two", "/c/three"], ["/a/x"] * 4)] == ["scan", "work", "one + two", "one + two + three", "4 roots"]
+    monkeypatch.chdir(tmp_path)
+    assert scan_label(["."]) == tmp_path.name and file_link("a page#1.html") == f"file://{tmp_path}/a%20page%231.html"

@@ -93,6 +93,21 @@ def test_extract_and_resume(spark, tmp_path):
     assert vcs.default_branch(repo) == "main"
 
 
+@needs_git
+def test_blob_sizes_come_in_one_exchange(tmp_path):
+    repo = make_repo(tmp_path / "r")
+    hashes = [vcs.git(repo, "rev-parse", f"HEAD~{back}:a.txt") for back in range(3)]
+    commit, absent = vcs.git(repo, "rev-parse", "HEAD"), "1" * 40
+    blobs = vcs.BlobSizes(repo, remembered=2)
+    expected = dict(zip(hashes, (15, 10, 5), strict=True)) | {commit: 0, absent: 0}
+    for _ in range(2):
+        assert blobs.sizes([*hashes, commit, absent, "0" * 40, "", hashes[0]]) == expected
+    assert blobs.sizes(hashes * 5_000) == dict(zip(hashes, (15, 10, 5), strict=True)) and blobs.sizes([]) == {}
+    assert len(set(blobs.sizes(f"{i:040x}" for i in range(1, 20_001)).values())) == 1  # more than a pipe holds
+    blobs.close()
+    assert blobs.sizes([absent]) == {absent: 0}
+
+
 @needs_git
 def test_repository_as_a_source(spark, tmp_path):
     repo = make_repo(tmp_path / "r", 2)
