@@ -74,10 +74,11 @@ def test_registered_queries_equal_their_sql(spark):
     for t in ("documents", "embeddings", "benchmark"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
-        ours, theirs = registry.queries()[name](spark, FOLDER).toPandas(), duckdb.sql(sql).df()
+        ours, theirs = registry.queries()[name](spark, FOLDER), duckdb.sql(sql)
         order = sorted(ours.columns)
         assert order == sorted(theirs.columns)
-        assert sorted(map(tuple, ours[order].itertuples(index=False))) == sorted(map(tuple, theirs[order].itertuples(index=False)))
+        nulls_last = lambda row: [(x is None, x) for x in row]  # noqa: E731  some columns hold nulls
+        assert sorted(map(tuple, ours.select(order).collect()), key=nulls_last) == sorted(theirs.select(*order).fetchall(), key=nulls_last)
 
 
 def test_pipeline(spark):
