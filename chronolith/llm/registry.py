@@ -11,6 +11,7 @@ from chronolith.llm.decontamination import OP9_SQL, op9_decontamination
 from chronolith.llm.fim import OP13_SQL, op13_fill_in_middle
 from chronolith.llm.language import op4_language
 from chronolith.llm.negatives import OP12_SQL, op12_hard_negatives
+from chronolith.llm.ngram_join import op11_ngram_join
 from chronolith.llm.pii import op1_pii
 from chronolith.llm.sharding import op10_jump_sharding
 from chronolith.llm.simhash import op8_simhash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_decontamination": op9_decontamination,
         "op10_jump_sharding": op10_jump_sharding,
+        "op11_ngram_join": op11_ngram_join,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
