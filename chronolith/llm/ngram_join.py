@@ -12,8 +12,8 @@ never the result). The product is made in two blocks of columns:
 2. For the pairs that are left the product is taken over all columns, exactly.
 
 Columns with more than LONG_COLUMN members make no pairs among these. Only links that join two components matter there:
-a few rows of each column are multiplied with all its others first, and then rows outside the column's largest
-component with rows of other components. Whatever the columns' lengths, no link between two components is lost.
+a few rows of each column are multiplied with all its others first, and then, block by block, rows outside the column's
+largest component with rows of other components. Whatever the columns' lengths, no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ from chronolith.llm.similar import PARTS, WHOLE, _frequent, _linked, _near, pref
 
 #: Members of a column that are multiplied with each other.
 LONG_COLUMN = 24
-#: Rows of a longer column that are multiplied with all others, in each of two turns.
-HUBS, TURNS = 8, 2
+#: Rows of a longer column that are multiplied with all others, in each of so many turns; turns end when they leave more
+#: than a share of the rows that the turn before has left.
+HUBS, TURNS, STALLED = 8, 4, 0.8
+#: Rows of a long column in a block.
+ROW_BLOCK = 1024
 #: Columns that a task multiplies at once.
 COLUMN_BLOCK = 2048
 
@@ -83,32 +86,85 @@ def _bounded(product: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.where(_near_in_size(F.col("n_a"), F.col("n_b")) & (most * (PARTS + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PARTS)).select("a", "b")
 
 
-def _met(left: DataFrame, right: DataFrame, apart: str = "true") -> DataFrame:
-    """Distinct pairs (a, b), a < b, of (token, key_a, n_a, ...) and (token, key_b, n_b, ...) that are near in size."""
-    met = left.join(right, "token").where((F.col("key_a") != F.col("key_b")) & _near_in_size(F.col("n_a"), F.col("n_b")) & F.expr(apart))
-    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+def _rooted(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """`keys` (with a column key) and root, the component of each; saved."""
+    roots = components(edges)
+    return saved(keys.join(roots, keys["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key")))
 
 
-def _named(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
+def _new_links(pairs: DataFrame, edges: DataFrame | None, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """`edges` and the links among pairs (a, b); saved. Each row is compared with the least of its partners first; then
+    pairs that are still in two components are compared, so that a group of copies needs few of its pairs."""
+    first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = _linked(first, nodes, sets)
+    edges = found if edges is None else saved(edges.unionAll(found))
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    root = _rooted(edges, ends)
+    side = lambda x: root.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}"))
+    rest = saved(pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").select("a", "b"))
+    out = saved(edges.unionAll(_linked(rest, nodes, sets)))
+    discard(first, ends, root, rest)
+    return out
+
+
+def _hub_pairs(outside: DataFrame, long: DataFrame, turn: int) -> DataFrame:
+    """(a, b): rows of long columns, each in its longest column alone, with HUBS rows of the column's outside ones: those in most long columns."""
+    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HUBS))
+    hubs = outside.where("main").groupBy("token", slot.alias("slot")).agg(F.max_by(F.struct("key", "n"), F.struct("long", "key")).alias("x"))
+    hubs = small(saved(hubs.select("token", F.col("x.key").alias("hub"), F.col("x.n").alias("size"))))
+    met = long.where("main").join(hubs, "token").where((F.col("key") != F.col("hub")) & _near_in_size(F.col("n"), F.col("size")))
+    return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _across(outside: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b): outside rows of long columns with rows of other components there that sizes and sketches do not rule out; saved.
+
+    Rows (token, key, n, root, bits) of a column are packed in blocks of about ROW_BLOCK, blocks of outside rows meet
+    all blocks of their column, and a task compares two blocks at a time: pairs that are ruled out never leave it.
+    """
+
+    def packed(rows: DataFrame, size: int) -> DataFrame:
+        counts = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+        cells = rows.join(counts, "token").groupBy("token", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
+        return cells.agg(F.collect_list(F.struct("key", "n", "root", "bits")).alias("rows")).drop("block")  # about `size` rows
+
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def columns(rows: object) -> tuple[np.ndarray, ...]:
+            return (*(np.array([r[c] for r in rows], np.int64) for c in ("key", "n", "root")), np.array([r["bits"] for r in rows], np.int64).view(np.uint64))
+
+        for batch in batches:
+            for left, right in zip(batch["outside"], batch["rows"], strict=True):
+                key_a, n_a, root_a, bits_a = columns(left)
+                key_b, n_b, root_b, bits_b = columns(right)
+                for i in range(len(key_a)):
+                    least, most, both = np.minimum(n_a[i], n_b), np.maximum(n_a[i], n_b), n_a[i] + n_b
+                    at = np.flatnonzero((root_b != root_a[i]) & (least * WHOLE >= most * PARTS))
+                    apart = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(axis=1, dtype=np.int64)
+                    at = at[(both[at] - apart) * (PARTS + WHOLE) >= both[at] * (2 * PARTS)]
+                    yield pd.DataFrame({"a": np.minimum(key_a[i], key_b[at]), "b": np.maximum(key_a[i], key_b[at])})
+
+    tiles = packed(outside, ROW_BLOCK).withColumnRenamed("rows", "outside").join(packed(long, ROW_BLOCK), "token").repartition(F.rand(1))
+    return saved(tiles.select("outside", "rows").mapInPandas(compare, "a bigint, b bigint").distinct())
 
 
 def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """`edges` and what joins further components of rows in long columns (token, key, n); saved."""
-    outside = long
+    """`edges` and what joins further components of rows in long columns (token, key, n, long, main); saved."""
+    outside, before = long, None
     for turn in range(TURNS):
-        hubs = outside.groupBy("token", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "n")).alias("x")).select("token", "x.key", "x.n").distinct()
-        edges = _more(edges, _met(_named(long.select("token", "key", "n"), "a"), small(saved(_named(hubs, "b")))), nodes, sets)
-        roots = components(edges)
-        long = saved(long.select("token", "key", "n").join(roots, long["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")))
-        sizes = long.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
+        edges = _new_links(_hub_pairs(outside, long, turn), edges, nodes, sets)
+        root = _rooted(edges, long.select("key").distinct())
+        rooted = long.join(small(root), "key")
+        sizes = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
         core = saved(sizes.groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("core")))
-        outside = saved(long.join(small(core), "token").where("root <> core").drop("core"))
-    return _more(edges, _met(_named(long, "a"), _named(outside, "b"), "root_a <> root_b"), nodes, sets)
-
-
-def _more(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    return saved(edges.unionAll(_linked(pairs, nodes, sets)).distinct())
+        outside = saved(rooted.join(small(core), "token").where("root <> core").drop("core"))
+        left = outside.where("main").count()
+        if not left or before and left > STALLED * before:
+            break
+        before = left
+    if not outside.limit(1).count():
+        return edges
+    bits = nodes.select("key", "bits")
+    return _new_links(_across(outside.join(bits, "key"), long.join(small(root), "key").join(bits, "key")), edges, nodes, sets)
 
 
 def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -117,10 +173,10 @@ def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     posted = saved(postings.join(lengths.select("token", "length"), "token"))
     few = posted.where(F.col("length") <= LONG_COLUMN).groupBy("token").agg(F.sort_array(F.collect_list("key")).alias("members"))  # LONG_COLUMN at most
     tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = lengths.where(F.col("length") > LONG_COLUMN).groupBy("length", "mixed", "added").agg(F.min("token").alias("token")).select("token")  # of columns with the same members, one
-    long = saved(posted.join(small(saved(one)), "token").select("token", "key", "n"))
-    held = posted.where(F.col("length") > LONG_COLUMN).groupBy("key").agg(F.count(F.lit(1)).alias("long"))
-    sized = saved(nodes.select("key", "n", "width", "last").join(held, "key", "left").select("key", "n", "width", "last", F.coalesce("long", F.lit(0)).alias("long")))
+    held = saved(posted.where(F.col("length") > LONG_COLUMN).groupBy("key").agg(F.count(F.lit(1)).alias("long"), F.max_by("token", F.struct("length", "token")).alias("longest")))
+    one = lengths.where(F.col("length") > LONG_COLUMN).groupBy("length", "mixed", "added").agg(F.max("token").alias("token")).select("token")  # of columns with the same members, one
+    long = saved(posted.join(small(saved(one)), "token").join(small(held), "key").select("token", "key", "n", "long", (F.col("token") == F.col("longest")).alias("main")))
+    sized = saved(nodes.select("key", "n", "width", "last").join(small(held.select("key", "long")), "key", "left").select("key", "n", "width", "last", F.coalesce("long", F.lit(0)).alias("long")))
     product = _product(few.select("members").repartition(tasks, F.element_at("members", 1)))
     pairs = _near(_bounded(product, sized), nodes)
     discard(lengths, posted, sized)
@@ -134,7 +190,7 @@ def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
 
     texts = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted), ["id", "th"])
     sets = saved(texts.select("key", cut("text").alias("s")).dropDuplicates(["key"]))
-    edges = _linked(pairs, nodes, sets)
+    edges = _new_links(pairs, None, nodes, sets)
     discard(wanted, pairs)
     return _long_links(long, edges, nodes, sets) if long.limit(1).count() else edges
 

@@ -62,6 +62,7 @@ def test_equal_to_brute_force(documents, monkeypatch, long_column, seed):
     monkeypatch.setattr(ngram_join, "LONG_COLUMN", long_column)
     monkeypatch.setattr(ngram_join, "HUBS", 2)
     monkeypatch.setattr(ngram_join, "COLUMN_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "ROW_BLOCK", 8)
     docs = list(enumerate(corpus(seed)))
     random.Random(seed).shuffle(docs)
     found = [str((r.doc_id, r.n_shingles, r.component_id)) for r in ngram_join.join_groups(documents(docs)).collect()]
