@@ -82,6 +82,8 @@ def queries() -> dict[str, Query]:
         found[f"lines_{name}"] = lambda spark, d, kind=kind, stat=stat, how=how: stat(testbed.read_lines(spark, testbed.history(spark, d, kind), **how))
     found["lines_hotspots_renamed"] = lambda spark, d: ranking.hotspots(testbed.read_lines(spark, testbed.history(spark, d, renames=True)), 0)
     found["lines_two_inputs"] = lambda spark, d: ranking.repo_breakdown(testbed.read_lines(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)))
+    found["coupling_split_runs"] = _on("coarse", lambda h: pairs.coupling(h, 0), halves=True)
+    found["lines_coupling_split_runs"] = lambda spark, d: pairs.coupling(testbed.read_lines(spark, testbed.history(spark, d, "coarse", halves=True)), 0)
     found["odd_coupling"] = lambda spark, d: pairs.coupling(testbed.odd_history(spark, d), 0)
     found["odd_suspects"] = lambda spark, d: structure.suspects(testbed.odd_history(spark, d)).select("glob", "reason", "churn", F.size("paths").cast("bigint").alias("files"), F.array_join("suggestions", ";").alias("suggestions"), "worth_warning")
     for g in ("day", "week", "month", "year"):

@@ -7,30 +7,34 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import round_k
 from chronolith.plans.history import History
+from chronolith.plans.runs import with_runs
 from chronolith.schema import MECHANICAL_FILES, MECHANICAL_LINES, Limits
 
 
-def _commit_paths(h: History) -> DataFrame:
-    """(repo, sha, path, file, lines): every path once for each commit, by the one shuffle by commit that pairs and counts share."""
-    rows = h.touches.select("repo", "sha", "path", "file", "lines").repartition("repo", "sha")
-    return rows.groupBy("repo", "sha", "path", "file").agg(F.sum("lines").alias("lines"))
+def _run_paths(h: History) -> DataFrame:
+    """(input, run, path, file, lines): every path once for each run of a commit's file rows.
+
+    Rows of one commit that stand apart in the input are runs of their own. One shuffle by run is shared by pairs and counts.
+    """
+    rows = with_runs(h.touches.select("sha", "path", "file", "lines", "ord"), "sha").drop("sha", "ord").repartition("input", "run")
+    return rows.groupBy("input", "run", "path", "file").agg(F.sum("lines").alias("lines"))
 
 
 def file_changes(h: History) -> DataFrame:
-    """(file, changes): commits that touch a path, by its raw path, then summed under the canonical one."""
-    return _commit_paths(h).groupBy("file").agg(F.count(F.lit(1)).alias("changes"))
+    """(file, changes): runs that touch a path, by its raw path, then summed under the canonical one."""
+    return _run_paths(h).groupBy("file").agg(F.count(F.lit(1)).alias("changes"))
 
 
 def pair_counts(h: History) -> DataFrame:
-    """(file_a, file_b, co_changes) over commits of 2 to coupling_max_files paths that are no mechanical rewrite.
+    """(file_a, file_b, co_changes) over runs of 2 to coupling_max_files paths that are no mechanical rewrite.
 
-    Pairs are made of raw paths inside a commit, after the size filter, so a commit gives
+    Pairs are made of raw paths inside a run, after the size filter, so a run gives
     max * (max - 1) / 2 of them at most; then they are put under canonical paths.
     """
-    rows = _commit_paths(h)
-    sizes = rows.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("churn"))
+    rows = _run_paths(h)
+    sizes = rows.groupBy("input", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("churn"))
     fit = sizes.where((F.col("n") >= 2) & (F.col("n") <= h.options.coupling_max_files) & ~((F.col("n") >= MECHANICAL_FILES) & (F.col("churn") / F.col("n") < MECHANICAL_LINES)))
-    paths = rows.join(fit.select("repo", "sha"), ["repo", "sha"]).groupBy("repo", "sha").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most
+    paths = rows.join(fit.select("input", "run"), ["input", "run"]).groupBy("input", "run").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most
     first = paths.select("p", F.posexplode("p").alias("at", "a"))
     pairs = first.select("a.file", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b")).where("file <> b.file")
     return pairs.groupBy(F.least("file", "b.file").alias("file_a"), F.greatest("file", "b.file").alias("file_b")).agg(F.count(F.lit(1)).alias("co_changes"))

@@ -236,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
     for name in ("summary", "summary_window", "hotspots_window", "working_patterns", "extensions", "churn_risk", "coupling", "dev_registry", "hotspots_renamed"):
         found[f"lines_{name}"] = found[name]
     found["lines_two_inputs"] = _two_inputs()
+    found["coupling_split_runs"] = found["lines_coupling_split_runs"] = f"{_split_runs()}{_COUPLING}"
     found["odd_coupling"] = f"{_odd()}{_COUPLING}"
     found["odd_suspects"] = f"""{_odd()}, p AS (SELECT file, sum(a) AS churn FROM f GROUP BY file),
 t AS (SELECT p.file, p.churn, s.pattern, s.reason, CASE WHEN prefix AND strpos(file, '/') > 0 THEN regexp_extract(file, '^(.*?)/?' || replace(pattern, '/*', '') || '/', 1) || '/' || pattern ELSE pattern END AS suggestion
@@ -261,6 +262,14 @@ def _two_inputs() -> str:
  LEFT JOIN (SELECT repo, count(DISTINCT file) AS files FROM ({files}) GROUP BY repo) USING (repo)"""
 
 
+def _split_runs() -> str:
+    """File rows in halves of four commits; a run of one commit's neighbouring rows stands for the commit."""
+    return f"""WITH l0 AS (SELECT l_orderkey AS k, ((l_orderkey // 4) * 2 + CAST(l_linenumber > 3 AS BIGINT)) * 4 + l_orderkey % 4 AS ord, {_PATH['coarse']} AS file,
+  CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE trunc(l_quantity) END AS BIGINT) AS a, CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE round(l_discount * 100) END AS BIGINT) AS d FROM lineitem JOIN part ON p_partkey = l_partkey),
+l1 AS (SELECT *, CASE WHEN k = lag(k) OVER (ORDER BY ord, k) THEN 0 ELSE 1 END AS starts FROM l0),
+f AS (SELECT sum(starts) OVER (ORDER BY ord, k ROWS UNBOUNDED PRECEDING) AS sha, file, a, d FROM l1)"""
+
+
 def _odd() -> str:
     """The test bed's wide commits under odd names."""
     names = ", ".join(f"'{n}'" for n in ODD_NAMES)

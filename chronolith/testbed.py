@@ -26,8 +26,9 @@ PATH = {
 }
 
 
-def history(spark: SparkSession, sf_dir: str, kind: str = "fine", multi: bool = False, options: Options = Options(), renames: bool = False) -> History:
-    """The test bed's history. renames: year folders of one year move to the next, as rename rows."""
+def history(spark: SparkSession, sf_dir: str, kind: str = "fine", multi: bool = False, options: Options = Options(), renames: bool = False, halves: bool = False) -> History:
+    """The test bed's history. renames: year folders of one year move to the next, as rename rows. halves: of every four
+    commits the first three file rows come first, then the others, so that most commits stand in two places."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     orders, items, parts = read("orders"), read("lineitem"), read("part")
     repo = "lower(replace(o_orderpriority, ' ', ''))" if multi else "'(repo)'"
@@ -44,7 +45,7 @@ def history(spark: SparkSession, sf_dir: str, kind: str = "fine", multi: bool =
     files = lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     files = files.select(
         F.expr(repo).alias("repo"), F.expr("lpad(cast(l_orderkey AS string), 8, '0')").alias("sha"), F.expr(prefix.format(PATH[kind])).alias("path"), F.lit("M").alias("status"), F.lit("").alias("old_path"),
-        F.expr(prefix.format(PATH[kind])).alias("new_path"), F.col("a").alias("additions"), F.col("d").alias("deletions"), F.col("l_orderkey").alias("ord"), "ts",
+        F.expr(prefix.format(PATH[kind])).alias("new_path"), F.col("a").alias("additions"), F.col("d").alias("deletions"), F.expr("((l_orderkey div 4) * 2 + cast(l_linenumber > 3 AS bigint)) * 4 + l_orderkey % 4" if halves else "l_orderkey").alias("ord"), "ts",
     )
     if options.since:
         commits, files = (df.where(F.col("ts") >= F.lit(f"{options.since} 00:00:00").cast("timestamp_ntz")) for df in (commits, files))
@@ -99,14 +100,14 @@ def read_lines(spark: SparkSession, *histories: History, options: Options = Opti
 
 
 def write_lines(spark: SparkSession, h: History, folder: str) -> None:
-    """A history as JSON lines, one folder of files: what jsonl.load() reads. Dates are written in the author's zone."""
+    """A history as JSON lines, one folder of files: what jsonl.load() reads. File rows stand in the history's order; dates are written in the author's zone."""
     zone = F.round((epoch(F.col("ts_local")) - epoch(F.col("ts"))) / 3600).cast("int")
     date = F.concat(F.date_format("ts_local", "yyyy-MM-dd'T'HH:mm:ss"), F.when(zone < 0, "-").otherwise("+"), F.lpad(F.abs(zone).cast("string"), 2, "0"), F.lit(":00"))
     commits = h.commits.select(
         F.lit("commit").alias("type"), "sha", F.col("name").alias("author_name"), F.col("email").alias("author_email"), date.alias("author_date"), "additions", "deletions", "files_changed", "message"
     )
     current = F.when(F.col("status") != "D", F.col("new_path"))
-    files = h.files.select(F.lit("commit_file").alias("type"), F.col("sha").alias("commit"), current.alias("path_current"), F.coalesce(F.nullif(F.col("old_path"), F.lit("")), F.col("new_path")).alias("path_previous"), "status", "additions", "deletions")
+    files = h.files.orderBy("ord", "sha").select(F.lit("commit_file").alias("type"), F.col("sha").alias("commit"), current.alias("path_current"), F.coalesce(F.nullif(F.col("old_path"), F.lit("")), F.col("new_path")).alias("path_previous"), "status", "additions", "deletions")
     parents = h.parents.select(F.lit("commit_parent").alias("type"), "sha", F.lit("p").alias("parent_sha"))
     lines = None
     for records in (commits, files, parents):
