@@ -84,6 +84,9 @@ def queries() -> dict[str, Query]:
     found["lines_two_inputs"] = lambda spark, d: ranking.repo_breakdown(testbed.read_lines(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)))
     found["coupling_split_runs"] = _on("coarse", lambda h: pairs.coupling(h, 0), halves=True)
     found["lines_coupling_split_runs"] = lambda spark, d: pairs.coupling(testbed.read_lines(spark, testbed.history(spark, d, "coarse", halves=True)), 0)
+    stored = {"summary_window": ("fine", ranking.summary, FIRST), "hotspots_window": ("fine", lambda h: ranking.hotspots(h, 0), FIRST), "churn_risk": ("fine", lambda h: risk.churn_risk(h, 0), Options()), "coupling": ("coarse", lambda h: pairs.coupling(h, 0), Options())}
+    for name, (kind, stat, options) in stored.items():  # through JSON lines and the month-clustered store
+        found[f"store_{name}"] = lambda spark, d, kind=kind, stat=stat, options=options: stat(testbed.read_store(spark, testbed.history(spark, d, kind), options))
     found["odd_coupling"] = lambda spark, d: pairs.coupling(testbed.odd_history(spark, d), 0)
     found["odd_suspects"] = lambda spark, d: structure.suspects(testbed.odd_history(spark, d)).select("glob", "reason", "churn", F.size("paths").cast("bigint").alias("files"), F.array_join("suggestions", ";").alias("suggestions"), "worth_warning")
     for g in ("day", "week", "month", "year"):

@@ -237,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         found[f"lines_{name}"] = found[name]
     found["lines_two_inputs"] = _two_inputs()
     found["coupling_split_runs"] = found["lines_coupling_split_runs"] = f"{_split_runs()}{_COUPLING}"
+    for name in ("summary_window", "hotspots_window", "churn_risk", "coupling"):
+        found[f"store_{name}"] = found[name]
     found["odd_coupling"] = f"{_odd()}{_COUPLING}"
     found["odd_suspects"] = f"""{_odd()}, p AS (SELECT file, sum(a) AS churn FROM f GROUP BY file),
 t AS (SELECT p.file, p.churn, s.pattern, s.reason, CASE WHEN prefix AND strpos(file, '/') > 0 THEN regexp_extract(file, '^(.*?)/?' || replace(pattern, '/*', '') || '/', 1) || '/' || pattern ELSE pattern END AS suggestion

@@ -93,7 +93,7 @@ class History:
         """(repo, sha, ord, seen): the newest date so far in the order of the input. Splits of the input are put in order by
         their newest dates, then each split's lines in a task of its own."""
         known = dict(self.commits.dtypes)["ord"].startswith("struct")  # else a plain number, from one source
-        split = [F.col("ord.file").alias("file"), F.struct(*(f"ord.{c}" for c in self.commits.schema["ord"].dataType.names if c in ("part", "block"))).alias("block")] if known else [F.lit(0).alias("file"), F.lit(0).alias("block")]
+        split = [F.col("ord.file").alias("file"), F.struct(*(f"ord.{c}" for c in self.commits.schema["ord"].dataType.names if c in ("batch", "part", "block"))).alias("block")] if known else [F.lit(0).alias("file"), F.lit(0).alias("block")]
         lines = self.commits.select("repo", "sha", "ord", "ts", *split)
         before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
         splits = lines.groupBy("file", "block").agg(F.max("ts").alias("newest")).select("file", "block", F.max("newest").over(before).alias("earlier"))  # one row for each split

@@ -22,7 +22,7 @@ def with_runs(rows: DataFrame, key: str) -> DataFrame:
     """
     kind = rows.schema["ord"].dataType
     if isinstance(kind, T.StructType):
-        split = [F.col(f"ord.{c}") for c in kind.names if c in ("part", "block")]
+        split = [F.col(f"ord.{c}") for c in kind.names if c in ("batch", "part", "block")]
         source, chunk = F.col("ord.file"), F.struct(*split, F.shiftright("ord.line", CHUNK_BITS).alias("lines"))
     else:
         source, chunk = F.lit(0), F.struct(F.shiftright(F.col("ord").cast("bigint"), CHUNK_BITS).alias("lines"))

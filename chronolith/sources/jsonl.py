@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -38,85 +39,126 @@ def repo_names(paths: list[str]) -> list[str]:
     return [re.sub(r"(?s)\.[^.]*$", "", p.rstrip("/").rsplit("/", 1)[-1]) for p in paths]
 
 
-def check_records(records: DataFrame, parsed: bool = False) -> None:
-    """Raises MalformedInput with an example and its place if any line is no JSON object, or has a field of another type. An action of its own over the input.
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def _number(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
+
+
+#: Types that statistics read. Among typed records `bad` are lines that are no JSON object or have a field of another type, `other` all else.
+TYPES = ("commit", "commit_file", "commit_parent")
+
 
-    A scan parses only the fields that are asked for, so unless the records are `parsed` already, all are.
+def typed(records: DataFrame, strict: bool = True) -> DataFrame:
+    """Records with their fields in one form for all types, dates parsed; `wrong` is the text of a bad line.
+
+    Missing keys are empty strings and zeros. strict: every field is parsed, so that none of another type goes unseen;
+    otherwise a scan parses only what is asked for, and a bad line is a record of what could be read.
     """
-    wrong = F.col(CORRUPT).isNotNull() & (F.trim(CORRUPT) != "")
-    if not parsed:
-        wrong = wrong & (F.octet_length(F.to_json(F.struct(*RECORD.names))) >= 0)
-    bad = records.where(wrong).select(CORRUPT, "repo", "ord").orderBy("ord").take(1)
+    if strict:
+        parsed = F.xxhash64(*RECORD.names).bitwiseAND(F.lit(1)) >= 0  # always, but keeps the scan from leaving fields out
+        wrong = F.when(parsed & F.col(CORRUPT).isNotNull() & (F.trim(CORRUPT) != ""), F.col(CORRUPT))
+        bad = F.when(wrong.isNotNull(), "bad")
+    else:
+        wrong, bad = F.lit(None).cast("string"), F.lit(None).cast("string")
+    kind = F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise("other")
+    is_commit = F.col("type") == "commit"
+    return records.select(
+        F.coalesce(bad, kind).alias("type"), "repo", "ord", F.when(F.col("type") == "commit_file", _text("commit")).otherwise(_text("sha")).alias("sha"),
+        _text("author_name").alias("name"), _text("author_email").alias("email"), F.when(is_commit, utc_time(F.col("author_date"))).alias("ts"), F.when(is_commit, local_time(F.col("author_date"))).alias("ts_local"),
+        _number("additions").alias("additions"), _number("deletions").alias("deletions"), _number("files_changed").alias("files_changed"), _text("message").alias("message"),
+        _text("status").alias("status"), _text("path_previous").alias("previous"), _text("path_current").alias("current"), wrong.alias("wrong"),
+    )
+
+
+def check(rows: DataFrame) -> None:
+    """Raises MalformedInput with the first bad line of typed rows and its place: record and line of the file."""
+    bad = rows.where("type = 'bad'").select("wrong", "repo", "ord").orderBy("ord").take(1)
     if bad:
-        raise MalformedInput(f"{bad[0]['repo']}, {_place(records, bad[0]['ord'])}: {bad[0][CORRUPT][:200]}")
+        raise MalformedInput(f"{bad[0]['repo']}, {_place(rows, bad[0]['ord'])}: {bad[0]['wrong'][:200]}")
 
 
-def _place(records: DataFrame, place: Row) -> str:
-    """The number of a line in its split of the input, for a message about it."""
+def _place(rows: DataFrame, place: Row) -> str:
+    """Where a line stands: its number among the records of its split of the file, and its number in the file, blank lines included."""
     o, same = F.col("ord"), F.lit(True)
     for c in ("file", "part", "block"):
         if c in place.asDict():
             same = same & (o[c] == F.lit(place[c]))
-    before = records.select("ord", "type").where(same & (o["line"] <= F.lit(place["line"]))).count()  # blank lines are no records
-    return f"record {before}" + (f" from byte {place['block']}" if place["block"] else "")
+    before = rows.select("ord", "type").where(same & (o["line"] <= F.lit(place["line"]))).count()  # blank lines are no records
+    if "part" not in place.asDict():
+        return f"record {before}, line {place['line'] + 1}"
+    lines = rows.sparkSession.read.text(unquote(place["part"])).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    own = lines.where(F.col("block") == F.lit(place["block"]))
+    full = own.where(~F.col("value").rlike(r"\A[ \t\r\n]*\z")).select("id").orderBy("id").limit(before).agg(F.max("id")).first()[0]
+    number = lines.where((F.col("block") < F.lit(place["block"])) | ((F.col("block") == F.lit(place["block"])) & (F.col("id") <= F.lit(full)))).count()
+    return f"record {before}" + (f" from byte {place['block']}" if place["block"] else "") + f", line {number}"
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+COMMIT = ("repo", "sha", "name", "email", "ts", "ts_local", "additions", "deletions", "files_changed", "message", "ord")
 
 
-def _number(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
+def file_rows(rows: DataFrame, multi: bool = False) -> DataFrame:
+    """File rows of a history from typed ones, without those of no path. With several inputs every path is prefixed by `<repo>:`."""
+    prefix = F.concat("repo", F.lit(":")) if multi else F.lit("")
+    path = F.when(F.col("current") != "", F.col("current")).otherwise(F.col("previous"))
+    files = rows.select("repo", "sha", path.alias("path"), "status", F.col("previous").alias("old_path"), F.col("current").alias("new_path"), "additions", "deletions", "ord").where("path <> ''")
+    return files.withColumns({c: F.when(F.col(c) != "", F.concat(prefix, F.col(c))).otherwise("") for c in ("path", "old_path", "new_path")})
+
 
+def inside(options: Options, ts: Column) -> Column:
+    """Within the window, both days included."""
+    out = F.lit(True)
+    if options.since:
+        out = out & (ts >= F.lit(f"{options.since} 00:00:00").cast("timestamp_ntz"))
+    if options.until:
+        out = out & (ts <= F.lit(f"{options.until} 23:59:59").cast("timestamp_ntz"))
+    return out
 
-def history_of(records: DataFrame, options: Options = Options(), multi: bool = False) -> History:
-    """Typed frames of the records. Missing keys are empty strings and zeros; unknown record types are skipped.
+
+def history_of(rows: DataFrame, options: Options = Options(), multi: bool = False) -> History:
+    """A history of typed rows. Unknown record types are skipped.
 
     A date window keeps commits inside it (both days included) and those without a readable date; the rows of
-    other commits go too, each input by itself. With several inputs every path is prefixed by `<repo>:`.
+    other commits go too, each input by itself, whatever the inputs' names.
     """
-    prefix = F.concat("repo", F.lit(":")) if multi else F.lit("")
-    commits = records.where("type = 'commit'").select(
-        "repo", _text("sha"), _text("author_name").alias("name"), _text("author_email").alias("email"), utc_time(F.col("author_date")).alias("ts"), local_time(F.col("author_date")).alias("ts_local"),
-        _number("additions"), _number("deletions"), _number("files_changed"), _text("message"), "ord",
-    )
-    current, previous = F.coalesce("path_current", F.lit("")), F.coalesce("path_previous", F.lit(""))
-    path = F.when(current != "", current).otherwise(previous)
-    files = records.where("type = 'commit_file'").select(
-        "repo", _text("commit").alias("sha"), path.alias("path"), _text("status"), previous.alias("old_path"), current.alias("new_path"), _number("additions"), _number("deletions"), "ord",
-    ).where("path <> ''")
-    fixed = lambda c: F.when(F.col(c) != "", F.concat(prefix, F.col(c))).otherwise("").alias(c)
-    files = files.select("repo", "sha", fixed("path"), "status", fixed("old_path"), fixed("new_path"), "additions", "deletions", "ord")
-    parents = records.where("type = 'commit_parent'").select("repo", _text("sha"))
+    commits, files, parents = rows.where("type = 'commit'").select(*COMMIT), file_rows(rows.where("type = 'commit_file'"), multi), rows.where("type = 'commit_parent'").select("repo", "sha", "ord")
     if options.since or options.until:
-        inside = F.lit(True)
-        if options.since:
-            inside = inside & (F.col("ts") >= F.lit(f"{options.since} 00:00:00").cast("timestamp_ntz"))
-        if options.until:
-            inside = inside & (F.col("ts") <= F.lit(f"{options.until} 23:59:59").cast("timestamp_ntz"))
-        commits = commits.where(F.col("ts").isNull() | inside)
-        files = files.join(commits.select("repo", "sha"), ["repo", "sha"], "left_semi")
-        parents = parents.join(commits.select("repo", "sha"), ["repo", "sha"], "left_semi")
+        commits = commits.where(F.col("ts").isNull() | inside(options, F.col("ts")))
+        kept = commits.select(F.col("ord.file").alias("input"), F.col("sha").alias("kept")).distinct()
+        of = lambda df: df.join(kept, (df["ord.file"] == kept["input"]) & (df["sha"] == kept["kept"]), "left_semi")
+        files, parents = of(files), of(parents)
+    return history(commits, files, parents, options, multi)
+
+
+def history(commits: DataFrame, files: DataFrame, parents: DataFrame, options: Options, multi: bool) -> History:
+    parents = parents.drop("ord")
     if not multi:
         commits, files, parents = (df.withColumn("repo", F.lit("(repo)")) for df in (commits, files, parents))
     return History(commits, files, parents, options, multi)
 
 
+def staged_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The typed records of the inputs, parsed once into Parquet in the shared folder, by type: bad lines too, in the same job."""
+    rows, folder = typed(read_records(spark, paths)), new_folder(spark)
+    rows.write.partitionBy("type").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def load(spark: SparkSession, paths: list[str] | str, options: Options = Options(), strict: bool = True, staged: bool = False) -> History:
     """A history from one or more JSONL files, in the order given. strict: malformed lines are an error.
 
-    staged: the lines are parsed once, into Parquet in the shared folder, where every later step reads its own kind of
-    record and its own columns; for runs of several statistics.
+    staged: the lines are parsed once, into typed Parquet in the shared folder, where every later step reads its own
+    type of record and its own columns; for runs of several statistics.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    records = read_records(spark, paths)
-    if staged:
-        folder = new_folder(spark)
-        records.write.partitionBy("type").parquet(folder)
-        records = spark.read.schema(records.schema).parquet(folder)
+    rows = staged_rows(spark, paths) if staged else typed(read_records(spark, paths), strict)
     if strict:
-        check_records(records, staged)
-    return history_of(records, options, len(paths) > 1)
+        check(rows)
+        if not staged:
+            rows = typed(read_records(spark, paths), strict=False)  # all lines are sound: each statistic parses its own fields
+    return history_of(rows, options, len(paths) > 1)
 
 
 def load_lines(spark: SparkSession, lines: list[str], options: Options = Options()) -> History:
@@ -124,9 +166,9 @@ def load_lines(spark: SparkSession, lines: list[str], options: Options = Options
     numbered = [(i, line) for i, line in enumerate(lines) if line.strip()]
     schema = T.StructType(RECORD.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = spark.createDataFrame(numbered, "n int, line string").select("n", F.from_json("line", schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    records = parsed.select("r.*", F.lit("(repo)").alias("repo"), F.struct(F.lit(0).alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("line")).alias("ord"))
-    check_records(records)
-    return history_of(records, options)
+    rows = typed(parsed.select("r.*", F.lit("(repo)").alias("repo"), F.struct(F.lit(0).alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("line")).alias("ord")))
+    check(rows)
+    return history_of(rows, options)
 
 
 def developers(commits: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -134,8 +176,3 @@ def developers(commits: DataFrame, known: DataFrame | None = None) -> DataFrame:
     key = F.lower(F.trim("email"))
     found = commits.where(key != "").groupBy(F.sha2(key, 256).alias("dev_id")).agg(F.min_by(F.struct("name", "email"), "ord").alias("x")).select("dev_id", "x.name", "x.email")
     return found if known is None else found.join(known.select("dev_id"), "dev_id", "left_anti")
-
-
-def store(records: DataFrame, path: str) -> None:
-    """Records as Parquet, the form to query repeatedly: columns are pruned and filters pushed down there."""
-    records.write.mode("overwrite").partitionBy("type").parquet(path)

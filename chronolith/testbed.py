@@ -14,7 +14,7 @@ from chronolith.functions.scalars import epoch
 from chronolith.plans.checkpoints import new_folder
 from chronolith.plans.history import History
 from chronolith.schema import Options
-from chronolith.sources import jsonl
+from chronolith.sources import jsonl, store
 
 AUTHOR = {
     "coarse": "o_custkey % 50",
@@ -99,6 +99,14 @@ def read_lines(spark: SparkSession, *histories: History, options: Options = Opti
     return jsonl.load(spark, folders, options)
 
 
+def read_store(spark: SparkSession, h: History, options: Options = Options()) -> History:
+    """The history written as JSON lines, made a month-clustered store of, and read from there."""
+    folder = new_folder(spark)
+    write_lines(spark, h, f"{folder}/history.jsonl")
+    store.write(spark, f"{folder}/history.jsonl", f"{folder}/store")
+    return store.read(spark, f"{folder}/store", options)
+
+
 def write_lines(spark: SparkSession, h: History, folder: str) -> None:
     """A history as JSON lines, one folder of files: what jsonl.load() reads. File rows stand in the history's order; dates are written in the author's zone."""
     zone = F.round((epoch(F.col("ts_local")) - epoch(F.col("ts"))) / 3600).cast("int")
