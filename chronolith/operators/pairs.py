@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import round_k
@@ -52,19 +52,49 @@ def coupling(h: History, n: int = 10, limits: Limits = Limits()) -> DataFrame:
     return ranked.limit(n) if n > 0 else ranked
 
 
+#: Developers of a file in one block: a task pairs two blocks at a time.
+BLOCK = 512
+
+
+def met(held: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(file, a, la, b, lb): developers of `held` (file, email, lines) beside others of the same file.
+
+    Without `others` every two developers meet once, a < b; with `others` (of the same form) each of `held` meets all of
+    these but itself. A file with more than BLOCK developers is cut into blocks, and each pair of blocks is a key of its
+    own: a triangle of tiles, or a rectangle with `others`. No key has more than about BLOCK * BLOCK pairs, and a row is
+    copied once for each block of its file.
+    """
+    whole = held if others is None else others
+    blocks = whole.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.select("file", "email", "lines").join(blocks, "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return rows.withColumn("block", F.pmod(F.xxhash64("email"), F.col("blocks")).cast("int"))
+
+    def side(rows: DataFrame, email: str, lines: str, own: str, other: str, tiles: Column) -> DataFrame:
+        return rows.select("file", F.col("email").alias(email), F.col("lines").alias(lines), F.col("block").alias(own), F.explode(tiles).alias(other))
+
+    last = F.col("blocks") - 1
+    if others is not None:
+        a, b = side(cut(held), "a", "la", "i", "j", F.sequence(F.lit(0), last)), side(cut(others), "b", "lb", "j", "i", F.sequence(F.lit(0), last))
+        return a.join(b, ["file", "i", "j"]).where("a <> b").select("file", "a", "la", "b", "lb")
+    rows = cut(held)
+    a, b = side(rows, "a", "la", "i", "j", F.sequence(F.col("block"), last)), side(rows, "b", "lb", "j", "i", F.sequence(F.lit(0), F.col("block")))
+    pairs = a.join(b, ["file", "i", "j"]).where("i < j OR a < b").select("file", F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("la")).otherwise(F.col("lb")).alias("la"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
+    return pairs
+
+
 def dev_network(h: History, n: int = 10, limits: Limits = Limits()) -> DataFrame:
     """Pairs of developers by lines they share: over common files, the smaller of both sums.
 
-    Developers with fewer files than a pair must share are left out before the join, which loses no pair. A file's
-    pairs come from a join on the file, which the adaptive planner splits where one file is hot, and are summed by
-    pair before they are shuffled.
+    Developers with fewer files than a pair must share are left out before the join, which loses no pair. Files with
+    many developers are paired in tiles (met()), and pairs are summed before they are shuffled.
     """
     held = h.authored.select("file", "email", "lines")
     files = held.groupBy("email").agg(F.count(F.lit(1)).alias("n"))
     if limits.network_min_files > 1:
         held = held.join(files.where(F.col("n") >= limits.network_min_files).select("email"), "email", "left_semi")
-    a, b = held.select("file", F.col("email").alias("dev_a"), F.col("lines").alias("la")), held.select("file", F.col("email").alias("dev_b"), F.col("lines").alias("lb"))
-    pairs = a.join(b, "file").where("dev_a < dev_b").groupBy("dev_a", "dev_b").agg(F.count(F.lit(1)).alias("shared_files"), F.sum(F.least("la", "lb")).alias("shared_lines"))
+    pairs = met(held).groupBy(F.col("a").alias("dev_a"), F.col("b").alias("dev_b")).agg(F.count(F.lit(1)).alias("shared_files"), F.sum(F.least("la", "lb")).alias("shared_lines"))
     rows = pairs.where(F.col("shared_files") >= limits.network_min_files)
     rows = rows.join(files.select(F.col("email").alias("dev_a"), F.col("n").alias("na")), "dev_a").join(files.select(F.col("email").alias("dev_b"), F.col("n").alias("nb")), "dev_b")
     rows = rows.select("dev_a", "dev_b", "shared_files", "shared_lines", round_k(F.col("shared_files") / F.greatest("na", "nb") * 100, 1).alias("weight"))

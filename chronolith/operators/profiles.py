@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import cut_message, dirname, extension, round_k, strip_repo
 from chronolith.operators.ownership import herfindahl
+from chronolith.operators.partners import collaborators
 from chronolith.operators.ranking import contributors
 from chronolith.plans.history import History
 from chronolith.schema import BALANCED_RATIO, MESSAGE_BYTES, MESSAGE_CUT, NARROW_SPECIALIST, REFACTOR_RATIO, SPECIALIST_BANDS
@@ -69,9 +70,7 @@ def profiles(h: History, email: str | None = None, n: int = 0) -> DataFrame:
     exts = mine.groupBy("email", extension(F.col("file")).alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("churn"))
     exts = exts.withColumn("pct", pct(F.col("files"), F.sum("files").over(of_all)))
     exts = _best(exts, TOP_EXTENSIONS, ["ext", "files", "churn", "pct"], "extensions", F.desc("files"), F.desc("churn"), "ext")
-    theirs = h.authored.select("file", F.col("email").alias("partner"), F.col("lines").alias("their_lines"))
-    partners = mine.join(theirs, "file").where("partner <> email").groupBy("email", "partner").agg(F.count(F.lit(1)).alias("shared_files"), F.sum(F.least("lines", "their_lines")).alias("shared_lines"))
-    partners = _best(partners, TOP_PARTNERS, ["partner", "shared_files", "shared_lines"], "collaborators", F.desc("shared_lines"), F.desc("shared_files"), "partner")
+    partners = collaborators(h, mine, TOP_PARTNERS)
 
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (people, files, big, monthly, grid, special, scope, exts, partners))
     rows = parts.groupBy("email").agg(*(F.first(c, ignorenulls=True).alias(c) for c in parts.columns if c != "email"))  # one shuffle; each part has one row for a developer
