@@ -57,7 +57,7 @@ def corpus(seed, families=12):
     return texts + ["One two", "one TWO", "one two three four", "Ünï cödé", "ünï cödé"]
 
 
-@pytest.mark.parametrize(("long_column", "seed"), [(24, 1), (2, 1), (3, 2)])
+@pytest.mark.parametrize(("long_column", "seed"), [(24, 1), (2, 2)])
 def test_equal_to_brute_force(documents, monkeypatch, long_column, seed):
     monkeypatch.setattr(ngram_join, "LONG_COLUMN", long_column)
     monkeypatch.setattr(ngram_join, "HUBS", 2)
