@@ -181,18 +181,19 @@ def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     pairs = _near(_bounded(product, sized), nodes)
     discard(lengths, posted, sized)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionAll(long.select("key")).distinct()
-    wanted = saved(wanted.join(nodes.select("key", "id", "th"), "key"))
+    wanted = saved(wanted.join(nodes.select("key", "n", "bits", "id", "th"), "key"))  # later steps read these rows of the matrix alone
 
     @F.pandas_udf("array<bigint>")
     def cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pieces(series):
             yield pd.Series([shingles(t) for t in batch])
 
-    texts = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted), ["id", "th"])
-    sets = saved(texts.select("key", cut("text").alias("s")).dropDuplicates(["key"]))
-    edges = _new_links(pairs, None, nodes, sets)
-    discard(wanted, pairs)
-    return _long_links(long, edges, nodes, sets) if long.limit(1).count() else edges
+    found = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted.select("key", "id", "th")), ["id", "th"]).select("key", cut("text").alias("s"))
+    many = source.select("doc_id", "th").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
+    sets = saved(found.dropDuplicates(["key"]) if many else found)  # a row that is repeated would give its set again
+    edges = _new_links(pairs, None, wanted, sets)
+    discard(pairs)
+    return _long_links(long, edges, wanted, sets) if long.limit(1).count() else edges
 
 
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
