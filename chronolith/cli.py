@@ -96,10 +96,12 @@ def show(h: History, args: argparse.Namespace) -> None:
         made = together(h.commits.sparkSession, {s: lambda s=s: json.loads(render.statistic(s, computed(h, s, args), "json")) if s != "pareto" else render.to_json(s, ownership.pareto(h).collect()) for s in wanted})
         print(json.dumps({s.replace("-", "_").replace("profile", "profiles"): x for s, x in made.items()}, indent=2, ensure_ascii=False))
         return
+    # text of every statistic is made side by side, then shown in order
+    made = together(h.commits.sparkSession, {s: lambda s=s: render.statistic(s, computed(h, s, args), args.format) for s in wanted}, timeout=getattr(args, "timeout", None))
     for stat in wanted:
         if not (stat == "structure" and args.format == "csv"):
             print(f"\n=== {stat} ===", file=sys.stderr)
-        print(render.statistic(stat, computed(h, stat, args), args.format), end="")
+        print(made[stat], end="")
 
 
 def warn_of_suspects(h: History) -> None:
@@ -232,6 +234,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--email", default="")
 
     p = command("stats", run_stats)
+    p.add_argument("--timeout", type=float, help="seconds after which running statistics are cancelled")
     windows(p)
     p.add_argument("--format", choices=("table", "csv", "json"), default="table")
     p.add_argument("--stat", choices=STATS, default="")
@@ -285,6 +288,6 @@ def main(argv: list[str] | None = None) -> int:
         args.input = ["history.jsonl"]
     try:
         return args.run(args)
-    except (UsageError, LookupError, extract.StateError, jsonl.MalformedInput) as error:
+    except (UsageError, LookupError, TimeoutError, extract.StateError, jsonl.MalformedInput) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
