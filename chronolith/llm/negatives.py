@@ -226,6 +226,11 @@ def _negatives(met: DataFrame, turn: np.ndarray, cuts: list[int], k: int, from_p
                 floors, ceilings = least.astype(np.float64), most.astype(np.float64)
                 other = x.a_labels[:, None] != x.labels
 
+                lowest, highest = np.where(open_, floors, np.inf).min(axis=1)[:, None], np.where(open_, ceilings, -np.inf).max(axis=1)[:, None]
+
+                def in_reach(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+                    return other[:, at] & (low <= highest) & (high >= lowest)  # of any window; cheap, for each group of components
+
                 def wanted(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
                     out = np.zeros(low.shape, bool)
                     for p in range(POSITIVES):
@@ -234,7 +239,7 @@ def _negatives(met: DataFrame, turn: np.ndarray, cuts: list[int], k: int, from_p
                         out |= open_[:, p, None] & other[:, at] & (low <= ceiling) & (high >= np.maximum(floor, kth(low, sure, k)[:, None]))
                     return out
 
-                at, low, high = bounded(x.anchors, x.rows, cuts, wanted)
+                at, low, high = bounded(x.anchors, x.rows, cuts, in_reach)
                 still = wanted(at, low, high)
                 for i in np.flatnonzero(still.any(axis=1)):
                     js = at[still[i]]
