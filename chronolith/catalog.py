@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith import testbed
-from chronolith.operators import compose, ownership, pairs, profiles, ranking, risk, structure
+from chronolith.operators import compose, fleet, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.plans.history import History
 from chronolith.schema import Limits, Options
 from chronolith.sources.jsonl import developers
@@ -69,6 +69,8 @@ def queries() -> dict[str, Query]:
         "structure_depth1": _on("fine", lambda h: structure.structure(h, max_depth=1)),
         "repo_breakdown": _on("fine", ranking.repo_breakdown, multi=True),
         "repo_breakdown_dev": _on("fine", lambda h: ranking.repo_breakdown(h, " DEV1@example.com "), multi=True),
+        "repositories": _on("fine", fleet.repositories, multi=True),
+        "repositories_window": _on("fine", fleet.repositories, multi=True, options=FIRST),
         "suspects": _on("coarse", lambda h: _lists(structure.suspects(h), "paths", "suggestions")),
         "diff": lambda spark, d: compose.diff(testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)),
         "ci": _on("fine", lambda h: compose.gates(h, max_bus_factor=1, max_risk=20.0)),
@@ -82,6 +84,7 @@ def queries() -> dict[str, Query]:
         found[f"lines_{name}"] = lambda spark, d, kind=kind, stat=stat, how=how: stat(testbed.read_lines(spark, testbed.history(spark, d, kind), **how))
     found["lines_hotspots_renamed"] = lambda spark, d: ranking.hotspots(testbed.read_lines(spark, testbed.history(spark, d, renames=True)), 0)
     found["lines_two_inputs"] = lambda spark, d: ranking.repo_breakdown(testbed.read_lines(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)))
+    found["lines_repositories"] = lambda spark, d: fleet.repositories(testbed.read_staged(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)))
     found["coupling_split_runs"] = _on("coarse", lambda h: pairs.coupling(h, 0), halves=True)
     found["lines_coupling_split_runs"] = lambda spark, d: pairs.coupling(testbed.read_lines(spark, testbed.history(spark, d, "coarse", halves=True)), 0)
     stored = {"summary_window": ("fine", ranking.summary, FIRST), "hotspots_window": ("fine", lambda h: ranking.hotspots(h, 0), FIRST), "churn_risk": ("fine", lambda h: risk.churn_risk(h, 0), Options()), "coupling": ("coarse", lambda h: pairs.coupling(h, 0), Options())}

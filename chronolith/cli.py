@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronolith.operators import compose, ownership, pairs, profiles, ranking, risk, structure
+from chronolith.operators import compose, fleet, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.plans.history import History
 from chronolith.plans.together import together
 from chronolith.schema import Limits, Options
@@ -181,9 +182,14 @@ def run_scan(args: argparse.Namespace) -> int:
         ignore=args.ignore, batch=args.batch_size, mailmap=args.mailmap, first_parent=args.first_parent, messages=args.messages,
     )
     good = [e for e in manifest.repositories if e.status == "ok"]
-    spark = session() if good and (args.report_dir or args.report or args.email) else None
-    if (args.email or args.report) and spark:
-        h = jsonl.load(spark, [e.output for e in good], options, staged=True).cache()
+    if good and (args.report_dir or args.report or args.email):
+        spark = session()
+        rows = jsonl.staged_rows(spark, [e.output for e in good], by_input=True)  # every input is parsed once, for index and pages
+        wrong = jsonl.faults(rows)
+    if good and (args.email or args.report):
+        if wrong:
+            raise jsonl.MalformedInput(next(iter(wrong.values())))
+        h = jsonl.history_of(rows, options, multi=len(good) > 1).cache()
         pages = [(args.report, lambda: html.team_report(h, "All repositories", args.top, limits))] if args.report else []
         pages += [(os.path.join(args.output, "profile.html"), lambda: html.profile_report(h, args.email, f"{args.email}: {scan_label(args.root)}"))] if args.email else []
         for path, page in pages:
@@ -193,23 +199,49 @@ def run_scan(args: argparse.Namespace) -> int:
         h.uncache()
     if args.report_dir:
         os.makedirs(args.report_dir, exist_ok=True)
-        entries = []
-        for e in manifest.repositories:
-            entry = {"slug": e.slug, "status": e.status, "error": e.error}
-            if e.status == "ok":
-                h = jsonl.load(spark, e.output, options, staged=True).cache()
-                total = ranking.summary(h).first()
-                entry |= {"commits": total["total_commits"], "devs": total["total_devs"], "files": total["total_files"], "churn": total["total_additions"] + total["total_deletions"], "last_commit": total["last_commit"]}
-                with open(os.path.join(args.report_dir, f"{e.slug}.html"), "w", encoding="utf-8") as file:
-                    file.write(html.team_report(h, e.slug, args.top, limits))
-                h.uncache()
-            entries.append(entry)
+        failed = {good[i].slug: text for i, text in wrong.items()} if good else {}
+        if good:
+            for i, e in enumerate(good):
+                if i not in wrong and (text := repository_page(rows.where(F.col("input") == i), options, e.slug, args, limits)):
+                    failed[e.slug] = text
+        sound = [i for i, e in enumerate(good) if e.slug not in failed]
+        held, total = index_figures(jsonl.history_of(rows.where(F.col("input").isin(sound)), options, multi=True)) if sound else ({}, {})
+        entries = [index_entry(e, failed.get(e.slug), held.get(os.path.basename(e.output).removesuffix(".jsonl"), {})) for e in manifest.repositories]
         with open(os.path.join(args.report_dir, "index.html"), "w", encoding="utf-8") as file:
-            file.write(html.scan_index(entries, dt.datetime.now(dt.UTC).date()))
+            file.write(html.scan_index(entries, dt.datetime.now(dt.UTC).date(), total))
         print(f"{len(entries)} repositories, index written to {file_link(os.path.join(args.report_dir, 'index.html'))}", file=sys.stderr)
     return 0
 
 
+def repository_page(rows: DataFrame, options: Options, slug: str, args: argparse.Namespace, limits: Limits) -> str:
+    """Writes the report of one repository; what goes wrong with it is its own failure, returned as text, and leaves no page."""
+    path = os.path.join(args.report_dir, f"{slug}.html")
+    h = jsonl.history_of(rows, options).cache()
+    try:
+        text = html.team_report(h, slug, args.top, limits)
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(text)
+    except Exception as error:  # noqa: BLE001  the other repositories' pages and the index are still wanted
+        if os.path.exists(path):
+            os.remove(path)
+        return f"page: {error}"
+    finally:
+        h.uncache()
+    return ""
+
+
+def index_figures(h: History) -> tuple[dict[str, dict], dict]:
+    """Figures by repository, and of all: one query, whatever their number."""
+    found = [r.asDict() for r in fleet.repositories(h).collect()]  # a row for each repository
+    return {r["repo"]: r for r in found if not r["total"]}, next((r for r in found if r["total"]), {})
+
+
+def index_entry(entry: discovery.Entry, fault: str | None, figures: dict) -> dict:
+    """A repository's row of the index; one whose page or input was faulty counts as failed."""
+    out = {"slug": entry.slug, "path": entry.path, "status": "failed" if fault else entry.status, "error": fault or entry.error}
+    return out | {c: figures.get(c, "" if c.endswith("commit") else 0) for c in ("commits", "devs", "files", "churn", "first_commit", "last_commit")} if out["status"] == "ok" else out
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="chronolith", description="Questions about software history, answered by Spark.")
     commands = top.add_subparsers(dest="command", required=True)

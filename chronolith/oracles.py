@@ -180,6 +180,13 @@ def _activity(label: str) -> str:
     return f"{base()} SELECT {label} AS period, count(*) AS commits, CAST(sum(a) AS BIGINT) AS additions, CAST(sum(d) AS BIGINT) AS deletions FROM c GROUP BY 1 ORDER BY 1"
 
 
+#: Grouping sets over commits, and the same over files, side by side.
+_REPOSITORIES = f"""SELECT x.repo, x.repo IS NULL AS total, commits, devs, files, additions, deletions, additions + deletions AS churn, merges, first_commit, last_commit FROM
+ (SELECT repo, count(*) AS commits, count(DISTINCT email) AS devs, CAST(sum(a) AS BIGINT) AS additions, CAST(sum(d) AS BIGINT) AS deletions, count(*) FILTER (WHERE ord % 17 = 0) AS merges,
+   {_DAY.format('min(ts)')} AS first_commit, {_DAY.format('max(ts)')} AS last_commit FROM c GROUP BY GROUPING SETS ((repo), ())) x
+ JOIN (SELECT repo, count(DISTINCT repo || ' ' || file) AS files FROM f GROUP BY GROUPING SETS ((repo), ())) y ON x.repo IS NOT DISTINCT FROM y.repo"""
+
+
 def _diff() -> str:
     a = f"({base(since='1995-01-01', until='1997-12-31')} {_SUMMARY})"
     b = f"({base(since='1998-01-01', until='2001-12-31')} {_SUMMARY})"
@@ -223,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
         "structure_depth1": f"{fine}{_tree(1)}",
         "repo_breakdown": f"{base(multi=True)} {_breakdown()}",
         "repo_breakdown_dev": f"{base(multi=True)} {_breakdown('dev1@example.com')}",
+        "repositories": f"{base(multi=True)} {_REPOSITORIES}",
+        "repositories_window": f"{base(multi=True, **first)} {_REPOSITORIES}",
         "suspects": f"""{coarse} SELECT '*.lock' AS glob, 'generic lock file' AS reason, CAST(sum(a + d) FILTER (WHERE file LIKE '%.lock') AS BIGINT) AS churn,
  string_agg(DISTINCT file, ';' ORDER BY file) FILTER (WHERE file LIKE '%.lock') AS paths, '*.lock' AS suggestions, sum(a + d) FILTER (WHERE file LIKE '%.lock') / sum(a + d) >= {SUSPECT_FLOOR} AS worth_warning FROM f""",
         "diff": _diff(),
@@ -236,6 +245,7 @@ def oracle_sql() -> dict[str, str]:
     for name in ("summary", "summary_window", "hotspots_window", "working_patterns", "extensions", "churn_risk", "coupling", "dev_registry", "hotspots_renamed"):
         found[f"lines_{name}"] = found[name]
     found["lines_two_inputs"] = _two_inputs()
+    found["lines_repositories"] = _two_repositories()
     found["coupling_split_runs"] = found["lines_coupling_split_runs"] = f"{_split_runs()}{_COUPLING}"
     for name in ("summary_window", "hotspots_window", "churn_risk", "coupling"):
         found[f"store_{name}"] = found[name]
@@ -264,6 +274,13 @@ def _two_inputs() -> str:
  LEFT JOIN (SELECT repo, count(DISTINCT file) AS files FROM ({files}) GROUP BY repo) USING (repo)"""
 
 
+def _two_repositories() -> str:
+    """_REPOSITORIES of two inputs, each a period of the test bed."""
+    periods = (("history0", "1995-01-01", "1997-12-31"), ("history1", "1998-01-01", "2001-12-31"))
+    both = lambda rows: " UNION ALL ".join(f"SELECT '{repo}' AS repo, * EXCLUDE (repo) FROM ({base(since=since, until=until)} SELECT * FROM {rows})" for repo, since, until in periods)
+    return f"WITH c AS ({both('c')}), f AS ({both('f')}) {_REPOSITORIES}"
+
+
 def _split_runs() -> str:
     """File rows in halves of four commits; a run of one commit's neighbouring rows stands for the commit."""
     return f"""WITH l0 AS (SELECT l_orderkey AS k, ((l_orderkey // 4) * 2 + CAST(l_linenumber > 3 AS BIGINT)) * 4 + l_orderkey % 4 AS ord, {_PATH['coarse']} AS file,

@@ -122,17 +122,23 @@ def ago(day: str, now: dt.date) -> tuple[str, str]:
     return label, "fresh" if days <= 30 else "stable" if days <= 365 else "stale"
 
 
-def scan_index(entries: list[dict[str, Any]], now: dt.date) -> str:
-    """An index of repositories: failed ones first, then those that wait, then by commits."""
-    order = {"failed": 0, "skipped": 1, "pending": 1, "ok": 2}
+def scan_index(entries: list[dict[str, Any]], now: dt.date, total: dict[str, Any] | None = None) -> str:
+    """An index of repositories: failed ones first, then those that wait, then by commits. `total` counts over all that are
+    ok: commits, devs (each once, whatever the number of repositories), files, churn."""
+    entries = [{**e, "status": "pending" if e["status"] == "skipped" else e["status"]} for e in entries]
+    order = {"failed": 0, "pending": 1, "ok": 2}
     ranked = sorted(entries, key=lambda e: (order.get(e["status"], 3), -e.get("commits", 0), e["slug"]))
     most = max((e.get("commits", 0) for e in entries), default=0) or 1
     rows = []
     for e in ranked:
         label, bucket = ago(e.get("last_commit", ""), now)
+        dates = f"{e.get('first_commit', '')} to {e['last_commit']}" if e.get("last_commit") else ""
         link = f'<a href="{escape(e["slug"])}.html">{escape(e["slug"])}</a>' if e["status"] == "ok" else escape(e["slug"])
         bar = f'<progress max="{most}" value="{e.get("commits", 0)}"></progress>'
-        rows.append(f"<tr><td>{link}</td><td>{escape(e['status'])} {escape(e.get('error', ''))}</td>{_cell(e.get('commits', 0))}<td>{bar}</td>{_cell(e.get('devs', 0))}{_cell(e.get('files', 0))}{_cell(e.get('churn', 0))}<td>{escape(label)} {escape(bucket)}</td></tr>")
-    head = "<tr>" + "".join(f"<th>{c}</th>" for c in ("repository", "status", "commits", "", "devs", "files", "churn", "last commit")) + "</tr>"
+        state = f"<td>{escape(e['status'])} {escape(e.get('error', ''))}</td>"
+        rows.append(f'<tr title="{escape(e.get("path", ""))}"><td>{link}</td>{state}{_cell(e.get("commits", 0))}<td>{bar}</td>{_cell(e.get("devs", 0))}{_cell(e.get("files", 0))}{_cell(e.get("churn", 0))}<td>{escape(dates)}</td><td>{escape(label)} {escape(bucket)}</td></tr>')
+    head = "<tr>" + "".join(f"<th>{c}</th>" for c in ("repository", "status", "commits", "", "devs", "files", "churn", "dates", "last commit")) + "</tr>"
     counts = {s: sum(e["status"] == s for e in entries) for s in ("ok", "failed", "pending")}
-    return page("Repositories", [("Overview", f"<p>{len(entries)} repositories: {counts['ok']} ok, {counts['failed']} failed, {counts['pending']} pending</p><table>{head}{''.join(rows)}</table>")])
+    total = total or {}
+    cards = "".join(f'<span class="chip">{name}: {thousands(total.get(key, 0))}</span>' for name, key in (("Total commits", "commits"), ("Unique devs", "devs"), ("Files", "files"), ("Churn", "churn")))
+    return page("Repositories", [("Overview", f"<p>{len(entries)} repositories: {counts['ok']} ok, {counts['failed']} failed, {counts['pending']} pending</p><p>{cards}</p><table>{head}{''.join(rows)}</table>")])

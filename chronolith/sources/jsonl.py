@@ -77,7 +77,7 @@ def check(rows: DataFrame) -> None:
     """Raises MalformedInput with the first bad line of typed rows and its place: record and line of the file."""
     bad = rows.where("type = 'bad'").select("wrong", "repo", "ord").orderBy("ord").take(1)
     if bad:
-        raise MalformedInput(f"{bad[0]['repo']}, {_place(rows, bad[0]['ord'])}: {bad[0]['wrong'][:200]}")
+        raise MalformedInput(_fault(rows, bad[0]))
 
 
 def _place(rows: DataFrame, place: Row) -> str:
@@ -139,13 +139,28 @@ def history(commits: DataFrame, files: DataFrame, parents: DataFrame, options: O
     return History(commits, files, parents, options, multi)
 
 
-def staged_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The typed records of the inputs, parsed once into Parquet in the shared folder, by type: bad lines too, in the same job."""
+def staged_rows(spark: SparkSession, paths: list[str], by_input: bool = False) -> DataFrame:
+    """The typed records of the inputs, parsed once into Parquet in the shared folder, by type: bad lines too, in the same job.
+
+    by_input: by the number of their input as well (column `input`), so that one input's records can be read alone.
+    """
     rows, folder = typed(read_records(spark, paths)), new_folder(spark)
-    rows.write.partitionBy("type").parquet(folder)
+    if by_input:
+        rows = rows.withColumn("input", F.col("ord.file"))
+    rows.write.partitionBy("type", *(["input"] if by_input else [])).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def faults(rows: DataFrame) -> dict[int, str]:
+    """By input, its first bad line and where that stands; of rows staged by input. One job for all, and two for each faulty input."""
+    first = rows.where("type = 'bad'").groupBy("input").agg(F.min_by(F.struct("wrong", "repo", "ord"), "ord").alias("x")).collect()  # a row for each input
+    return {r["input"]: _fault(rows.where(F.col("input") == r["input"]), r["x"]) for r in first}
+
+
+def _fault(rows: DataFrame, bad: Row) -> str:
+    return f"{bad['repo']}, {_place(rows, bad['ord'])}: {bad['wrong'][:200]}"
+
+
 def load(spark: SparkSession, paths: list[str] | str, options: Options = Options(), strict: bool = True, staged: bool = False) -> History:
     """A history from one or more JSONL files, in the order given. strict: malformed lines are an error.
 

@@ -99,6 +99,14 @@ def read_lines(spark: SparkSession, *histories: History, options: Options = Opti
     return jsonl.load(spark, folders, options)
 
 
+def read_staged(spark: SparkSession, *histories: History, options: Options = Options()) -> History:
+    """The histories written as JSON lines and staged by input, as a scan of repositories reads them."""
+    folders = [f"{new_folder(spark)}/history{i}.jsonl" for i in range(len(histories))]
+    for h, folder in zip(histories, folders, strict=True):
+        write_lines(spark, h, folder)
+    return jsonl.history_of(jsonl.staged_rows(spark, folders, by_input=True), options, multi=True)
+
+
 def read_store(spark: SparkSession, h: History, options: Options = Options()) -> History:
     """The history written as JSON lines, made a month-clustered store of, and read from there."""
     folder = new_folder(spark)
