@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import basename, strip_repo
+from chronolith.plans.checkpoints import checkpointed
 from chronolith.plans.history import History
+from chronolith.plans.ordered import running
 from chronolith.schema import SUSPECT_FLOOR
 
 #: Fixed values: (glob, reason, kind of match, text), in the order in which they are tried.
@@ -84,26 +86,69 @@ def all_suggestions(h: History) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").orderBy(F.desc("churn"), "glob", "s").select("suggestion")
 
 
-def structure(h: History, max_depth: int = 0, max_children: int = 0) -> DataFrame:
+#: A directory with more children has them ranked in ranges, over several tasks.
+HOT_CHILDREN = 65_536
+
+
+def _parent(path: str) -> Column:
+    return F.when(F.instr(path, "/") == 0, "").otherwise(F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1))
+
+
+def _ancestors(folders: DataFrame) -> DataFrame:
+    """(path, depth, churn, files, own): each folder's sums under itself and every folder above it.
+
+    Folders are put in ranges of their paths first, so that those of one subtree stand together and a task adds up their
+    common ancestors before the shuffle: that moves about a row for each folder, and one for each task and level.
+    """
+    parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
+    ranged = folders.repartitionByRange("path").withColumn("parts", parts)
+    above = ranged.select("parts", "churn", "files", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"))
+    own = F.when(F.col("depth") == F.size("parts"), F.col("files")).otherwise(0)
+    return above.select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("path"), "depth", "churn", "files", own.alias("own"))
+
+
+def _directories(files: DataFrame) -> DataFrame:
+    """(path, depth, churn, files, own): every directory, the root '' included; `own` counts the files right in it."""
+    folders = files.groupBy(_parent("path").alias("path")).agg(F.sum("churn").alias("churn"), F.count(F.lit(1)).alias("files"))
+    return _ancestors(folders).groupBy("path", "depth").agg(*(F.sum(c).alias(c) for c in ("churn", "files", "own")))
+
+
+def _ranked(nodes: DataFrame, dirs: DataFrame, hot_children: int) -> DataFrame:
+    """`nodes` with their rank among siblings: directories first, then by churn and name. Children of hot directories are
+    ranked in ranges of that order (see ordered.running()), all others by a window."""
+    order = Window.partitionBy("parent").orderBy(F.desc("is_dir"), F.desc("churn"), "name")
+    light = nodes.withColumn("rank", F.row_number().over(order))
+    below = dirs.where("depth > 0").groupBy(_parent("path").alias("path")).agg(F.count(F.lit(1)).alias("folders"))
+    hot = dirs.join(below, "path", "left").where(F.col("own") + F.coalesce("folders", F.lit(0)) > hot_children).select(F.col("path").alias("parent"))
+    if hot.isEmpty():
+        return light
+    rest = nodes.join(hot, "parent", "left_anti").withColumn("rank", F.row_number().over(order))  # keeps the root, whose parent is null
+    place = F.concat(F.when(F.col("is_dir"), "0").otherwise("1"), F.lpad((F.lit(1 << 62) - F.col("churn")).cast("string"), 19, "0"), "name")
+    many = nodes.join(hot, "parent", "left_semi").withColumns({"place": place, "one": F.lit(1).cast("bigint")})
+    ranked = running(many, "place", ["one"], ["parent"], broadcast=False).withColumn("rank", (F.col("one_before") + 1).cast("int"))
+    return rest.unionByName(ranked.select(*rest.columns))
+
+
+def structure(h: History, max_depth: int = 0, max_children: int = 0, hot_children: int = HOT_CHILDREN) -> DataFrame:
     """A row for every directory and file: path, parent, name, is_dir, depth, commits, churn, files, truncated, hidden_children, rank.
 
     Directories sum what lies below them and have 0 commits. With max_depth, deeper nodes are left out and their
     directory is marked truncated; with max_children, a directory keeps so many, directories and churn first.
-    `rank` orders siblings. The root is the path ''.
+    `rank` orders siblings. The root is the path ''. Directories are summed from the folders that hold files, not from
+    the files, and written once (`checkpoint()`); `hot_children` changes how siblings are ranked, never a rank.
     """
-    files = h.file_facts.select(F.col("file").alias("path"), "commits", "churn", F.split("file", "/").alias("parts"))
-    depth = F.size("parts")
-    above = files.select("churn", F.explode(F.sequence(F.lit(0), depth - 1)).alias("depth"), "parts").select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("path"), "depth", "churn")
-    dirs = above.groupBy("path", "depth").agg(F.sum("churn").alias("churn"), F.count(F.lit(1)).alias("files")).select("path", F.lit(True).alias("is_dir"), "depth", F.lit(0).cast("bigint").alias("commits"), "churn", "files")
+    files = h.file_facts.select(F.col("file").alias("path"), "commits", "churn")
+    whole = checkpointed(_directories(files))
+    depth = F.size(F.split("path", "/"))
     leaves = files.select("path", F.lit(False).alias("is_dir"), depth.alias("depth"), "commits", "churn", F.lit(1).cast("bigint").alias("files"))
+    dirs = whole.select("path", F.lit(True).alias("is_dir"), "depth", F.lit(0).cast("bigint").alias("commits"), "churn", "files")
     nodes = dirs.unionByName(leaves)
-    parent = F.when(F.col("depth") == 0, F.lit(None)).when(F.instr("path", "/") == 0, "").otherwise(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1))
-    nodes = nodes.select("path", parent.alias("parent"), F.when(F.col("depth") == 0, ".").otherwise(basename(F.col("path"))).alias("name"), "is_dir", "depth", "commits", "churn", "files")
     if max_depth > 0:
         nodes = nodes.where(F.col("depth") <= max_depth)
+    top = F.col("depth") == 0
+    nodes = nodes.select("path", F.when(~top, _parent("path")).alias("parent"), F.when(top, ".").otherwise(basename(F.col("path"))).alias("name"), "is_dir", "depth", "commits", "churn", "files")
     cut = F.col("is_dir") & (F.col("depth") == max_depth) if max_depth > 0 else F.lit(False)
-    siblings = Window.partitionBy("parent").orderBy(F.desc("is_dir"), F.desc("churn"), "name")
-    nodes = nodes.withColumn("truncated", cut).withColumn("rank", F.row_number().over(siblings))
+    nodes = _ranked(nodes.withColumn("truncated", cut), whole, hot_children)
     if max_children > 0:
         hidden = nodes.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.greatest(F.count(F.lit(1)) - max_children, F.lit(0)).alias("hidden_children"))
         gone = nodes.where((F.col("rank") > max_children) & F.col("is_dir") & F.col("parent").isNotNull()).select(F.col("path").alias("gone"))

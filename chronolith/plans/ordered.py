@@ -33,10 +33,11 @@ def range_of(key: Column, cuts: list) -> Column:
     return between(0, len(cuts))
 
 
-def running(rows: DataFrame, key: str, sums: list[str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
+def running(rows: DataFrame, key: str, sums: list[str], by: list[str] | None = None, descending: bool = False, broadcast: bool = True) -> DataFrame:
     """`rows`, whose keys differ, with <name>_before (the sum of all rows before) and <name>_all for each of `sums`.
 
-    With `by`, every group of these columns is an order of its own; the groups share their cut points.
+    With `by`, every group of these columns is an order of its own; the groups share their cut points. `broadcast` is for
+    groups whose number is bounded; without it the sums of ranges meet their rows in a join by group and range.
     """
     by = by or []
     part = range_of(F.col(key), cut_points(rows, key))
@@ -46,5 +47,5 @@ def running(rows: DataFrame, key: str, sums: list[str], by: list[str] | None = N
     upto = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select(*by, "part", *(F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(f"{s}_offset") for s in sums), *(F.sum(s).over(whole).alias(f"{s}_all") for s in sums))
     inside = Window.partitionBy(*by, "part").orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumns({f"{s}_inside": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(offsets), [*by, "part"])
+    placed = ranged.withColumns({f"{s}_inside": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(offsets) if broadcast else offsets, [*by, "part"])
     return placed.select(*rows.columns, *((F.col(f"{s}_offset") + F.col(f"{s}_inside")).alias(f"{s}_before") for s in sums), *(f"{s}_all" for s in sums))
