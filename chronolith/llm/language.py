@@ -13,13 +13,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import in_training, saved, small, table
 
-#: The learner sees about so many rows of each language at most, chosen by a hash of their id.
+#: The learner sees about so many ids of each language, chosen by a hash, and so many rows of each: of an id that is repeated
+#: more often, the first by a hash of their texts.
 ROWS_PER_LANGUAGE = 700
+ROWS_PER_ID = 4
 COLUMNS = 1 << 14
 ORDERS = (1, 2, 3)
 EPOCHS = 3
@@ -173,16 +175,18 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learns from the rows that in_training() admits, about `rows_per_language` of each language at most.
+    """Learns from the rows that in_training() admits: about `rows_per_language` ids of each language at most, ROWS_PER_ID rows of each.
 
     Document frequencies are counted over all admitted rows. Of the sample the driver gets counts, COLUMNS a row at
     most, so the length of texts plays no part; it holds every language that has a row. Rows with a null text or
-    language are not used; empty texts count as rows without letters; repeated rows count as often; ties
-    between languages go to the first by name; without admitted rows the model knows no language.
+    language are not used; empty texts count as rows without letters; repeated rows count as often, up to ROWS_PER_ID times
+    of an id (null ids are one); ties between languages go to the first by name; without admitted rows the model knows
+    no language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & in_training(F.col(id_col)))
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = labelled.groupBy("lang").agg((F.lit(float(1 << 30)) * F.least(F.lit(1.0), rows_per_language / F.count(F.lit(1)))).cast("bigint").alias("share"))
+    ids = F.least(F.count(F.lit(1)), F.approx_count_distinct(F.coalesce("id", F.lit(0))))  # rows, or fewer where ids are repeated
+    share = labelled.groupBy("lang").agg((F.lit(float(1 << 30)) * F.least(F.lit(1.0), rows_per_language / ids)).cast("bigint").alias("share"))
 
     @F.pandas_udf("columns array<int>, counts array<int>")
     def counted(series: pd.Series) -> pd.DataFrame:
@@ -190,7 +194,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pd.DataFrame({"columns": [c.astype(np.int32) for c, _, _ in found], "counts": [np.minimum(n, (1 << 31) - 1).astype(np.int32) for _, n, _ in found]})
 
     chosen = labelled.join(small(saved(share)), "lang").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < F.col("share"))
-    sample = chosen.select("id", "lang", F.xxhash64("text").alias("th"), counted("text").alias("c")).collect()
+    of_id = Window.partitionBy("lang", "id").orderBy(F.xxhash64("text"), "text")
+    bounded = chosen.withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= ROWS_PER_ID)  # each task keeps no more before the shuffle
+    sample = bounded.select("id", "lang", F.xxhash64("text").alias("th"), counted("text").alias("c")).collect()
     if not sample:
         return Model([])
     sample.sort(key=lambda r: (r["id"] is None, r["id"], r["th"]))
@@ -199,7 +205,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` with lang_pred and score (which replace columns of those names).
+    """The rows and columns of `docs`, whatever their names, with lang_pred and score (which replace columns of those names).
 
     Null texts and texts without a letter are `und` with score 0; texts of any length are read whole; repeated
     rows get equal predictions; with no labelled row to learn from, every text is `und`.
@@ -212,7 +218,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             found = [shared.value.predict(t) for t in series]
             yield pd.DataFrame({"lang_pred": pd.Series([x for x, _ in found], dtype=object), "score": pd.Series([x for _, x in found], dtype="float64")})
 
-    return docs.withColumn("__p", predict(F.col(text_col))).select(*(c for c in docs.columns if c not in ("lang_pred", "score")), F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), predict(F.col(text_col)).alias("p"))
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")), "p.lang_pred", "p.score")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     No contract sets op8's shingles and bits here: groups are linked by five-word shingles at similarity 0.8 or more.
     The row with the smallest id stays; a null id comes after all others; of rows that share an id, that of the
-    smaller text; of rows that agree in both, the first by all columns. Rows of one id whose texts are not alike are
+    smaller text; of rows that agree in both, the first by all columns (those that hold maps by their JSON text). Rows of one id whose texts are not alike are
     groups of their own and all stay. Texts without words (null, empty, blank) are one group; the longest texts are
     read whole; an empty table gives no rows.
     """
@@ -139,4 +139,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = F.col(id_col).cast("bigint")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), similar.text_hash(F.col(text_col)).alias("th"))
     key = ["id", "no_id", "th"]  # one shuffle serves the join and the choice among repeated rows
-    return rows.join(firsts, key).groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
+    return rows.join(firsts, key).groupBy(*key).agg(_least(docs).alias("row")).select("row.*")
+
+
+def _least(docs: DataFrame) -> Column:
+    """The least of the structs `row`, which hold the columns of `docs`; maps have no order of their own."""
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    if not maps:
+        return F.min("row")
+    return F.min_by("row", F.struct(*(F.to_json(F.struct(F.col("row")[c])) if c in maps else F.col("row")[c] for c in docs.columns)))

@@ -19,14 +19,16 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import discard, in_training, saved, small, table
 
 THRESHOLD = 0.3
-#: The learner sees at most about so many labelled rows, chosen by a hash of their id.
+#: The learner sees so many labelled ids at most, chosen by a hash, and so many rows of each: of an id that is repeated
+#: more often, the first by a hash of their texts.
 FIT_ROWS = 24_000
+ROWS_PER_ID = 4
 MAX_ENTRIES = 4_000
 MIN_TOXIC_DOCS = 4
 MIN_CLEAN_DOCS = 5
@@ -155,18 +157,20 @@ def _weighted(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, max_entries: int = MAX_ENTRIES) -> Lexicon:
-    """Learns from labelled rows that in_training() admits, about `fit_rows` at most. Without any, every score is the curve's low end.
+    """Learns from labelled rows that in_training() admits: `fit_rows` ids at most, ROWS_PER_ID rows of each. Without any, every score is the curve's low end.
 
     Null labels and labels of absent documents are not used; an id that is labelled twice has its greater label; null
     and empty texts count as rows without entries; the longest texts are read whole; a document that is repeated
-    counts as often. The lexicon keeps the `max_entries` entries of greatest weight (ties by their letters), and as
+    counts as often, up to ROWS_PER_ID times. The lexicon keeps the `max_entries` entries of greatest weight (ties by their letters), and as
     many exception phrases, most frequent first.
     """
     chosen = labels.where(F.col("toxic").isNotNull() & in_training(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    many = chosen.count()
-    chosen = chosen.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(1, many))))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(saved(chosen)), id_col)
+    chosen = saved(chosen.orderBy(F.xxhash64(F.col(id_col), F.lit("fit")), id_col).limit(fit_rows))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(chosen), id_col)
+    of_id = Window.partitionBy(id_col).orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= ROWS_PER_ID)
     rows = saved(rows.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0).alias("first")))
+    discard(chosen)
     first = rows.where("first")
     n_toxic, n_clean = first.where("toxic = 1").count(), first.where("toxic <> 1").count()
     best = _weighted(_by_label(first, _entries), n_toxic, n_clean).orderBy(F.desc("weight"), "entry").limit(max_entries)
@@ -199,7 +203,11 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", s
     Null and empty texts have no match and get the curve's low end; texts of any length are read whole;
     repeated rows get equal scores; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries and phrases
+    return docs.withColumn(score_col, _scorer(docs.sparkSession, lexicon)(F.col(text_col)))
+
+
+def _scorer(spark: SparkSession, lexicon: Lexicon) -> Callable[[Column], Column]:
+    shared = spark.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries and phrases
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -207,7 +215,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", s
         for series in texts:
             yield pd.Series([machine.score(t or "") for t in series], dtype="float64")
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    return score
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +226,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, with their own columns.
+    """The rows of `docs` that score below the threshold, with their own columns, whatever their names.
 
     Null and empty texts score at the curve's low end and so stay; repeated rows stay or go together; texts of any
     length are scored whole; an empty table gives no rows.
     """
-    return score_documents(docs, lexicon, text_col, "__score").where(F.col("__score") < threshold).drop("__score")
+    scored = docs.select(F.struct(*docs.columns).alias("row"), _scorer(docs.sparkSession, lexicon)(F.col(text_col)).alias("score"))
+    return scored.where(F.col("score") < threshold).select("row.*")
