@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith import testbed
-from chronolith.operators import compose, fleet, ownership, pairs, profiles, ranking, risk, structure
+from chronolith.operators import compose, fleet, merged, ownership, pairs, profiles, ranking, risk, structure
 from chronolith.plans.history import History
 from chronolith.schema import Limits, Options
 from chronolith.sources.jsonl import developers
@@ -90,6 +90,12 @@ def queries() -> dict[str, Query]:
     stored = {"summary_window": ("fine", ranking.summary, FIRST), "hotspots_window": ("fine", lambda h: ranking.hotspots(h, 0), FIRST), "churn_risk": ("fine", lambda h: risk.churn_risk(h, 0), Options()), "coupling": ("coarse", lambda h: pairs.coupling(h, 0), Options())}
     for name, (kind, stat, options) in stored.items():  # through JSON lines and the month-clustered store
         found[f"store_{name}"] = lambda spark, d, kind=kind, stat=stat, options=options: stat(testbed.read_store(spark, testbed.history(spark, d, kind), options))
+    months = {"since": FIRST.since[:7], "until": FIRST.until[:7]}
+    sets = {"contributors": ("fine", merged.contributors), "extensions": ("fine", merged.extensions), "directories": ("coarse", merged.directories)}
+    for name, (kind, stat) in sets.items():  # from partial states of months, of all and of some of them
+        found[f"merged_{name}"] = lambda spark, d, kind=kind, stat=stat: stat(testbed.read_merged(spark, testbed.history(spark, d, kind)), 0)
+        found[f"merged_{name}_window"] = lambda spark, d, kind=kind, stat=stat: stat(testbed.read_merged(spark, testbed.history(spark, d, kind), **months), 0)
+    found["merged_contributors_two_parts"] = lambda spark, d: merged.contributors(testbed.read_merged(spark, testbed.history(spark, d, options=FIRST), testbed.history(spark, d, options=SECOND)), 0)
     found["odd_coupling"] = lambda spark, d: pairs.coupling(testbed.odd_history(spark, d), 0)
     found["odd_suspects"] = lambda spark, d: structure.suspects(testbed.odd_history(spark, d)).select("glob", "reason", "churn", F.size("paths").cast("bigint").alias("files"), F.array_join("suggestions", ";").alias("suggestions"), "worth_warning")
     for g in ("day", "week", "month", "year"):

@@ -249,6 +249,11 @@ def oracle_sql() -> dict[str, str]:
     found["coupling_split_runs"] = found["lines_coupling_split_runs"] = f"{_split_runs()}{_COUPLING}"
     for name in ("summary_window", "hotspots_window", "churn_risk", "coupling"):
         found[f"store_{name}"] = found[name]
+    without = "SELECT * EXCLUDE (recent_churn) FROM"
+    found["merged_contributors"], found["merged_directories"], found["merged_extensions"] = found["contributors"], found["directories"], f"{fine} {without} ({_EXTENSIONS})"
+    found["merged_contributors_window"], found["merged_directories_window"] = f"{base(**first)} {_CONTRIBUTORS}", f"{base('coarse', **first)} {_DIRECTORIES}"
+    found["merged_extensions_window"] = f"{base(**first)} {without} ({_EXTENSIONS})"
+    found["merged_contributors_two_parts"] = f"{base(since='1995-01-01', until='2001-12-31')} {_CONTRIBUTORS}"
     found["odd_coupling"] = f"{_odd()}{_COUPLING}"
     found["odd_suspects"] = f"""{_odd()}, p AS (SELECT file, sum(a) AS churn FROM f GROUP BY file),
 t AS (SELECT p.file, p.churn, s.pattern, s.reason, CASE WHEN prefix AND strpos(file, '/') > 0 THEN regexp_extract(file, '^(.*?)/?' || replace(pattern, '/*', '') || '/', 1) || '/' || pattern ELSE pattern END AS suggestion

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import epoch
+from chronolith.plans import partials
 from chronolith.plans.checkpoints import new_folder
 from chronolith.plans.history import History
 from chronolith.schema import Options
@@ -115,6 +116,14 @@ def read_store(spark: SparkSession, h: History, options: Options = Options()) ->
     return store.read(spark, f"{folder}/store", options)
 
 
+def read_merged(spark: SparkSession, *histories: History, since: str = "", until: str = "") -> partials.Merged:
+    """The histories as partial states of months, each a part, in the months asked for."""
+    folder = new_folder(spark)
+    for h in histories:
+        partials.add(h, folder)
+    return partials.Merged(spark, folder, since, until)
+
+
 def write_lines(spark: SparkSession, h: History, folder: str) -> None:
     """A history as JSON lines, one folder of files: what jsonl.load() reads. File rows stand in the history's order; dates are written in the author's zone."""
     zone = F.round((epoch(F.col("ts_local")) - epoch(F.col("ts"))) / 3600).cast("int")
