@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators import compose, fleet, ownership, pairs, profiles, ranking, risk, structure
+from chronolith.plans.checkpoints import released
 from chronolith.plans.history import History
 from chronolith.plans.together import together
 from chronolith.schema import Limits, Options
@@ -45,7 +46,7 @@ def scan_label(roots: list[str]) -> str:
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("chronolith").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("chronolith").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
 
 
 def since_date(text: str, today: dt.date | None = None) -> str:
@@ -319,7 +320,8 @@ def main(argv: list[str] | None = None) -> int:
     if getattr(args, "input", "") is None:
         args.input = ["history.jsonl"]
     try:
-        return args.run(args)
+        with released():  # parsed copies of the inputs go when the command ends
+            return args.run(args)
     except (UsageError, LookupError, TimeoutError, extract.StateError, jsonl.MalformedInput) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that the innermost released() block has handed out; each thread has its own.
+_lent: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("lent", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, local mode (tests) gets one of its own; on a cluster it is an error."""
@@ -24,7 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession) -> str:
     """The path of a folder in the shared one that nobody has used."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if _lent.get() is not None:
+        _lent.get().append((spark, folder))
+    return folder
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Folders that new_folder() names inside are removed when the block ends, with an error too. What the block returns
+    must not read them. Outside of such a block they stay."""
+    before = _lent.set([])
+    try:
+        yield
+    finally:
+        lent = _lent.get()
+        _lent.reset(before)
+        for spark, folder in lent:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

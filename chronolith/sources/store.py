@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.plans.checkpoints import released
 from chronolith.plans.history import History
 from chronolith.schema import Options
 from chronolith.sources import jsonl
@@ -25,6 +26,7 @@ TABLES = {
 }
 
 
+@released()  # the typed records that it stages
 def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
     """Writes the inputs, in the order given, as a store. Malformed lines are an error; nothing is written then."""
     paths = [paths] if isinstance(paths, str) else list(paths)

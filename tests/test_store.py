@@ -1,11 +1,14 @@
 """The month-clustered store and the streamed store, against the loader."""
 
 import json
+import pathlib
 
 import pytest
 from history_records import change, commit, parent
 
+from chronolith import cli
 from chronolith.operators import pairs, ranking
+from chronolith.plans import checkpoints
 from chronolith.schema import Limits, Options
 from chronolith.sources import jsonl, store
 from chronolith.streaming import incremental
@@ -129,3 +132,20 @@ def test_streamed_store_equals_loader_and_keeps_bad_lines_apart(spark, tmp_path)
     batch = spark.read.schema(jsonl.T.StructType(jsonl.RECORD.fields + [jsonl.T.StructField(jsonl.CORRUPT, jsonl.T.StringType())])).json(str(source / "2.jsonl")).selectExpr("*", "_metadata.file_path AS part", "_metadata.file_block_start AS block")
     incremental.write_batch(batch, 2, kept, "in")  # a batch that is run again takes the place of its first run
     assert content(incremental.read(spark, kept)) == before and incremental.quarantine(spark, kept).count() == 2
+
+
+def test_staged_records_go_when_their_reader_ends(spark, tmp_path, capsys):
+    """Of a store's writer, of a command and of one that fails; folders named outside of such a block stay."""
+    shared = pathlib.Path(checkpoints.shared_folder(spark))
+    kept = pathlib.Path(checkpoints.new_folder(spark))
+    kept.mkdir()
+    names = lambda: sorted(x.name for x in shared.iterdir())
+    before, path = names(), write(tmp_path / "h.jsonl", [commit("a"), change("a", "f.py", 3)])
+    store.write(spark, path, str(tmp_path / "store"))
+    assert names() == before
+    assert cli.main(["stats", "--input", path, "--stat", "summary", "--format", "csv"]) == 0
+    assert "total_commits" in capsys.readouterr().out and names() == before
+    (tmp_path / "bad.jsonl").write_text("no record")
+    assert cli.main(["stats", "--input", str(tmp_path / "bad.jsonl")]) == 2
+    assert names() == before and kept.name in before
+    assert store.read(spark, str(tmp_path / "store")).files.count() == 1
