@@ -287,11 +287,13 @@ def _two_repositories() -> str:
 
 
 def _split_runs() -> str:
-    """File rows in halves of four commits; a run of one commit's neighbouring rows stands for the commit."""
+    """File rows in halves of four commits; a run of one commit's neighbouring rows stands for the commit.
+
+    Rows of one half tie in (ord, k), so the running sum takes them together (RANGE): which of them lag() saw first plays no part."""
     return f"""WITH l0 AS (SELECT l_orderkey AS k, ((l_orderkey // 4) * 2 + CAST(l_linenumber > 3 AS BIGINT)) * 4 + l_orderkey % 4 AS ord, {_PATH['coarse']} AS file,
   CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE trunc(l_quantity) END AS BIGINT) AS a, CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE round(l_discount * 100) END AS BIGINT) AS d FROM lineitem JOIN part ON p_partkey = l_partkey),
 l1 AS (SELECT *, CASE WHEN k = lag(k) OVER (ORDER BY ord, k) THEN 0 ELSE 1 END AS starts FROM l0),
-f AS (SELECT sum(starts) OVER (ORDER BY ord, k ROWS UNBOUNDED PRECEDING) AS sha, file, a, d FROM l1)"""
+f AS (SELECT sum(starts) OVER (ORDER BY ord, k RANGE UNBOUNDED PRECEDING) AS sha, file, a, d FROM l1)"""
 
 
 def _odd() -> str:
