@@ -16,8 +16,10 @@ def _run_paths(h: History) -> DataFrame:
 
     Rows of one commit that stand apart in the input are runs of their own. One shuffle by run is shared by pairs and counts.
     """
-    rows = with_runs(h.touches.select("sha", "path", "file", "lines", "ord"), "sha").drop("sha", "ord").repartition("input", "run")
-    return rows.groupBy("input", "run", "path", "file").agg(F.sum("lines").alias("lines"))
+    paths = ["path"] if h.canonical is None else ["path", "file"]
+    rows = with_runs(h.changes.select("sha", *paths, "lines", "ord"), "sha").drop("sha", "ord").repartition("input", "run")
+    rows = rows.groupBy("input", "run", *paths).agg(F.sum("lines").alias("lines"))
+    return rows if "file" in paths else rows.withColumn("file", F.col("path"))
 
 
 def file_changes(h: History) -> DataFrame:

@@ -51,6 +51,13 @@ def released() -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once, as Parquet in the shared folder, and read from there."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder."""
     shared_folder(df.sparkSession)

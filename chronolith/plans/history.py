@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import epoch, extension, minus_months, months
+from chronolith.plans.checkpoints import written
 from chronolith.plans.lineage import canonical_paths
 from chronolith.schema import TREND_MONTHS, Options
 
@@ -20,6 +21,8 @@ class History:
     commits: repo, sha, name, email, ts, ts_local (TIMESTAMP_NTZ), additions, deletions, files_changed, message, ord
     files: repo, sha, path, status, old_path, new_path, additions, deletions, ord
     parents: repo, sha
+    A source that knows the commit of every file row may give files its email and ts as well, which spares the join; one whose
+    commits cost a join may give `headers`, the same rows without additions, deletions and files_changed.
     A null email marks no author; an empty one is a contributor. `ord` is the order of the input.
     """
 
@@ -30,6 +33,12 @@ class History:
     multi: bool = False
     renames: bool = True  # False: known to hold no rename, which spares the search for them
     kept: dict[str, DataFrame] = field(default_factory=dict)  # results that several statistics share
+    headers: DataFrame | None = None
+
+    @property
+    def heads(self) -> DataFrame:
+        """Commits, for what reads no sums of theirs."""
+        return self.commits if self.headers is None else self.headers
 
     @cached_property
     def distinct_commits(self) -> DataFrame:
@@ -41,18 +50,20 @@ class History:
     @cached_property
     def names(self) -> DataFrame:
         """(email, name): the name that an author was first seen with."""
-        return self.commits.groupBy("email").agg(F.min_by("name", "ord").alias("name"))
+        return self.heads.groupBy("email").agg(F.min_by("name", "ord").alias("name"))
 
     @cached_property
     def latest(self) -> DataFrame:
         """One row: the date of the newest commit and of the oldest."""
-        return self.commits.agg(F.max("ts").alias("latest"), F.min("ts").alias("earliest"))
+        return self.heads.agg(F.max("ts").alias("latest"), F.min("ts").alias("earliest"))
 
     @cached_property
     def _authored(self) -> DataFrame:
         """File rows with author and date of their commit, raw paths."""
         cols = ["email", "ts"]
-        who = self.commits.groupBy("repo", "sha").agg(F.max_by(F.struct(*cols), "ord").alias("c"))
+        if set(cols) <= set(self.files.columns):
+            return self.files.select("repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", *cols, F.lit(True).alias("known"), "ord")
+        who = self.heads.groupBy("repo", "sha").agg(F.max_by(F.struct(*cols), "ord").alias("c"))
         return self.files.join(who, ["repo", "sha"], "left").select(
             "repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", F.col("c.email").alias("email"), F.col("c.ts").alias("ts"), F.col("c").isNotNull().alias("known"), "ord"
         )
@@ -66,7 +77,14 @@ class History:
     @cached_property
     def touches(self) -> DataFrame:
         """File rows under their canonical path, with lines changed."""
-        rows = self._authored
+        return self._under_canonical(self._authored)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Touches without what their commits hold: no join with these."""
+        return self._under_canonical(self.files)
+
+    def _under_canonical(self, rows: DataFrame) -> DataFrame:
         if self.canonical is not None:
             rows = rows.join(self.canonical, "path", "left").withColumn("file", F.coalesce("canonical", "path")).drop("canonical")
         else:
@@ -100,10 +118,29 @@ class History:
         inside = Window.partitionBy("file", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return lines.withColumn("inside", F.max("ts").over(inside)).join(splits, ["file", "block"]).select("repo", "sha", "ord", F.greatest("inside", "earlier").alias("seen"))
 
+    @cached_property
+    def author_facts(self) -> DataFrame:
+        """One row for each canonical file, path that it had and author: one pass over all touches, written once, for every
+        statistic of files and of their owners."""
+        rows = self.decayed_touches.drop("anchor").crossJoin(F.broadcast(self.bounds.select("cutoff")))  # one row
+        month, dated = months("ts"), F.col("ts").isNotNull()
+        one_path = self.canonical is None
+        facts = rows.groupBy("path", "email", "known", *([] if one_path else ["file"])).agg(
+            F.count(F.lit(1)).alias("touches"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+            F.sum(F.when(dated & (month < F.col("cutoff")), F.col("lines"))).alias("earlier"), F.sum(F.when(dated & (month >= F.col("cutoff")), F.col("lines"))).alias("later"),
+        )
+        facts = written(facts)
+        if one_path:
+            facts = facts.withColumn("file", F.col("path"))
+        return facts.withColumn("lines", F.col("additions") + F.col("deletions"))
+
     @cached_property
     def file_dev(self) -> DataFrame:
         """(file, email, lines, touches): who changed a canonical file; lines may be 0."""
-        return self.touches.where("known").groupBy("file", "email").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("touches"))
+        known = self.author_facts.where("known")
+        if self.canonical is None:  # a row each already
+            return known.select("file", "email", "lines", "touches")
+        return known.groupBy("file", "email").agg(F.sum("lines").alias("lines"), F.sum("touches").alias("touches"))
 
     @cached_property
     def authored(self) -> DataFrame:
@@ -117,14 +154,9 @@ class History:
 
     @cached_property
     def path_facts(self) -> DataFrame:
-        """One row for each canonical file and path that it had: one pass over all touches, for every statistic of files."""
-        rows = self.decayed_touches.drop("anchor").crossJoin(F.broadcast(self.bounds.select("cutoff")))  # one row
-        month, dated = months("ts"), F.col("ts").isNotNull()
-        return rows.groupBy("file", "path").agg(
-            F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("lines").alias("churn"),
-            F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-            F.sum(F.when(dated & (month < F.col("cutoff")), F.col("lines"))).alias("earlier"), F.sum(F.when(dated & (month >= F.col("cutoff")), F.col("lines"))).alias("later"),
-        )
+        """One row for each canonical file and path that it had."""
+        sums = {"touches": "commits", "additions": "additions", "deletions": "deletions", "lines": "churn", "micro": "micro", "earlier": "earlier", "later": "later"}
+        return self.author_facts.groupBy("file", "path").agg(*(F.sum(c).alias(name) for c, name in sums.items()), F.min("first").alias("first"), F.max("last").alias("last"))
 
     @cached_property
     def file_facts(self) -> DataFrame:

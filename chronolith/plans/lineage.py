@@ -20,6 +20,7 @@ DRIVER_EDGES = 100_000
 def surviving_edges(touches: DataFrame) -> DataFrame:
     """(path, next): at most one edge for each path."""
     edges = touches.where("status LIKE 'R%' AND old_path <> '' AND new_path <> '' AND old_path <> new_path").select("old_path", "new_path", "ts", "ord")
+    edges = checkpointed(edges)  # few beside the touches, and read four times
     used = touches.groupBy("path").agg(F.max("ts").alias("changed"))
     targets = edges.select(F.col("new_path").alias("old_path"), F.lit(True).alias("target")).distinct()
     sides = edges.select(F.col("old_path").alias("p"), "ts").unionAll(edges.select(F.col("new_path").alias("p"), "ts"))
