@@ -28,6 +28,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered words per worker; beyond it the table starts anew. Very long words are not kept.
 REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
+#: Pairs of ids whose rank a worker remembers.
+REMEMBERED_PAIRS = 300_000
+#: Characters that are encoded at a time: a worker holds lists over every byte of a slice's new words.
+PIECE_CHARS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,16 +48,17 @@ class MergeReplay:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
-        self.pair_ids: dict[tuple[int, int], int] = {}  # pair of ids -> rank of their concatenation, -1 if none
+        self.pair_ids: dict[int, int] = {}  # pair of ids, as one number -> rank of their concatenation, -1 if none
         self.known: dict[str, bytes] = {}
 
     def _pair(self, a: int, b: int) -> int:
-        rank = self.pair_ids.get((a, b))
+        key = a << 32 | b
+        rank = self.pair_ids.get(key)
         if rank is None:
             rank = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-            if len(self.pair_ids) > 1_000_000:
+            if len(self.pair_ids) >= REMEMBERED_PAIRS:
                 self.pair_ids.clear()
-            self.pair_ids[(a, b)] = rank
+            self.pair_ids[key] = rank
         return rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -132,7 +137,7 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def _pieces(texts: list[str], chars: int = PIECE_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about so many characters; a longer text is a run of its own."""
     run, held = [], 0
     for text in texts:
