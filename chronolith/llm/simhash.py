@@ -107,17 +107,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id; texts of any length are read whole; an empty table gives no rows; no other column is read.
     """
     marked = saved(fingerprints(docs, id_col, text_col, size, seed))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(distinct.select("fp"))
-    roots = components(edges)
-    discard(edges)
-    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    nodes = saved(nodes)
+    nodes = _nodes(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = nodes.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _nodes(distinct: DataFrame) -> DataFrame:
+    """Different fingerprints `fp` with their columns and `root`, a number of their component; saved."""
+    edges = links(distinct.select("fp"))
+    roots = components(edges)
+    discard(edges)
+    return saved(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -127,13 +130,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with its own columns.
 
-    No contract sets op8's shingles and bits here: groups are linked by five-word shingles at similarity 0.8 or more.
+    Texts are linked by their fingerprints, as op8 links them (two bits), and by five-word shingles at similarity 0.8 or more,
+    where fingerprints lie further apart; what either link reaches is one group.
     The row with the smallest id stays; a null id comes after all others; of rows that share an id, that of the
     smaller text; of rows that agree in both, the first by all columns (those that hold maps by their JSON text). Rows of one id whose texts are not alike are
     groups of their own and all stay. Texts without words (null, empty, blank) are one group; the longest texts are
     read whole; an empty table gives no rows.
     """
-    found = similar.groups(docs, id_col, text_col)
+    found = _with_fingerprints(docs, similar.groups(docs, id_col, text_col), text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")
     firsts = found.groupBy("root").agg(first).select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), F.col("x.no_id").alias("no_id"), F.col("x.th").alias("th"))
     own = F.col(id_col).cast("bigint")
@@ -142,6 +146,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(firsts, key).groupBy(*key).agg(_least(docs).alias("row")).select("row.*")
 
 
+def _with_fingerprints(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """similar.groups() whose roots are merged where a component of fingerprints holds several."""
+    texts = docs.select(similar.text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    marked = saved(fingerprints(texts, "th", "text").withColumnRenamed("doc_id", "th"))
+    nodes = _nodes(marked.select("fp").distinct())
+    found = saved(found)
+    placed = found.select("th", "root").distinct().join(marked.join(nodes.withColumnRenamed("root", "bits"), "fp").select("th", "bits").distinct(), "th").select("bits", "root").distinct()
+    least = placed.groupBy("bits").agg(F.min("root").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bits", "a")
+    merged = components(placed.join(least, "bits").where("a <> root").select("a", F.col("root").alias("b"))).withColumnRenamed("root", "merged")
+    return found.join(merged, found["root"] == merged["node"], "left").select("doc_id", "th", F.coalesce("merged", "root").alias("root"))
+
+
 def _least(docs: DataFrame) -> Column:
     """The least of the structs `row`, which hold the columns of `docs`; maps have no order of their own."""
     maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}

@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word shingles alike at 0.8 or more.
+    """The document with the smallest id of each group of near-duplicates: SimHash fingerprints two bits apart at most, or
+    five-word shingles alike at 0.8 or more.
 
     Null, empty and blank texts are one group; a row that is repeated stays once; a null id comes after all others;
     rows of one id whose texts are not alike all stay; texts are read whole; an empty table stays empty.
