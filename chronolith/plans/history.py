@@ -15,13 +15,23 @@ from chronolith.plans.lineage import canonical_paths
 from chronolith.schema import TREND_MONTHS, Options
 
 
+def with_authors(files: DataFrame, commits: DataFrame) -> DataFrame:
+    """File rows with email and ts of their commit (the last of the input, if it stands there more than once), and whether there is one."""
+    who = commits.groupBy("repo", "sha").agg(F.max_by(F.struct("email", "ts"), "ord").alias("c"))
+    rows = files.select("repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", "ord")
+    return rows.join(who, ["repo", "sha"], "left").select(
+        "repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", F.col("c.email").alias("email"), F.col("c.ts").alias("ts"), F.col("c").isNotNull().alias("known"), "ord"
+    )
+
+
 @dataclass
 class History:
     """
     commits: repo, sha, name, email, ts, ts_local (TIMESTAMP_NTZ), additions, deletions, files_changed, message, ord
     files: repo, sha, path, status, old_path, new_path, additions, deletions, ord
     parents: repo, sha
-    A source that knows the commit of every file row may give files its email and ts as well, which spares the join; one whose
+    A source that knows the commit of every file row may give files its email and ts as well, which spares the join; `owned`
+    are file rows with these two and `known` (false where there is no such commit), of a source that keeps them so; one whose
     commits cost a join may give `headers`, the same rows without additions, deletions and files_changed.
     A null email marks no author; an empty one is a contributor. `ord` is the order of the input.
     """
@@ -34,6 +44,7 @@ class History:
     renames: bool = True  # False: known to hold no rename, which spares the search for them
     kept: dict[str, DataFrame] = field(default_factory=dict)  # results that several statistics share
     headers: DataFrame | None = None
+    owned: DataFrame | None = None
 
     @property
     def heads(self) -> DataFrame:
@@ -60,13 +71,12 @@ class History:
     @cached_property
     def _authored(self) -> DataFrame:
         """File rows with author and date of their commit, raw paths."""
+        if self.owned is not None:
+            return self.owned
         cols = ["email", "ts"]
         if set(cols) <= set(self.files.columns):
             return self.files.select("repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", *cols, F.lit(True).alias("known"), "ord")
-        who = self.heads.groupBy("repo", "sha").agg(F.max_by(F.struct(*cols), "ord").alias("c"))
-        return self.files.join(who, ["repo", "sha"], "left").select(
-            "repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", F.col("c.email").alias("email"), F.col("c.ts").alias("ts"), F.col("c").isNotNull().alias("known"), "ord"
-        )
+        return with_authors(self.files, self.heads)
 
     @cached_property
     def canonical(self) -> DataFrame | None:

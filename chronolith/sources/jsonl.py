@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -49,6 +51,8 @@ def _number(name: str) -> Column:
 
 #: Types that statistics read. Among typed records `bad` are lines that are no JSON object or have a field of another type, `other` all else.
 TYPES = ("commit", "commit_file", "commit_parent")
+#: Types of typed records, bad and other ones included; beyond that many values a task sorts its rows.
+WRITERS, OPEN_FILES = 5, "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def typed(records: DataFrame, strict: bool = True) -> DataFrame:
@@ -99,11 +103,11 @@ def _place(rows: DataFrame, place: Row) -> str:
 COMMIT = ("repo", "sha", "name", "email", "ts", "ts_local", "additions", "deletions", "files_changed", "message", "ord")
 
 
-def file_rows(rows: DataFrame, multi: bool = False) -> DataFrame:
-    """File rows of a history from typed ones, without those of no path. With several inputs every path is prefixed by `<repo>:`."""
+def file_rows(rows: DataFrame, multi: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """File rows of a history from typed ones, with the columns `more`, without those of no path. With several inputs every path is prefixed by `<repo>:`."""
     prefix = F.concat("repo", F.lit(":")) if multi else F.lit("")
     path = F.when(F.col("current") != "", F.col("current")).otherwise(F.col("previous"))
-    files = rows.select("repo", "sha", path.alias("path"), "status", F.col("previous").alias("old_path"), F.col("current").alias("new_path"), "additions", "deletions", "ord").where("path <> ''")
+    files = rows.select("repo", "sha", path.alias("path"), "status", F.col("previous").alias("old_path"), F.col("current").alias("new_path"), "additions", "deletions", "ord", *more).where("path <> ''")
     return files.withColumns({c: F.when(F.col(c) != "", F.concat(prefix, F.col(c))).otherwise("") for c in ("path", "old_path", "new_path")})
 
 
@@ -147,10 +151,22 @@ def staged_rows(spark: SparkSession, paths: list[str], by_input: bool = False) -
     rows, folder = typed(read_records(spark, paths)), new_folder(spark)
     if by_input:
         rows = rows.withColumn("input", F.col("ord.file"))
-    rows.write.partitionBy("type", *(["input"] if by_input else [])).parquet(folder)
+    with open_writers(spark):
+        rows.write.partitionBy("type", *(["input"] if by_input else [])).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+@contextmanager
+def open_writers(spark: SparkSession) -> Iterator[None]:
+    """A task keeps a file open for each of up to WRITERS partition values, and so does not sort its rows by these first."""
+    before = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, str(max(WRITERS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_FILES, before)
+
+
 def faults(rows: DataFrame) -> dict[int, str]:
     """By input, its first bad line and where that stands; of rows staged by input. One job for all, and two for each faulty input."""
     first = rows.where("type = 'bad'").groupBy("input").agg(F.min_by(F.struct("wrong", "repo", "ord"), "ord").alias("x")).collect()  # a row for each input

@@ -2,7 +2,8 @@
 
 Dates are parsed when the store is written. Every file row and parent link carries its commit's date, so a window is a
 filter on the scan of each table: folders of other months are not opened, and row groups of other days are skipped by their
-bounds. No join with the commits is needed to find which rows are inside.
+bounds. No join with the commits is needed to find which rows are inside. File rows carry the author too; only those of commits
+with several dates, with an unreadable one or of no commit (few) are joined with commits when they are read.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.plans.checkpoints import released
-from chronolith.plans.history import History
+from chronolith.plans.history import History, with_authors
 from chronolith.schema import Options
 from chronolith.sources import jsonl
 
@@ -21,10 +22,13 @@ UNDATED, ORPHAN, MIXED = "undated", "orphan", "mixed"
 _ORD = "struct<file: int, part: string, block: bigint, line: bigint>"
 TABLES = {
     "commits": f"repo string, sha string, name string, email string, ts timestamp_ntz, ts_local timestamp_ntz, additions bigint, deletions bigint, files_changed bigint, message string, ord {_ORD}, month string",
-    "files": f"repo string, sha string, ord {_ORD}, status string, previous string, current string, additions bigint, deletions bigint, ts timestamp_ntz, month string",
+    "files": f"repo string, sha string, ord {_ORD}, status string, previous string, current string, additions bigint, deletions bigint, ts timestamp_ntz, email string, month string",
     "parents": f"repo string, sha string, ord {_ORD}, ts timestamp_ntz, month string",
 }
 
+#: `authored`: file rows carry their author's email (null in stores that were written before they did).
+INPUTS = "input int, repo string, authored boolean"
+
 
 @released()  # the typed records that it stages
 def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
@@ -34,16 +38,17 @@ def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
     jsonl.check(rows)
     month = F.date_format("ts", "yyyy-MM")
     commits = rows.where("type = 'commit'").withColumn("month", F.coalesce(month, F.lit(UNDATED)))
-    by_sha = commits.groupBy(F.col("ord.file").alias("input"), F.col("sha").alias("of")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.bool_or(F.col("ts").isNull()).alias("undated"))
+    by_sha = commits.groupBy(F.col("ord.file").alias("input"), F.col("sha").alias("of")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.bool_or(F.col("ts").isNull()).alias("undated"), F.max_by("email", "ord").alias("email"))
     clustered = lambda df: df.repartitionByRange("month", "ts", "ord").sortWithinPartitions("month", "ts", "ord").write.partitionBy("month")
     clustered(commits.select(*jsonl.COMMIT, "month")).parquet(f"{folder}/commits")
     for kind, table in (("commit_file", "files"), ("commit_parent", "parents")):
         columns = ["repo", "sha", "ord"] + (["status", "previous", "current", "additions", "deletions"] if kind == "commit_file" else [])
         children = rows.where(F.col("type") == kind).select(*columns)
+        author = ["email"] if kind == "commit_file" else []
         dated = children.join(by_sha, (children["ord.file"] == by_sha["input"]) & (children["sha"] == by_sha["of"]), "left")
         which = F.when(F.col("of").isNull(), ORPHAN).when(F.col("undated"), UNDATED).when(F.col("first") != F.col("last"), MIXED).otherwise(F.date_format("first", "yyyy-MM"))
-        clustered(dated.select(*columns, F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), which.alias("month"))).parquet(f"{folder}/{table}")
-    spark.createDataFrame([(i, name) for i, name in enumerate(jsonl.repo_names(paths))], "input int, repo string").coalesce(1).write.parquet(f"{folder}/inputs")
+        clustered(dated.select(*columns, F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), *author, which.alias("month"))).parquet(f"{folder}/{table}")
+    spark.createDataFrame([(i, name, True) for i, name in enumerate(jsonl.repo_names(paths))], INPUTS).coalesce(1).write.parquet(f"{folder}/inputs")
 
 
 def _months(options: Options) -> Column:
@@ -59,7 +64,8 @@ def _months(options: Options) -> Column:
 def read(spark: SparkSession, folder: str, options: Options = Options()) -> History:
     """The history of a store, as jsonl.load() has it of the same inputs: in a window, those of its commits and of commits without a date."""
     found = {t: spark.read.schema(schema).parquet(f"{folder}/{t}") for t, schema in TABLES.items()}
-    multi = spark.read.parquet(f"{folder}/inputs").limit(2).count() > 1
+    inputs = spark.read.schema(INPUTS).parquet(f"{folder}/inputs").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("repos"), F.bool_and(F.coalesce("authored", F.lit(False))).alias("authored")).first()
+    multi = inputs["n"] > 1
     if options.since or options.until:
         commits = found["commits"]
         kept = commits.where(_months(options) & jsonl.inside(options, F.col("ts"))).unionAll(commits.where(F.col("month") == UNDATED))
@@ -71,4 +77,16 @@ def read(spark: SparkSession, folder: str, options: Options = Options()) -> Hist
             return df.where(_months(options) & jsonl.inside(options, F.col("ts"))).unionAll(df.where(F.col("month") == UNDATED)).unionAll(mixed)
 
         found = {"commits": kept} | {t: window(found[t]) for t in ("files", "parents")}
-    return jsonl.history(found["commits"].select(*jsonl.COMMIT), jsonl.file_rows(found["files"], multi), found["parents"].select("repo", "sha", "ord"), options, multi)
+    h = jsonl.history(found["commits"].select(*jsonl.COMMIT), jsonl.file_rows(found["files"], multi, ("ts", "email", "month")), found["parents"].select("repo", "sha", "ord"), options, multi)
+    if inputs["authored"] and inputs["repos"] == inputs["n"]:  # inputs of one name share their commits
+        h.owned = _owned(h)
+    h.files = h.files.drop("ts", "email", "month")
+    return h
+
+
+def _owned(h: History) -> DataFrame:
+    """File rows with email, ts and known. Those without a month of their own get them from the commits that were read."""
+    own = ~F.col("month").isin(UNDATED, ORPHAN, MIXED)
+    rows = h.files.where(own).select("repo", "sha", "path", "status", "old_path", "new_path", "additions", "deletions", "email", "ts", F.lit(True).alias("known"), "ord")
+    others = h.files.where(~own)
+    return rows.unionAll(with_authors(others, h.commits)) if others.limit(1).count() else rows
