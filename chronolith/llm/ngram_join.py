@@ -92,7 +92,7 @@ def _rooted(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return saved(keys.join(roots, keys["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key")))
 
 
-def _new_links(pairs: DataFrame, edges: DataFrame | None, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def new_links(pairs: DataFrame, edges: DataFrame | None, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """`edges` and the links among pairs (a, b); saved. Each row is compared with the least of its partners first; then
     pairs that are still in two components are compared, so that a group of copies needs few of its pairs."""
     first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -107,9 +107,9 @@ def _new_links(pairs: DataFrame, edges: DataFrame | None, nodes: DataFrame, sets
     return out
 
 
-def _hub_pairs(outside: DataFrame, long: DataFrame, turn: int) -> DataFrame:
-    """(a, b): rows of long columns, each in its longest column alone, with HUBS rows of the column's outside ones: those in most long columns."""
-    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HUBS))
+def _hub_pairs(outside: DataFrame, long: DataFrame, turn: int, hubs_each: int) -> DataFrame:
+    """(a, b): rows of long columns, each in its longest column alone, with so many rows of the column's outside ones: those in most long columns."""
+    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_each))
     hubs = outside.where("main").groupBy("token", slot.alias("slot")).agg(F.max_by(F.struct("key", "n"), F.struct("long", "key")).alias("x"))
     hubs = small(saved(hubs.select("token", F.col("x.key").alias("hub"), F.col("x.n").alias("size"))))
     met = long.where("main").join(hubs, "token").where((F.col("key") != F.col("hub")) & _near_in_size(F.col("n"), F.col("size")))
@@ -147,11 +147,11 @@ def _across(outside: DataFrame, long: DataFrame) -> DataFrame:
     return saved(tiles.select("outside", "rows").mapInPandas(compare, "a bigint, b bigint").distinct())
 
 
-def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFrame, hubs_each: int) -> DataFrame:
     """`edges` and what joins further components of rows in long columns (token, key, n, long, main); saved."""
     outside, before = long, None
     for turn in range(TURNS):
-        edges = _new_links(_hub_pairs(outside, long, turn), edges, nodes, sets)
+        edges = new_links(_hub_pairs(outside, long, turn, hubs_each), edges, nodes, sets)
         root = _rooted(edges, long.select("key").distinct())
         rooted = long.join(small(root), "key")
         sizes = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
@@ -164,7 +164,7 @@ def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataF
     if not outside.limit(1).count():
         return edges
     bits = nodes.select("key", "bits")
-    return _new_links(_across(outside.join(bits, "key"), long.join(small(root), "key").join(bits, "key")), edges, nodes, sets)
+    return new_links(_across(outside.join(bits, "key"), long.join(small(root), "key").join(bits, "key")), edges, nodes, sets)
 
 
 def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -191,9 +191,9 @@ def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     found = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted.select("key", "id", "th")), ["id", "th"]).select("key", cut("text").alias("s"))
     many = source.select("doc_id", "th").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
     sets = saved(found.dropDuplicates(["key"]) if many else found)  # a row that is repeated would give its set again
-    edges = _new_links(pairs, None, wanted, sets)
+    edges = new_links(pairs, None, wanted, sets)
     discard(pairs)
-    return _long_links(long, edges, wanted, sets) if long.limit(1).count() else edges
+    return long_links(long, edges, wanted, sets, HUBS) if long.limit(1).count() else edges
 
 
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,9 @@ of BITS bits, each the parity of the shingles that fall on it, differs in no mor
 candidates that it shows to be too far apart go, which loses nothing; the others are compared exactly.
 
 A shingle in the prefixes of more than LONG_LIST sets would make too many pairs. There a few hubs are compared with
-all others first; a pair that is linked through them already needs no comparison, so what is left are the sets
-outside of the list's largest component, each against all sets of other components. No link is lost.
+all others first, each set in the longest of its lists; a pair that is linked through them already needs no comparison, so
+what is left are the sets outside of the list's largest component, in blocks against all sets of other components: a task
+compares two blocks, and pairs that sizes or sketches rule out never leave it (ngram_join.long_links). No link is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ PARTS, WHOLE = 4, 5
 BITS = 1024
 LONG_LIST = 24
 HUBS = 8
-HUB_ROUNDS = 2
 #: Of the documents, one in so many is read for the order; that many shingles are put last.
 SAMPLE = 8
 FREQUENT = 65_536
@@ -124,6 +124,8 @@ def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
 
 def links(marked: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Edges (a, b) between keys of alike sets, complete up to components; saved."""
+    from chronolith.llm.ngram_join import long_links, new_links  # which reads this module
+
     index = marked.join(small(nodes.select("r")), "r", "left_semi").select("key", "n", F.explode("prefix").alias("token"))
     lengths = index.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.min("key").alias("least"), F.max("key").alias("most")).where("length > 1")
     lengths = saved(lengths)
@@ -131,7 +133,8 @@ def links(marked: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     few = posted.where(F.col("length") <= LONG_LIST)
     pairs = _near(_pairs(_side(few, "a"), _side(few, "b")), nodes)
     one = lengths.where(F.col("length") > LONG_LIST).groupBy("length", "mixed", "least", "most").agg(F.min("token").alias("token")).select("token")  # of lists with the same members, one
-    long = saved(posted.join(small(saved(one)), "token").select("token", "key", "n"))
+    held = saved(posted.where(F.col("length") > LONG_LIST).groupBy("key").agg(F.count(F.lit(1)).alias("long"), F.max_by("token", F.struct("length", "token")).alias("longest")))
+    long = saved(posted.join(small(saved(one)), "token").join(small(held), "key").select("token", "key", "n", "long", (F.col("token") == F.col("longest")).alias("main")))
     discard(lengths, posted)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionAll(long.select("key")).distinct()
     wanted = saved(wanted.join(nodes.select("key", "id", "th"), "key"))
@@ -143,33 +146,9 @@ def links(marked: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
 
     texts = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted), ["id", "th"])
     sets = saved(texts.select("key", cut("text").alias("s")))
-    edges = _linked(pairs, nodes, sets)
+    edges = new_links(pairs, None, nodes, sets)
     discard(wanted, pairs)
-    if not long.limit(1).count():
-        return edges
-    outside = long
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hubs = outside.groupBy("token", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "n")).alias("x"))
-            hubs = small(saved(hubs.select("token", F.col("x.key").alias("a"), F.col("x.n").alias("na")).distinct()))
-            found = _pairs(_side(long, "b"), hubs)
-        else:
-            apart = _side(long, "b", "root").where("root_b IS NOT NULL")
-            found = _pairs_apart(outside, apart)
-        more = _linked(found, nodes, sets)
-        edges = saved(edges.unionAll(more).distinct())
-        if turn < HUB_ROUNDS:
-            roots = components(edges)
-            long = saved(long.select("token", "key", "n").join(roots, long["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")))
-            core = long.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("x")).select("token", F.col("x.root").alias("core"))
-            outside = saved(long.join(small(saved(core)), "token").where("root <> core").drop("core"))
-    return edges
-
-
-def _pairs_apart(outside: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a set outside of its list's largest component and one of another component."""
-    met = small(_side(outside, "a", "root")).join(right, "token").where((F.col("root_a") != F.col("root_b")) & _alike(F.col("na"), F.col("nb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return long_links(long, edges, nodes, sets, HUBS) if long.limit(1).count() else edges
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
