@@ -24,6 +24,10 @@ def with_authors(files: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
+def _with_lines(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lines", F.col("additions") + F.col("deletions"))
+
+
 @dataclass
 class History:
     """
@@ -81,8 +85,11 @@ class History:
     @cached_property
     def canonical(self) -> DataFrame | None:
         """(path, canonical) of the paths that a rename leads elsewhere; None if there is none."""
-        renamed = self.renames and self.files.where("status LIKE 'R%'").limit(1).count()  # reads one column, before any join
-        return canonical_paths(self._authored) if renamed else None
+        dated = self.owned is not None or {"email", "ts"} <= set(self.files.columns)
+        if not self.renames or not dated and not self.files.where("status LIKE 'R%'").limit(1).count():  # reads one column, before any join
+            return None
+        facts = self.__dict__.get("_raw_facts")
+        return canonical_paths(self._authored, used=None if facts is None else facts.select("path", F.col("last").alias("ts")))
 
     @cached_property
     def touches(self) -> DataFrame:
@@ -95,11 +102,13 @@ class History:
         return self._under_canonical(self.files)
 
     def _under_canonical(self, rows: DataFrame) -> DataFrame:
-        if self.canonical is not None:
-            rows = rows.join(self.canonical, "path", "left").withColumn("file", F.coalesce("canonical", "path")).drop("canonical")
-        else:
-            rows = rows.withColumn("file", F.col("path"))
-        return rows.withColumn("lines", F.col("additions") + F.col("deletions"))
+        return _with_lines(self._filed(rows))
+
+    def _filed(self, rows: DataFrame) -> DataFrame:
+        """Rows of raw paths with `file`, their canonical path."""
+        if self.canonical is None:
+            return rows.withColumn("file", F.col("path"))
+        return rows.join(self.canonical, "path", "left").withColumn("file", F.coalesce("canonical", "path")).drop("canonical")
 
     @cached_property
     def decayed_touches(self) -> DataFrame:
@@ -107,11 +116,14 @@ class History:
 
         Whole numbers add up the same in any order, so results do not depend on partitioning.
         """
+        return self._decayed(self.touches)
+
+    def _decayed(self, touches: DataFrame) -> DataFrame:
         if self.options.anchor == "stream":
             seen = self._seen().groupBy("repo", "sha").agg(F.max_by("seen", "ord").alias("anchor"))
-            rows = self.touches.join(seen, ["repo", "sha"], "left")
+            rows = touches.join(seen, ["repo", "sha"], "left")
         else:
-            rows = self.touches.crossJoin(F.broadcast(self.latest.select(F.col("latest").alias("anchor"))))  # one row
+            rows = touches.crossJoin(F.broadcast(self.latest.select(F.col("latest").alias("anchor"))))  # one row
         days = (epoch(F.col("anchor")) - epoch(F.col("ts"))) / 86400.0
         rate = math.log(2) / self.options.half_life
         micro = F.round(F.col("lines") * F.exp(-rate * days) * 1e6).cast("bigint")
@@ -129,20 +141,21 @@ class History:
         return lines.withColumn("inside", F.max("ts").over(inside)).join(splits, ["file", "block"]).select("repo", "sha", "ord", F.greatest("inside", "earlier").alias("seen"))
 
     @cached_property
-    def author_facts(self) -> DataFrame:
-        """One row for each canonical file, path that it had and author: one pass over all touches, written once, for every
-        statistic of files and of their owners."""
-        rows = self.decayed_touches.drop("anchor").crossJoin(F.broadcast(self.bounds.select("cutoff")))  # one row
+    def _raw_facts(self) -> DataFrame:
+        """author_facts before renames are followed: a raw path has one canonical file, so this pass needs no chains."""
+        rows = self._decayed(_with_lines(self._authored)).drop("anchor").crossJoin(F.broadcast(self.bounds.select("cutoff")))  # one row
         month, dated = months("ts"), F.col("ts").isNotNull()
-        one_path = self.canonical is None
-        facts = rows.groupBy("path", "email", "known", *([] if one_path else ["file"])).agg(
+        facts = rows.groupBy("path", "email", "known").agg(
             F.count(F.lit(1)).alias("touches"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("micro").alias("micro"), F.min("ts").alias("first"), F.max("ts").alias("last"),
             F.sum(F.when(dated & (month < F.col("cutoff")), F.col("lines"))).alias("earlier"), F.sum(F.when(dated & (month >= F.col("cutoff")), F.col("lines"))).alias("later"),
         )
-        facts = written(facts)
-        if one_path:
-            facts = facts.withColumn("file", F.col("path"))
-        return facts.withColumn("lines", F.col("additions") + F.col("deletions"))
+        return written(facts)
+
+    @cached_property
+    def author_facts(self) -> DataFrame:
+        """One row for each canonical file, path that it had and author: one pass over all touches, written once, for every
+        statistic of files and of their owners; the search for chains reads it too."""
+        return _with_lines(self._filed(self._raw_facts))
 
     @cached_property
     def file_dev(self) -> DataFrame:

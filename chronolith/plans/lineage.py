@@ -17,11 +17,13 @@ from chronolith.plans.checkpoints import checkpointed
 DRIVER_EDGES = 100_000
 
 
-def surviving_edges(touches: DataFrame) -> DataFrame:
-    """(path, next): at most one edge for each path."""
+def surviving_edges(touches: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(path, next): at most one edge for each path. `used`: dates (path, ts) that hold each path's last, if there are fewer rows of them than touches."""
     edges = touches.where("status LIKE 'R%' AND old_path <> '' AND new_path <> '' AND old_path <> new_path").select("old_path", "new_path", "ts", "ord")
     edges = checkpointed(edges)  # few beside the touches, and read four times
-    used = touches.groupBy("path").agg(F.max("ts").alias("changed"))
+    if not edges.limit(1).count():
+        return edges.select(F.col("old_path").alias("path"), F.col("new_path").alias("next"))
+    used = (touches if used is None else used).groupBy("path").agg(F.max("ts").alias("changed"))
     targets = edges.select(F.col("new_path").alias("old_path"), F.lit(True).alias("target")).distinct()
     sides = edges.select(F.col("old_path").alias("p"), "ts").unionAll(edges.select(F.col("new_path").alias("p"), "ts"))
     last_edge = sides.groupBy(F.col("p").alias("old_path")).agg(F.max("ts").alias("last_edge"))
@@ -62,9 +64,9 @@ def follow_distributed(step: DataFrame) -> DataFrame:
     return _doubled(step.join(ring, "path", "left_anti"))
 
 
-def canonical_paths(touches: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame | None:
-    """(path, canonical) of the paths that move; None if none does."""
-    step = surviving_edges(touches)
+def canonical_paths(touches: DataFrame, driver_edges: int = DRIVER_EDGES, used: DataFrame | None = None) -> DataFrame | None:
+    """(path, canonical) of the paths that move; None if none does. `used` as in surviving_edges()."""
+    step = surviving_edges(touches, used)
     head = step.limit(driver_edges + 1).collect()  # bounded by the parameter
     if not head:
         return None

@@ -61,3 +61,17 @@ def test_many_edges_leave_the_driver(history):
     h = history(commit("2", date="2024-02-01T00:00:00Z"), *(rename("2", f"o{i}", f"n{i}") for i in range(5)), commit("1"), *(change("1", f"o{i}") for i in range(5)))
     near, far = canonical_paths(h._authored), canonical_paths(h._authored, driver_edges=2)
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.select("path", "canonical").collect()))
+
+
+def test_search_for_chains_reads_the_facts_of_authors(spark, history, monkeypatch):
+    """Rows are added up once, before renames are followed; the dates of the last changes come from these sums."""
+    from chronolith.plans import history as plans
+
+    records = [commit("3", date="2024-03-01T00:00:00Z"), change("3", "old", 2), commit("2", date="2024-02-01T00:00:00Z"), rename("2", "a", "b", 5), rename("2", "old", "new", 1), commit("1"), change("1", "a", 5), change("1", "old", 3)]
+    seen = []
+    monkeypatch.setattr(plans, "canonical_paths", lambda touches, used=None: seen.append(used) or canonical_paths(touches, used=used))
+    h = history(*records)
+    assert {r.file: r.churn for r in h.file_facts.collect()} == {"b": 10, "old": 5, "new": 1}  # `old` was used again
+    assert seen[0] is not None and seen[0].columns == ["path", "ts"]
+    assert "file" not in h._raw_facts.columns
+    assert {r.file: r.churn for r in history(*records).touches.groupBy("file").agg({"lines": "sum"}).withColumnRenamed("sum(lines)", "churn").collect()} == {"b": 10, "old": 5, "new": 1}
