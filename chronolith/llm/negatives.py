@@ -126,6 +126,12 @@ def best(found: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -found))[:k]
 
 
+def joined(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """The rows of a pair of blocks in one batch: a batch for each anchor costs more than its scores."""
+    if parts:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+
 def _packed(rows: DataFrame, size: int, extra: list[str]) -> DataFrame:
     """Rows (id, key, label, v, extra...) as blocks of `size`, each column's values in one binary. No shuffle."""
     fields = ["id", "key", "label", *extra]
@@ -204,8 +210,8 @@ def _positives(met: DataFrame, turn: np.ndarray, cuts: list[int], k: int) -> Dat
                     js = at[still[i]]
                     found = scores(x.anchors, i, x.rows, js)
                     top = best(found, x.ids[js], k)
-                    out.append(pd.DataFrame({"a_key": x.a_keys[i], "anchor_id": x.a_ids[i], "p_key": x.keys[js[top]], "positive_id": x.ids[js[top]], "score": found[top]}))
-                yield from out
+                    out.append((np.full(len(top), x.a_keys[i]), np.full(len(top), x.a_ids[i]), x.keys[js[top]], x.ids[js[top]], found[top]))
+                yield from joined(out, ("a_key", "anchor_id", "p_key", "positive_id", "score"))
 
     return met.mapInPandas(search, "a_key bigint, anchor_id bigint, p_key bigint, positive_id bigint, score bigint")
 
@@ -240,17 +246,15 @@ def _negatives(met: DataFrame, turn: np.ndarray, cuts: list[int], k: int, from_p
                     return out
 
                 at, low, high = bounded(x.anchors, x.rows, cuts, in_reach)
-                still = wanted(at, low, high)
+                still, out = wanted(at, low, high), []
                 for i in np.flatnonzero(still.any(axis=1)):
                     js = at[still[i]]
                     found = scores(x.anchors, i, x.rows, js)
                     for p in np.flatnonzero(open_[i]):
                         inside = np.flatnonzero((found >= int(least[i, p])) & (found <= int(most[i, p])))
                         top = inside[best(found[inside], x.ids[js[inside]], k)]
-                        if len(top):
-                            yield pd.DataFrame({
-                                "a_key": x.a_keys[i], "anchor_id": x.a_ids[i], "p_key": p_keys[i, p], "positive_id": p_ids[i, p], "positive_score": p_scores[i, p], "negative_id": x.ids[js[top]], "score": found[top],
-                            })
+                        out.append((np.full(len(top), x.a_keys[i]), np.full(len(top), x.a_ids[i]), np.full(len(top), p_keys[i, p]), np.full(len(top), p_ids[i, p]), np.full(len(top), p_scores[i, p]), x.ids[js[top]], found[top]))
+                yield from joined(out, ("a_key", "anchor_id", "p_key", "positive_id", "positive_score", "negative_id", "score"))
 
     return met.mapInPandas(search, "a_key bigint, anchor_id bigint, p_key bigint, positive_id bigint, positive_score bigint, negative_id bigint, score bigint")
 

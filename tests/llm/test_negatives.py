@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,26 @@ def test_search_among_equal_vectors_names_few(spark, tmp_path, monkeypatch):
     found = registry.queries()["op7_exact_topk"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((q, n, i, 0) for q in range(0, 3000, 20) for n, i in enumerate([i for i in range(21) if i != q][:20], 1))
     assert counted[0] <= 150 * 20 * 3  # k from each of three blocks of cells
+
+
+def test_a_pair_of_blocks_gives_one_batch():
+    """Not one for each anchor and positive: batches cost more than their scores."""
+
+    class Tiles:
+        def mapInPandas(self, search, schema):
+            return search
+
+    rng = np.random.default_rng(5)
+    v, ids, labels = rng.integers(-50, 50, (60, 4)), np.arange(60), np.arange(60) % 3
+    flat = {"id": ids.tobytes(), "key": ids.tobytes(), "label": labels.tobytes(), "many": 60, "width": 4, "v": v.tobytes()}
+    tile = flat | {f"a_{c}": x for c, x in flat.items()}
+    turn, cuts = negatives.rotation((v.T @ v).astype(float))
+    (near,) = negatives._positives(Tiles(), turn, cuts, 5)([pd.DataFrame([tile])])
+    assert len(near) == 300 and near.groupby("anchor_id").size().eq(5).all()
+    near = near.sort_values(["anchor_id", "score"], ascending=[True, False])
+    held = {"a_held": np.full(60, 5).tobytes(), "a_p_keys": near.p_key.to_numpy().tobytes(), "a_p_ids": near.positive_id.to_numpy().tobytes(), "a_p_scores": near.score.to_numpy().tobytes()}
+    (found,) = negatives._negatives(Tiles(), turn, cuts, 10, 30, 90)([pd.DataFrame([tile | held])])
+    scores = v @ v.T
+    for (a, p), rows in found.groupby(["anchor_id", "positive_id"]):
+        best = sorted((-scores[a, n], n) for n in ids if labels[n] != labels[a] and 30 * scores[a, p] <= 100 * scores[a, n] <= 90 * scores[a, p])[:10]
+        assert [(-s, n) for s, n in zip(rows.score, rows.negative_id)] == best
