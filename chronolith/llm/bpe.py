@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Remembered words per worker; beyond it the table starts anew. Very long words are not kept.
-REMEMBERED_WORDS = 400_000
+#: Remembered words per worker; beyond it the table starts anew, and takes over what it meets of the one before. Very long
+#: words are not kept.
+REMEMBERED_WORDS = 250_000
 REMEMBERED_LENGTH = 64
 #: Pairs of ids whose rank a worker remembers.
 REMEMBERED_PAIRS = 300_000
@@ -46,10 +48,12 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int64).reshape(256, 256)
         self.pattern = regex.compile(pattern)
         self.pair_ids: dict[int, int] = {}  # pair of ids, as one number -> rank of their concatenation, -1 if none
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the table last started anew
 
     def _pair(self, a: int, b: int) -> int:
         key = a << 32 | b
@@ -61,28 +65,26 @@ class MergeReplay:
             self.pair_ids[key] = rank
         return rank
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        ids: list[int] = []
-        after: list[int] = []  # position of the next token of the same word, -1 at its end
-        starts: list[int] = []
-        for word in words:
-            starts.append(len(ids))
-            ids.extend(map(self.byte_ids.__getitem__, word))
-            after.extend(range(len(after) + 1, len(ids) + 1))
-            if word:
-                after[-1] = -1
-        before = [-1] * len(ids)
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-        index: dict[int, list[int]] = {}
-        pair = self._pair
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := pair(ids[i], ids[j])) >= 0:
-                index.setdefault(rank, []).append(i)
-        pending = list(index)
-        heapq.heapify(pending)
+    def replay(self, words: list[bytes]) -> list[np.ndarray]:
+        """Token ids of each word, as unsigned 32-bit integers."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        held = np.unique(ends[ends > 0])  # where words end that are not empty
+        follows, leads = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        follows[held - 1] = -1
+        leads[:1] = -1
+        leads[held[:-1]] = -1
+        at = np.flatnonzero(follows >= 0)
+        ranks = self.byte_pairs[data[at], data[at + 1]]
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        pending, cuts = np.unique(ranks[order], return_index=True)
+        pending = pending.tolist()  # in order: a heap
+        index: dict[int, list[int]] = {rank: x.tolist() for rank, x in zip(pending, np.split(at[order], cuts[1:]))}
+        ids: list[int] = self.byte_ids[data].tolist()
+        after: list[int] = follows.tolist()  # position of the next token of the same word, -1 at its end
+        before: list[int] = leads.tolist()
+        known, pair, push = self.pair_ids.get, self._pair, heapq.heappush
         while pending:
             rank = heapq.heappop(pending)
             places = index.pop(rank, None)
@@ -90,53 +92,83 @@ class MergeReplay:
                 continue
             places.sort()
             for at, i in enumerate(places):
-                j = after[i]
-                if ids[i] < 0 or j < 0 or pair(ids[i], ids[j]) != rank:
+                j, left = after[i], ids[i]
+                if left < 0 or j < 0:
+                    continue
+                found = known(left << 32 | ids[j])
+                if (pair(left, ids[j]) if found is None else found) != rank:
                     continue  # a neighbour's merge took this pair
                 ids[i], ids[j] = rank, -1
                 after[i] = k = after[j]
+                lowest, h = rank, before[i]
+                if h >= 0:
+                    new = known(ids[h] << 32 | rank)
+                    if new is None:
+                        new = pair(ids[h], rank)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(h)
+                        else:
+                            index[new] = [h]
+                            push(pending, new)
+                        if new < lowest:
+                            lowest = new
                 if k >= 0:
                     before[k] = i
-                lowest = rank
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (new := pair(ids[left], ids[right])) >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(pending, new)
-                        index[new].append(left)
-                        lowest = min(lowest, new)
+                    new = known(rank << 32 | ids[k])
+                    if new is None:
+                        new = pair(rank, ids[k])
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            push(pending, new)
+                        if new < lowest:
+                            lowest = new
                 if lowest < rank:  # a vocabulary whose parts rank above their whole: that pair goes first
                     index.setdefault(rank, []).extend(places[at + 1 :])
-                    heapq.heappush(pending, rank)
+                    push(pending, rank)
                     break
-        encoded = []
-        for start, word in zip(starts, words, strict=True):
-            out, i = [], start if word else -1
-            while i >= 0:
-                out.append(ids[i])
-                i = after[i]
-            encoded.append(out)
-        return encoded
+        tokens = np.array(ids, np.int64)
+        left = np.flatnonzero(tokens >= 0)
+        return np.split(tokens[left].astype("<u4"), np.searchsorted(left, ends[:-1])) if words else []
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(text) for text in texts]
         known = self.known
-        if new := sorted({word for words in split for word in words if word not in known}):
+        unknown = {word for words in split for word in words if word not in known}
+        for word in unknown & self.older.keys() if self.older else ():
+            known[word] = self.older.pop(word)
+            unknown.discard(word)
+        if new := sorted(unknown):
             ids = self.replay([word.encode("utf-8", "surrogatepass") for word in new])
-            known.update(zip(new, (np.array(x, "<u4").tobytes() for x in ids), strict=True))
+            known.update(zip(new, (x.tobytes() for x in ids), strict=True))
         encoded = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > REMEMBERED_LENGTH:
                 del known[word]
         if len(known) > REMEMBERED_WORDS:
-            known.clear()
+            self.known, self.older = {}, known
         return encoded
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: The encoder of the query that this worker served last, for its next task.
+_last: dict[str, MergeReplay] = {}
+
+
+def _kept(query: str, ranks: dict[bytes, int], pattern: str) -> MergeReplay:
+    """The worker's encoder of this query, with the words that its earlier tasks met."""
+    if query not in _last:
+        _last.clear()
+        _last[query] = MergeReplay(ranks, pattern)
+    return _last[query]
+
+
 def _pieces(texts: list[str], chars: int = PIECE_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about so many characters; a longer text is a run of its own."""
     run, held = [], 0
@@ -158,10 +190,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(vocabulary), pattern))  # bounded by the vocabulary
+    query = uuid.uuid4().hex
 
     @F.pandas_udf("ids binary, n_tokens bigint, decoded binary")
     def encode(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        replay = MergeReplay(*shared.value)
+        replay = _kept(query, *shared.value)
         for batch in series:
             for run in _pieces(batch.tolist()):
                 ids = replay.encode_batch(run)
