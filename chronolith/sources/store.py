@@ -39,15 +39,21 @@ def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
     month = F.date_format("ts", "yyyy-MM")
     commits = rows.where("type = 'commit'").withColumn("month", F.coalesce(month, F.lit(UNDATED)))
     by_sha = commits.groupBy(F.col("ord.file").alias("input"), F.col("sha").alias("of")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.bool_or(F.col("ts").isNull()).alias("undated"), F.max_by("email", "ord").alias("email"))
-    clustered = lambda df: df.repartitionByRange("month", "ts", "ord").sortWithinPartitions("month", "ts", "ord").write.partitionBy("month")
-    clustered(commits.select(*jsonl.COMMIT, "month")).parquet(f"{folder}/commits")
+    clustered = lambda df: df.repartitionByRange("month", "ts", "ord").sortWithinPartitions("month", "ts", "ord")
+    clustered(commits.select(*jsonl.COMMIT, "month")).write.partitionBy("month").parquet(f"{folder}/commits")
     for kind, table in (("commit_file", "files"), ("commit_parent", "parents")):
         columns = ["repo", "sha", "ord"] + (["status", "previous", "current", "additions", "deletions"] if kind == "commit_file" else [])
         children = rows.where(F.col("type") == kind).select(*columns)
+        if "previous" in columns:  # most files keep their path: the two shuffles carry it once
+            same = F.col("previous").eqNullSafe(F.col("current"))
+            children, columns = children.withColumns({"same": same, "previous": F.when(~same, F.col("previous"))}), [*columns, "same"]
         author = ["email"] if kind == "commit_file" else []
         dated = children.join(by_sha, (children["ord.file"] == by_sha["input"]) & (children["sha"] == by_sha["of"]), "left")
         which = F.when(F.col("of").isNull(), ORPHAN).when(F.col("undated"), UNDATED).when(F.col("first") != F.col("last"), MIXED).otherwise(F.date_format("first", "yyyy-MM"))
-        clustered(dated.select(*columns, F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), *author, which.alias("month"))).parquet(f"{folder}/{table}")
+        placed = clustered(dated.select(*columns, F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), *author, which.alias("month")))
+        if "same" in columns:
+            placed = placed.withColumn("previous", F.when(F.col("same"), F.col("current")).otherwise(F.col("previous"))).drop("same")
+        placed.write.partitionBy("month").parquet(f"{folder}/{table}")
     spark.createDataFrame([(i, name, True) for i, name in enumerate(jsonl.repo_names(paths))], INPUTS).coalesce(1).write.parquet(f"{folder}/inputs")
 
 

@@ -59,3 +59,18 @@ def test_own_lines_are_dense_and_staging_does_not_sort(spark, history, monkeypat
     assert seen == ["gzip", "gzip"] and spark.conf.get(jsonl.OPEN_FILES) == before
     with jsonl.open_writers(spark):
         assert int(spark.conf.get(jsonl.OPEN_FILES)) == jsonl.WRITERS
+
+
+def test_shuffled_file_rows_carry_an_unchanged_path_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    dealt, by_range = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *keys: dealt.append(df) or by_range(df, *keys))
+    records = [commit("a", "d@x"), change("a", "f", 3), change("a", "new", 1, status="R100", old="old"), change("a", "gone", 2, status="D")]
+    path = write(tmp_path / "h.jsonl", records)
+    store.write(spark, path, str(tmp_path / "store"))
+    (shuffled,) = [df for df in dealt if "previous" in df.columns]
+    stored = spark.read.parquet(str(tmp_path / "store/files"))
+    assert "same" in shuffled.columns and "same" not in stored.columns
+    assert {r.previous: r.current for r in stored.collect()} == {"f": "f", "old": "new", "gone": "gone"}
+    assert rows(store.read(spark, str(tmp_path / "store")).files.select("path", "status", "old_path", "new_path")) == rows(jsonl.load(spark, path).files.select("path", "status", "old_path", "new_path"))
