@@ -86,33 +86,52 @@ def _bounded(product: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.where(_near_in_size(F.col("n_a"), F.col("n_b")) & (most * (PARTS + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PARTS)).select("a", "b")
 
 
-def _rooted(edges: DataFrame, keys: DataFrame) -> DataFrame:
-    """`keys` (with a column key) and root, the component of each; saved."""
-    roots = components(edges)
-    return saved(keys.join(roots, keys["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key")))
+def _rooted(rows: DataFrame, stars: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """`rows` with the root of each key; a key that is no end of a star is its own."""
+    found = rows.join(stars.select(F.col("b").alias(key), F.col("a").alias(root)), key, "left")
+    return found.withColumn(root, F.coalesce(root, key))
 
 
-def new_links(pairs: DataFrame, edges: DataFrame | None, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """`edges` and the links among pairs (a, b); saved. Each row is compared with the least of its partners first; then
-    pairs that are still in two components are compared, so that a group of copies needs few of its pairs."""
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, b): the root a of every node b of the edges that is not its own root; saved."""
+    return small(saved(components(edges).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+
+def _joined(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """Stars of the components that links (a, b) make of those of `stars`: the search runs over the roots that are linked alone."""
+    ends = _rooted(_rooted(found, stars, "a", "x"), stars, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = _stars(ends)
+    moved = stars.join(more.select(F.col("b").alias("a"), F.col("a").alias("root")), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
+    return small(saved(moved.unionAll(more.select("a", "b"))))
+
+
+def new_links(pairs: DataFrame, stars: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """The links among pairs (a, b), which are saved and passed the sketches, complete up to components; saved.
+
+    Each row is compared with the least of its partners first; then pairs are compared whose rows, or their roots in
+    `stars`, these links do not lead to one row in two steps, so that a group of copies needs few of its pairs.
+    """
     first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    found = _linked(first, nodes, sets)
-    edges = found if edges is None else saved(edges.unionAll(found))
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    root = _rooted(edges, ends)
-    side = lambda x: root.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}"))
-    rest = saved(pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").select("a", "b"))
-    out = saved(edges.unionAll(_linked(rest, nodes, sets)))
-    discard(first, ends, root, rest)
+    found = _linked(first, sets)
+    root = lambda x: x if stars is None else _rooted(_rooted(x, stars, "a", "x"), stars, "b", "y")
+    x, y = ("a", "b") if stars is None else ("x", "y")
+    step = root(found).where(F.col(x) != F.col(y)).groupBy(F.greatest(x, y).alias("b")).agg(F.min(F.least(x, y)).alias("a"))
+    step = small(saved(step))
+    steps = small(saved(_rooted(step, step, "a", "root").select(F.col("root").alias("a"), "b")))
+    led = _rooted(_rooted(root(pairs), steps, x, "to_a"), steps, y, "to_b")
+    rest = saved(led.where("to_a <> to_b").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    out = saved(found.unionAll(_linked(rest, sets))) if rest.limit(1).count() else found
+    discard(first, rest)
     return out
 
 
 def _hub_pairs(outside: DataFrame, long: DataFrame, turn: int, hubs_each: int) -> DataFrame:
-    """(a, b): rows of long columns, each in its longest column alone, with so many rows of the column's outside ones: those in most long columns."""
+    """(a, b): rows of long columns, each in its longest column alone, with so many rows of the column's outside ones, of other
+    components: those in most long columns."""
     slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_each))
-    hubs = outside.where("main").groupBy("token", slot.alias("slot")).agg(F.max_by(F.struct("key", "n"), F.struct("long", "key")).alias("x"))
-    hubs = small(saved(hubs.select("token", F.col("x.key").alias("hub"), F.col("x.n").alias("size"))))
-    met = long.where("main").join(hubs, "token").where((F.col("key") != F.col("hub")) & _near_in_size(F.col("n"), F.col("size")))
+    hubs = outside.where("main").groupBy("token", slot.alias("slot")).agg(F.max_by(F.struct("key", "n", "root"), F.struct("long", "key")).alias("x"))
+    hubs = small(saved(hubs.select("token", F.col("x.key").alias("hub"), F.col("x.n").alias("size"), F.col("x.root").alias("hub_root"))))
+    met = long.where("main").join(hubs, "token").where((F.col("root") != F.col("hub_root")) & _near_in_size(F.col("n"), F.col("size")))
     return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
@@ -130,30 +149,44 @@ def _across(outside: DataFrame, long: DataFrame) -> DataFrame:
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def columns(rows: object) -> tuple[np.ndarray, ...]:
-            return (*(np.array([r[c] for r in rows], np.int64) for c in ("key", "n", "root")), np.array([r["bits"] for r in rows], np.int64).view(np.uint64))
+            return tuple(np.array([r[c] for r in rows], np.int64) for c in ("key", "n", "root"))
+
+        def sketches(rows: object) -> list[np.ndarray]:
+            return [np.asarray(r["bits"], np.int64).view(np.uint64) for r in rows]
+
+        def halved(bits: np.ndarray) -> np.ndarray:
+            return bits[..., : bits.shape[-1] // 2] ^ bits[..., bits.shape[-1] // 2 :]
 
         for batch in batches:
             for left, right in zip(batch["outside"], batch["rows"], strict=True):
-                key_a, n_a, root_a, bits_a = columns(left)
-                key_b, n_b, root_b, bits_b = columns(right)
-                for i in range(len(key_a)):
-                    least, most, both = np.minimum(n_a[i], n_b), np.maximum(n_a[i], n_b), n_a[i] + n_b
-                    at = np.flatnonzero((root_b != root_a[i]) & (least * WHOLE >= most * PARTS))
-                    apart = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(axis=1, dtype=np.int64)
-                    at = at[(both[at] - apart) * (PARTS + WHOLE) >= both[at] * (2 * PARTS)]
-                    yield pd.DataFrame({"a": np.minimum(key_a[i], key_b[at]), "b": np.maximum(key_a[i], key_b[at])})
+                key_a, n_a, root_a = columns(left)
+                key_b, n_b, root_b = columns(right)
+                all_b = sketches(right)
+                words_b = np.array([len(b) for b in all_b])
+                by_size = {w: (at := np.flatnonzero(words_b == w), np.stack([all_b[i] for i in at])) for w in np.unique(words_b).tolist()}
+                for i, bits in enumerate(sketches(left)):
+                    w = len(bits)
+                    for at, own, other in ((*by_size[x], x) for x in (w // 2, w, 2 * w) if x in by_size):  # no others are near in size
+                        both, meet = n_a[i] + n_b[at], (root_b[at] != root_a[i]) & (np.minimum(n_a[i], n_b[at]) * WHOLE >= np.maximum(n_a[i], n_b[at]) * PARTS)
+                        at, own, both = at[meet], own[meet], both[meet]
+                        apart = np.bitwise_count((halved(own) if other > w else own) ^ (halved(bits) if other < w else bits)).sum(axis=1, dtype=np.int64)
+                        at = at[(both - apart) * (PARTS + WHOLE) >= both * (2 * PARTS)]
+                        if len(at):
+                            yield pd.DataFrame({"a": np.minimum(key_a[i], key_b[at]), "b": np.maximum(key_a[i], key_b[at])})
 
     tiles = packed(outside, ROW_BLOCK).withColumnRenamed("rows", "outside").join(packed(long, ROW_BLOCK), "token").repartition(F.rand(1))
     return saved(tiles.select("outside", "rows").mapInPandas(compare, "a bigint, b bigint").distinct())
 
 
 def long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFrame, hubs_each: int) -> DataFrame:
-    """`edges` and what joins further components of rows in long columns (token, key, n, long, main); saved."""
-    outside, before = long, None
+    """(a, b): the root of every row that the edges, and what joins further components of rows in long columns (token, key, n, long, main), lead to another; saved."""
+    stars, before = _stars(edges), None
+    rooted = outside = saved(_rooted(long, stars))
     for turn in range(TURNS):
-        edges = new_links(_hub_pairs(outside, long, turn, hubs_each), edges, nodes, sets)
-        root = _rooted(edges, long.select("key").distinct())
-        rooted = long.join(small(root), "key")
+        near = _near(_hub_pairs(outside, rooted, turn, hubs_each), nodes)
+        if near.limit(1).count():
+            stars = _joined(stars, new_links(near, stars, sets))
+            rooted = saved(_rooted(long, stars))
         sizes = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
         core = saved(sizes.groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("core")))
         outside = saved(rooted.join(small(core), "token").where("root <> core").drop("core"))
@@ -162,19 +195,21 @@ def long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFr
             break
         before = left
     if not outside.limit(1).count():
-        return edges
+        return stars
     bits = nodes.select("key", "bits")
-    return new_links(_across(outside.join(bits, "key"), long.join(small(root), "key").join(bits, "key")), edges, nodes, sets)
+    near = _across(outside.join(bits, "key"), rooted.join(bits, "key"))
+    return _joined(stars, new_links(near, stars, sets)) if near.limit(1).count() else stars
 
 
 def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Edges (a, b) between keys of alike sets, complete up to components; saved. postings: (token, key, n) of the leading block."""
-    lengths = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("added")).where("length > 1"))
+    lengths = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
     posted = saved(postings.join(lengths.select("token", "length"), "token"))
     few = posted.where(F.col("length") <= LONG_COLUMN).groupBy("token").agg(F.sort_array(F.collect_list("key")).alias("members"))  # LONG_COLUMN at most
     tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = saved(posted.where(F.col("length") > LONG_COLUMN).groupBy("key").agg(F.count(F.lit(1)).alias("long"), F.max_by("token", F.struct("length", "token")).alias("longest")))
-    one = lengths.where(F.col("length") > LONG_COLUMN).groupBy("length", "mixed", "added").agg(F.max("token").alias("token")).select("token")  # of columns with the same members, one
+    members = posted.where(F.col("length") > LONG_COLUMN).groupBy("token").agg(F.first("length").alias("length"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("added"))
+    one = members.groupBy("length", "mixed", "added").agg(F.max("token").alias("token")).select("token")  # of columns with the same members, one
     long = saved(posted.join(small(saved(one)), "token").join(small(held), "key").select("token", "key", "n", "long", (F.col("token") == F.col("longest")).alias("main")))
     sized = saved(nodes.select("key", "n", "width", "last").join(small(held.select("key", "long")), "key", "left").select("key", "n", "width", "last", F.coalesce("long", F.lit(0)).alias("long")))
     product = _product(few.select("members").repartition(tasks, F.element_at("members", 1)))
@@ -191,7 +226,7 @@ def links(postings: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     found = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted.select("key", "id", "th")), ["id", "th"]).select("key", cut("text").alias("s"))
     many = source.select("doc_id", "th").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
     sets = saved(found.dropDuplicates(["key"]) if many else found)  # a row that is repeated would give its set again
-    edges = new_links(pairs, None, wanted, sets)
+    edges = new_links(pairs, None, sets)
     discard(pairs)
     return long_links(long, edges, wanted, sets, HUBS) if long.limit(1).count() else edges
 

@@ -3,8 +3,8 @@
 Two sets that are 80 % alike share a shingle among the first n - ceil(0.8 n) + 1 of each, in any one order of all
 shingles (prefix filter). The order puts rare shingles first; how often they occur is estimated from a sample, which
 changes the cost and never the result. Sets that meet in a prefix shingle and are near in size are candidates. A sketch
-of BITS bits, each the parity of the shingles that fall on it, differs in no more bits than the sets differ in shingles:
-candidates that it shows to be too far apart go, which loses nothing; the others are compared exactly.
+of BITS bits, or of as many as a larger set has shingles, each the parity of the shingles that fall on it, differs in no
+more bits than the sets differ in shingles: candidates that it shows to be too far apart go, which loses nothing; the others are compared exactly.
 
 A shingle in the prefixes of more than LONG_LIST sets would make too many pairs. There a few hubs are compared with
 all others first, each set in the longest of its lists; a pair that is linked through them already needs no comparison, so
@@ -28,7 +28,7 @@ from chronolith.llm.components import components
 SHINGLE = 5
 #: Similarity of 4/5, as whole numbers.
 PARTS, WHOLE = 4, 5
-#: Bits of a set's sketch.
+#: Bits of a set's sketch, at least.
 BITS = 1024
 LONG_LIST = 24
 HUBS = 8
@@ -86,30 +86,33 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of how many shingles fall on each of BITS places, as BITS / 64 numbers."""
-    odd = np.bincount((s.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parities of how many shingles fall on each of so many places, as numbers of 64: BITS, doubled until there are as many as shingles.
+
+    A sketch of twice the places, its halves taken together by XOR, is the sketch of half as many.
+    """
+    places = max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
+    odd = np.bincount((s.view(np.uint64) % np.uint64(places)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(bool)).view("<i8")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sketches do not show to be too far apart; saved."""
+    """The pairs (a, b), near in size, that sketches do not show to be too far apart; saved."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    words = F.least(F.size("bits_a"), F.size("bits_b"))  # of sets near in size, one has twice those of the other at most
+    half = lambda x: F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(half("bits_a"), half("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("na") + F.col("nb")
     # what is shared is (na + nb - apart) / 2 at most, and must be PARTS / (PARTS + WHOLE) of na + nb at least
-    return saved(pairs.join(side("a"), "a").join(side("b"), "b").where((both - apart) * (PARTS + WHOLE) >= both * (2 * PARTS)).select("a", "b"))
+    return saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb")) & ((both - apart) * (PARTS + WHOLE) >= both * (2 * PARTS))).select("a", "b"))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike, compared exactly; saved."""
-    near = _near(pairs, nodes)
+def _linked(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), which are saved, whose sets are alike, compared exactly; saved."""
     pairs = small(near)
     left, right = sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     left = left.join(small(saved(near.select("a").distinct())), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    found = saved(right.join(pairs, "b").join(left, "a").where(both * WHOLE >= (F.size("sa") + F.size("sb") - both) * PARTS).select("a", "b"))
-    discard(near)
-    return found
+    return saved(right.join(pairs, "b").join(left, "a").where(both * WHOLE >= (F.size("sa") + F.size("sb") - both) * PARTS).select("a", "b"))
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def links(marked: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
 
     texts = source.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "text").join(small(wanted), ["id", "th"])
     sets = saved(texts.select("key", cut("text").alias("s")))
-    edges = new_links(pairs, None, nodes, sets)
+    edges = new_links(pairs, None, sets)
     discard(wanted, pairs)
     return long_links(long, edges, nodes, sets, HUBS) if long.limit(1).count() else edges
 
