@@ -6,25 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.scalars import round_k
+from chronolith.plans import runs
 from chronolith.plans.history import History
-from chronolith.plans.runs import with_runs
 from chronolith.schema import MECHANICAL_FILES, MECHANICAL_LINES, Limits
 
 
-def _run_paths(h: History) -> DataFrame:
-    """(input, run, path, file, lines): every path once for each run of a commit's file rows.
+def _pieces(h: History) -> DataFrame:
+    """Runs inside chunks of the input, with the paths of each (runs.pieces()); kept, as pairs and counts read them."""
+    if "runs" not in h.kept:
+        paths = ["path"] if h.canonical is None else ["path", "file"]
+        h.kept["runs"] = runs.pieces(h.changes.select("lines", "sha", *paths, "ord"), "sha", paths, "lines")
+    return h.kept["runs"]
 
-    Rows of one commit that stand apart in the input are runs of their own. One shuffle by run is shared by pairs and counts.
-    """
-    paths = ["path"] if h.canonical is None else ["path", "file"]
-    rows = with_runs(h.changes.select("sha", *paths, "lines", "ord"), "sha").drop("sha", "ord").repartition("input", "run")
-    rows = rows.groupBy("input", "run", *paths).agg(F.sum("lines").alias("lines"))
-    return rows if "file" in paths else rows.withColumn("file", F.col("path"))
+
+def _end_paths(h: History) -> DataFrame:
+    """(input, run, path, file, lines) of the runs that a chunk ends in, which others can go on with: every path once for each run."""
+    rows = runs.ends(_pieces(h), "sha").select("input", "run", F.explode("members").alias("m")).select("input", "run", "m.path", F.col("m.path" if h.canonical is None else "m.file").alias("file"), "m.lines")
+    return rows.groupBy("input", "run", "path", "file").agg(F.sum("lines").alias("lines"))
 
 
 def file_changes(h: History) -> DataFrame:
-    """(file, changes): runs that touch a path, by its raw path, then summed under the canonical one."""
-    return _run_paths(h).groupBy("file").agg(F.count(F.lit(1)).alias("changes"))
+    """(file, changes): runs that touch a path, by its raw path, then summed under the canonical one.
+
+    Rows of one commit that stand apart in the input are runs of their own.
+    """
+    whole = runs.complete(_pieces(h)).select(F.explode("members.path" if h.canonical is None else "members.file").alias("file"))
+    return whole.unionAll(_end_paths(h).select("file")).groupBy("file").agg(F.count(F.lit(1)).alias("changes"))
 
 
 def pair_counts(h: History) -> DataFrame:
@@ -33,11 +40,13 @@ def pair_counts(h: History) -> DataFrame:
     Pairs are made of raw paths inside a run, after the size filter, so a run gives
     max * (max - 1) / 2 of them at most; then they are put under canonical paths.
     """
-    rows = _run_paths(h)
-    sizes = rows.groupBy("input", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("churn"))
-    fit = sizes.where((F.col("n") >= 2) & (F.col("n") <= h.options.coupling_max_files) & ~((F.col("n") >= MECHANICAL_FILES) & (F.col("churn") / F.col("n") < MECHANICAL_LINES)))
-    paths = rows.join(fit.select("input", "run"), ["input", "run"]).groupBy("input", "run").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most
-    first = paths.select("p", F.posexplode("p").alias("at", "a"))
+    fits = (F.col("n") >= 2) & (F.col("n") <= h.options.coupling_max_files) & ~((F.col("n") >= MECHANICAL_FILES) & (F.col("total") / F.col("n") < MECHANICAL_LINES))
+    named = F.transform("members", lambda m: F.struct(m["path"].alias("path"), (m["path"] if h.canonical is None else m["file"]).alias("file")))
+    whole = runs.complete(_pieces(h)).where(fits).select(F.array_sort(named).alias("p"))
+    rows = _end_paths(h)
+    fit = rows.groupBy("input", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("total")).where(fits)
+    joined = rows.join(fit.select("input", "run"), ["input", "run"]).groupBy("input", "run").agg(F.array_sort(F.collect_list(F.struct("path", "file"))).alias("p"))  # coupling_max_files at most
+    first = whole.unionAll(joined.select("p")).select("p", F.posexplode("p").alias("at", "a"))
     pairs = first.select("a.file", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b")).where("file <> b.file")
     return pairs.groupBy(F.least("file", "b.file").alias("file_a"), F.greatest("file", "b.file").alias("file_b")).agg(F.count(F.lit(1)).alias("co_changes"))
 

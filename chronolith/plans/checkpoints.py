@@ -51,10 +51,14 @@ def released() -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: How Parquet that this package writes is compressed: a third smaller than by the default.
+PARQUET = "zstd"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once, as Parquet in the shared folder, and read from there."""
     folder = new_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=PARQUET)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_EXCEPTION, Future, ThreadPoolExecutor, wait
@@ -37,7 +38,7 @@ def together(spark: SparkSession, parts: dict[str, Callable[[], T]], at_once: in
         return inheritable_thread_target(spark)(run)
 
     with ThreadPoolExecutor(at_once) as pool:
-        running = {name: pool.submit(tagged(part)) for name, part in parts.items()}
+        running = {name: pool.submit(contextvars.copy_context().run, tagged(part)) for name, part in parts.items()}  # folders of a part go with the caller's released() block
         try:
             done, left = wait(running.values(), timeout, FIRST_EXCEPTION)
             for future in done:

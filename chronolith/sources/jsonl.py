@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.functions.scalars import local_time, utc_time
-from chronolith.plans.checkpoints import new_folder
+from chronolith.plans.checkpoints import PARQUET, new_folder
 from chronolith.plans.history import History
 from chronolith.schema import CORRUPT, RECORD, Options
 
@@ -152,7 +152,7 @@ def staged_rows(spark: SparkSession, paths: list[str], by_input: bool = False) -
     if by_input:
         rows = rows.withColumn("input", F.col("ord.file"))
     with open_writers(spark):
-        rows.write.partitionBy("type", *(["input"] if by_input else [])).parquet(folder)
+        rows.write.partitionBy("type", *(["input"] if by_input else [])).parquet(folder, compression=PARQUET)
     return spark.read.schema(rows.schema).parquet(folder)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.plans.checkpoints import released
+from chronolith.plans.checkpoints import PARQUET, released
 from chronolith.plans.history import History, with_authors
 from chronolith.schema import Options
 from chronolith.sources import jsonl
@@ -29,6 +29,11 @@ TABLES = {
 #: `authored`: file rows carry their author's email (null in stores that were written before they did).
 INPUTS = "input int, repo string, authored boolean"
 
+#: Where a row stands, as columns, and the columns of file rows in the order in which shuffled rows hold them: those of one length first,
+#: the path last, so that rows differ in few places and pack well.
+PLACE = ("file", "part", "block", "line")
+CHILDREN = {"commit_file": ("files", ("file", "block", "line", "additions", "deletions", "same", "part", "sha", "status", "previous", "current")), "commit_parent": ("parents", ("file", "block", "line", "part", "sha"))}
+
 
 @released()  # the typed records that it stages
 def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
@@ -36,25 +41,24 @@ def write(spark: SparkSession, paths: list[str] | str, folder: str) -> None:
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = jsonl.staged_rows(spark, paths)
     jsonl.check(rows)
-    month = F.date_format("ts", "yyyy-MM")
-    commits = rows.where("type = 'commit'").withColumn("month", F.coalesce(month, F.lit(UNDATED)))
+    names = jsonl.repo_names(paths)
+    repo = F.element_at(F.array(*map(F.lit, names)), F.col("ord.file") + 1).alias("repo")  # known by the input, so no shuffle carries it
+    commits = rows.where("type = 'commit'").withColumn("month", F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit(UNDATED)))
     by_sha = commits.groupBy(F.col("ord.file").alias("input"), F.col("sha").alias("of")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.bool_or(F.col("ts").isNull()).alias("undated"), F.max_by("email", "ord").alias("email"))
-    clustered = lambda df: df.repartitionByRange("month", "ts", "ord").sortWithinPartitions("month", "ts", "ord")
-    clustered(commits.select(*jsonl.COMMIT, "month")).write.partitionBy("month").parquet(f"{folder}/commits")
-    for kind, table in (("commit_file", "files"), ("commit_parent", "parents")):
-        columns = ["repo", "sha", "ord"] + (["status", "previous", "current", "additions", "deletions"] if kind == "commit_file" else [])
-        children = rows.where(F.col("type") == kind).select(*columns)
-        if "previous" in columns:  # most files keep their path: the two shuffles carry it once
-            same = F.col("previous").eqNullSafe(F.col("current"))
-            children, columns = children.withColumns({"same": same, "previous": F.when(~same, F.col("previous"))}), [*columns, "same"]
-        author = ["email"] if kind == "commit_file" else []
-        dated = children.join(by_sha, (children["ord.file"] == by_sha["input"]) & (children["sha"] == by_sha["of"]), "left")
-        which = F.when(F.col("of").isNull(), ORPHAN).when(F.col("undated"), UNDATED).when(F.col("first") != F.col("last"), MIXED).otherwise(F.date_format("first", "yyyy-MM"))
-        placed = clustered(dated.select(*columns, F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), *author, which.alias("month")))
+    clustered = lambda df, *ord_: df.repartitionByRange("month", "ts", *ord_).sortWithinPartitions("month", "ts", *ord_)
+    save = lambda df, table: df.withColumn("repo", repo).write.partitionBy("month").parquet(f"{folder}/{table}", compression=PARQUET)
+    save(clustered(commits.select(*(c for c in jsonl.COMMIT if c != "repo"), "month"), "ord"), "commits")
+    which = F.when(F.col("of").isNull(), ORPHAN).when(F.col("undated"), UNDATED).when(F.col("first") != F.col("last"), MIXED).otherwise(F.date_format("first", "yyyy-MM"))
+    same = F.col("previous").eqNullSafe(F.col("current"))  # most files keep their path: the two shuffles carry it once
+    for kind, (table, columns) in CHILDREN.items():
+        children = rows.where(F.col("type") == kind).select("*", *(F.col(f"ord.{c}") for c in PLACE)).withColumns({"same": same, "previous": F.when(~same, F.col("previous"))}).select(*columns)
+        dated = children.join(by_sha, (children["file"] == by_sha["input"]) & (children["sha"] == by_sha["of"]), "left")
+        author = ["email"] if table == "files" else []
+        placed = clustered(dated.select(F.when(~which.isin(UNDATED, ORPHAN, MIXED), F.col("first")).alias("ts"), *columns[:-1], *author, which.alias("month"), columns[-1]), *PLACE)
         if "same" in columns:
             placed = placed.withColumn("previous", F.when(F.col("same"), F.col("current")).otherwise(F.col("previous"))).drop("same")
-        placed.write.partitionBy("month").parquet(f"{folder}/{table}")
-    spark.createDataFrame([(i, name, True) for i, name in enumerate(jsonl.repo_names(paths))], INPUTS).coalesce(1).write.parquet(f"{folder}/inputs")
+        save(placed.withColumn("ord", F.struct(*PLACE)).drop(*PLACE), table)
+    spark.createDataFrame([(i, name, True) for i, name in enumerate(names)], INPUTS).coalesce(1).write.parquet(f"{folder}/inputs")
 
 
 def _months(options: Options) -> Column:
